@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with a QUERIES table: name -> (query, SQL or None).
-MODULES = ("chat", "urls", "mixing")
+MODULES = ("chat", "urls", "mixing", "minhash")
 
 
 def _all() -> dict:
