@@ -17,7 +17,7 @@ BLOCK = 256
 SHARD_SLOTS = 1024
 SEED = 20_240_601
 #: Documents of a source that one task numbers.
-BUCKET_DOCS = 4096
+BUCKET_DOCS = 512
 
 
 def targets(sizes: dict, weights=WEIGHTS, most: float = MAX_REPEATS) -> dict:
@@ -77,17 +77,17 @@ def plan_shards(slots: dict, per_shard: int = SHARD_SLOTS, seed: int = SEED, sha
 def permuted(index: Column, n: Column, key: Column) -> Column:
     """A pseudorandom permutation of 0..n-1 that is computed for each index alone.
 
-    A four-round Feistel network over the least even number of bits that holds n, walked on while
-    it is n or more; the walk is unrolled as an aggregate with an end far beyond what occurs.
+    Rounds that add a hash of one coordinate to the other permute the grid of a x b places, where a
+    is the root of n and a * b exceeds n by less than a; from a place beyond n the walk goes on.
     """
-    half = F.greatest(F.lit(1), F.ceil(F.log2(n.cast("double")) / 2).cast("int"))
-    base = F.pow(F.lit(2.0), half).cast("long")
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    b = F.ceil(n / a).cast("long")
 
     def turn(v):
-        a, b = F.floor(v / base).cast("long"), F.pmod(v, base)
-        for r in range(4):
-            a, b = b, F.pmod(a + F.pmod(F.xxhash64(b, key, F.lit(r)), base), base)
-        return a * base + b
+        def one(s, r):
+            x = F.pmod(s["x"] + F.pmod(F.xxhash64(s["y"], key, r), a), a)
+            return F.struct(x.alias("x"), F.pmod(s["y"] + F.pmod(F.xxhash64(x, key, r + 100), b), b).alias("y"))
+        return F.aggregate(F.array(*map(F.lit, range(3))), F.struct(F.floor(v / b).cast("long").alias("x"), F.pmod(v, b).alias("y")), one, lambda s: s["x"] * b + s["y"])
 
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), turn(index), lambda v, _: F.when(v < n, v).otherwise(turn(v)))
     return F.when(n <= 1, F.lit(0).cast("long")).otherwise(walked)
@@ -136,11 +136,12 @@ def slots_of(spark: SparkSession, sizes: dict, goal: dict, block: int = BLOCK, s
     rows = list(plan_shards(slots, seed=seed))
     plan = spark.createDataFrame(rows or [(0, 0, 0, 0)], "shard long, i int, first long, n long").where("n > 0")
     about = spark.createDataFrame([(i, s, sizes[s], blocks[s], need[s]) for i, s in enumerate(names)] or [(-1, None, 1, 1, 0)], "i int, source string, size long, blocks long, need long")
-    s = plan.repartition(F.col("shard"), F.col("i"), F.col("first")).join(F.broadcast(about), "i")
+    s = plan.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "i", "first").join(F.broadcast(about), "i")
     s = s.withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
     s = s.withColumn("turn", F.floor(F.col("slot") / F.col("blocks")).cast("long")).withColumn("pos", F.col("slot") % F.col("blocks"))
     s = s.withColumn("block", permuted(F.col("pos"), F.col("blocks"), F.concat_ws("/", F.lit(seed), "i", "turn")))
     s = s.withColumn("full", F.least(F.lit(block), F.col("size") - F.col("block") * block))
+    s = C.cut(s)
     tail = s.where(F.col("block") == F.col("blocks") - 1).select("i", "turn", F.col("pos").alias("tail_pos"), (block - F.col("full")).alias("short"))
     s = s.join(F.broadcast(tail), ["i", "turn"], "left")
     before = F.col("turn") * F.col("size") + F.col("pos") * block - F.when(F.col("tail_pos") < F.col("pos"), F.col("short")).otherwise(0)
