@@ -71,7 +71,7 @@ def distance(a: Column, b: Column) -> Column:
         return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(F.lit(0.0))
 
     div = F.aggregate(F.zip_with(part(a), part(b), lambda p, q: (term(p, q) + term(q, p)) / 2), F.lit(0.0), lambda s, x: s + x)
-    return F.round(F.sqrt(F.greatest(div, F.lit(0.0))), 6)
+    return F.round(F.sqrt(F.when(div < 0, 0.0).otherwise(div)), 6)
 
 
 def repeats(d: DataFrame) -> DataFrame:

@@ -45,7 +45,8 @@ def jsd(a, b):
 def test_distance(spark):
     rows = [([1.0, 2.0, 0.0], [3.0, 0.0, 1.0]), ([1.0, 1.0], [5.0, 5.0]), ([0.0, 1.0], [1.0, 0.0]), ([0.0], [1.0]), (None, [1.0])]
     got = [r.d for r in spark.createDataFrame(rows, "a array<double>, b array<double>").select(Q.distance(F.col("a"), F.col("b")).alias("d")).collect()]
-    assert abs(got[0] - jsd(*rows[0])) < 1e-6 and got[1] == 0 and got[2] == 1 and got[3] is None and got[4] is None
+    assert abs(got[0] - jsd(*rows[0])) < 1e-6
+    assert got[1] == 0 and got[2] == 1 and got[3] is None and got[4] is None
 
 
 def test_odd_documents_are_told_from_prose(spark):
