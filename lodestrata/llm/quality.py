@@ -24,32 +24,39 @@ WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
 LANGUAGES_BROADCAST = 10_000
 
 
+def _among(words: list):
+    return lambda x: x.isin(words)
+
+
 def histograms(docs: DataFrame) -> DataFrame:
     """docs (text, lang and others) with w (words), n_words, n_symbols, word_chars, chars and common.
 
     chars counts a-z, CLASSES and the rest; common counts the language's common words and all other
-    words, and is null for a language without a list.
+    words, and is null for a language without a list. What a-z leaves of a text is short, and all
+    other classes are counted on that.
     """
     d = docs.withColumn("__t", F.coalesce("text", F.lit("")))
+    d = d.withColumn("__rest", F.regexp_replace("__t", "[a-z]+", ""))
     for name, members in CLASSES.items():
-        d = d.withColumn(f"__{name}", F.length(F.regexp_replace("__t", f"[^{members}]+", "")))
-    d = d.withColumn("__n", F.length("__t")).withColumn("__lower", F.col("__n") - F.length(F.regexp_replace("__t", "[a-z]+", "")))
+        d = d.withColumn(f"__{name}", F.length(F.regexp_replace("__rest", f"[^{members}]+", "")))
+    d = d.withColumn("__n", F.length("__t")).withColumn("__lower", F.col("__n") - F.length("__rest"))
     d = d.withColumn("w", C.words(F.col("__t")))
     d = d.withColumn("n_words", F.size("w").cast("long"))
-    every = sorted({x for v in COMMON.values() for x in v})
-    d = d.withColumn("__common", F.filter("w", lambda x: x.isin(every)))
-    lists = F.lit(None).cast("array<string>")
+    lists = own = F.lit(None).cast("array<string>")
     for lang, v in COMMON.items():
         lists = F.when(F.col("lang") == lang, F.array(*map(F.lit, v))).otherwise(lists)
-    d = d.withColumn("__counts", F.transform(lists, lambda c: F.size(F.filter("__common", lambda x: x == c)).cast("double")))
+        own = F.when(F.col("lang") == lang, F.filter("w", _among(v))).otherwise(own)
+    d = d.withColumn("__own", own)
+    own = F.col("__own")
+    d = d.withColumn("__counts", F.transform(lists, lambda c: (F.size(own) - F.size(F.array_remove(own, c))).cast("double")))
     known = [F.col(f"__{x}") for x in ("lower", *CLASSES)]
     rest = F.col("__n")
     for k in known:
         rest = rest - k
     chars = F.array(*(x.cast("double") for x in (*known, rest)))
-    common = F.concat("__counts", F.array(F.col("n_words") - F.aggregate("__counts", F.lit(0.0), lambda s, x: s + x)))
+    common = F.concat("__counts", F.array((F.col("n_words") - F.size("__own")).cast("double")))
     return d.withColumns({"word_chars": (F.col("__n") - F.col("__space")).cast("long"), "n_symbols": F.col("__symbol").cast("long"), "chars": chars, "common": common}).drop(
-        "__n", "__common", "__counts", "__lower", *(f"__{x}" for x in CLASSES))
+        "__n", "__own", "__counts", "__lower", "__rest", *(f"__{x}" for x in CLASSES))
 
 
 def references(hists: DataFrame) -> DataFrame:
@@ -81,7 +88,8 @@ def repeats(d: DataFrame) -> DataFrame:
     the words covered are the sum of the gaps between the places that repeat, each at most WINDOW.
     """
     n = F.size("w") - WINDOW
-    d = d.withColumn("__h", F.when(n > 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(WINDOW))))))
+    d = d.withColumn("__w", F.transform("w", lambda x: F.xxhash64(x)))
+    d = d.withColumn("__h", F.when(n > 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*(F.get("__w", i + k) for k in range(WINDOW))))))
     d = d.withColumn("__again", F.coalesce(F.size(F.array_distinct("__h")) < F.size("__h"), F.lit(False)))
     d = d.withColumn("__s", F.when(F.col("__again"), F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     s = F.col("__s")
@@ -91,38 +99,57 @@ def repeats(d: DataFrame) -> DataFrame:
     p = F.col("__p")
     gaps = F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW))))
     total = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
-    return d.withColumn("n_repeat_words", F.when(F.col("__again"), total).otherwise(F.lit(0)).cast("long")).drop("__h", "__again", "__s", "__p")
+    return d.withColumn("n_repeat_words", F.when(F.col("__again"), total).otherwise(F.lit(0)).cast("long")).drop("__w", "__h", "__again", "__s", "__p")
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance,
-    common_distance and kept, for each row; docs has text, lang and any others.
-
-    A first pass sums the references of all documents, one row a language; the second judges each
-    row by itself, so no text is shuffled. kept is false where base_failed, or where a histogram of
-    enough words is farther from the language's reference than its limit. Null and empty texts have
-    no words and fail the base rules. A null language has a reference of its own and no common
-    words. Repeated rows are judged alike; an empty table gives no rows. Columns of docs with the
-    names of results are replaced.
-    """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "common_distance", "kept"]
-    kept = [c for c in docs.columns if c not in names]
-    inner = docs.select(F.struct(*kept).alias("__row"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    refs = C.cut(references(histograms(inner.select("text", "lang"))))
-    d = histograms(inner)
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """docs (text, lang and others) with BASE, chars and common, for each row by itself."""
+    d = histograms(docs)
     d = d.withColumn("__lines", F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(f"[^{C.SPACES}]")))
     d = d.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-    d = repeats(d)
+    return repeats(d).drop("__lines", "__t", "w")
+
+
+def verdict(d: DataFrame, refs: DataFrame) -> DataFrame:
+    """measured() rows with base_failed, char_distance, common_distance and kept."""
     d = d.join(F.broadcast(refs) if refs.count() <= LANGUAGES_BROADCAST else refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     d = d.withColumns({"char_distance": distance(F.col("chars"), F.col("ref_chars")), "common_distance": distance(F.col("common"), F.col("ref_common"))})
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     far = (F.col("n_words") >= MIN_CHAR_WORDS) & (F.col("char_distance") > MAX_CHAR) | (F.col("n_words") >= MIN_COMMON_WORDS) & (F.col("common_distance") > MAX_COMMON)
-    d = d.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
-    return d.select(*(F.col(f"__row.`{c}`").alias(c) for c in kept), *names)
+    return d.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("chars", "common", "ref_chars", "ref_common", "ref_lang")
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id with BASE, base_failed, char_distance, common_distance and kept, for each row of docs.
+
+    docs: doc_id, text, lang. Texts are read once and become narrow rows; the references are sums
+    of those, one row a language. kept is false where base_failed, or where a histogram of enough
+    words is farther from the language's reference than its limit. Null and empty texts have no
+    words and fail the base rules. A null language has a reference of its own and no common words.
+    Repeated rows are judged alike; an empty table gives no rows.
+    """
+    d = C.cut(measured(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))).drop("text"))
+    return verdict(d, C.cut(references(d))).drop("lang")
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """The rows of docs (text, lang and others) that judge() keeps, with all their columns.
+
+    References come from a first pass; the second judges and keeps rows where they are read, so no
+    text is shuffled.
+    """
+    inner = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    refs = C.cut(references(histograms(inner.select("text", "lang"))))
+    # a random column keeps the optimizer from moving the filter below, where it would repeat all that it rests on
+    judged = verdict(measured(inner).withColumn("__r", F.rand()), refs)
+    return judged.where(F.col("kept") & (F.col("__r") >= 0)).select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+    return judge(C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def _class(members: str) -> str:

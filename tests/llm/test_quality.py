@@ -22,14 +22,17 @@ def brute(text):
 
 def test_base_counts(spark):
     rng = random.Random(2)
-    texts = [None, "", " \n\x0b ", "a\n\na \na", "é😀 # | x", "a b c d e " * 7, "x y z", "1 2 3 4 5", "1 2 3 4 5 1 2 3 4 5"] + [" ".join(rng.choice("ab c\n#".split(" ")) for _ in range(rng.randrange(90))) for _ in range(60)] + ["z " * 40_000 + "y"]
+    texts = [None, "", " \n\x0b ", "a\n\na \na", "é😀 # | x", "a b c d e " * 7, "x y z", "1 2 3 4 5", "1 2 3 4 5 1 2 3 4 5"] + [" ".join(rng.choice("ab c\n#".split(" ")) for _ in range(rng.randrange(90))) for _ in range(60)] + [" ".join(f"w{i}" for i in range(50))] + ["z " * 40_000 + "y"]
     rows = [(i, t, None if i % 5 == 0 else ("en", "xx", "fr")[i % 3], "no", 3, None) for i, t in enumerate(texts)] + [(None, "a b", "en", "no", 1, 1)] * 2
     d = spark.createDataFrame(rows, SCHEMA)
-    got = Q.judge(d).collect()
+    got, text = Q.judge(d).collect(), {r[0]: r[1] for r in rows}
     assert len(got) == len(rows)
+    out = Q.clean(d)
+    assert out.columns == d.columns
+    assert sorted(x.doc_id for x in out.collect()) == sorted(x.doc_id for x in got if x.kept)
     for r in got:
-        n, chars, symbols, lines, repeat = brute(r.text)
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, lines, repeat), r.text
+        n, chars, symbols, lines, repeat = brute(text[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, lines, repeat), r.doc_id
         assert r.base_failed == (n < 10 or 100 * repeat > 20 * n)
         assert not (r.kept and r.base_failed)
     assert Q.judge(d.limit(0)).count() == 0
