@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words; a word is a run of anything else.
@@ -23,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words(text):
     """Words of a text column as an array; null gives an empty array."""
     # a split leaves at most one empty string at either end
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+", -1), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+", -1), "")
 
 
 def count_words(text):
@@ -51,6 +53,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def spill(df: DataFrame, **observed) -> tuple[DataFrame, str, dict]:
+    """The frame, written as Parquet to the shared checkpoint folder, its path, and aggregates of its rows.
+
+    For intermediate results that drop() removes when they have been read for the last time.
+    """
+    spark = df.sparkSession
+    at = f"{checkpoint_dir(spark)}/spill-{uuid.uuid4().hex}"
+    seen = Observation()
+    (df.observe(seen, F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in observed.items()))).write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at), at, seen.get
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle and checkpoint files of what the program no longer refers to.
+
+    It does so when the driver's JVM collects garbage, which may be long after the last job.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph given as columns u, v (long).
 
@@ -59,25 +87,29 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     (the smallest node id reachable) for each node of at least one edge with two different ends.
     """
     spark = edges.sparkSession
-    now = cut(edges.where("u is not null and v is not null and u <> v")
-              .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    nodes = now.select(F.col("u").alias("node")).union(now.select(F.col("v").alias("node"))).distinct()
-    mark = None
+    mark = dict(x=F.expr("bit_xor(xxhash64(u, v))"))
+    now, at, seen = spill(edges.where("u is not null and v is not null and u <> v")
+                          .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), **mark)
     for _ in range(max_rounds):
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == mark:
+        if not seen["n"]:
             break
-        mark = seen
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut(small)
+        before, old, last = seen, at, now
+        now, at, seen = spill(small, **mark)
+        del last
+        drop(spark, old)
+        if seen == before:
+            break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.groupBy("u").agg(F.min("v").alias("component"))
-    return (nodes.join(roots, nodes.node == roots.u, "left")
-            .select("node", F.coalesce("component", "node").alias("component")))
+    # settled: each node but a component's least points to that one
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = cut(out.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    drop(spark, at)
+    release(spark)
+    return out

@@ -172,7 +172,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     sizes = b.groupBy("t", "bucket", "dim").agg(F.count("*").alias("n")).where("n > 1")
     b = _chunked(b.join(sizes, ["t", "bucket", "dim"]))
     b = b.withColumn("task", F.pmod(F.xxhash64("t", "bucket", "dim", "i", "j"), F.lit(max(1, n * tables // (4 * CHUNK)))))
-    families = C.cut(C.components(b.groupBy("task").applyInPandas(_candidates(most_different(bits * tables)), "u long, v long")))
+    families = C.components(b.groupBy("task").applyInPandas(_candidates(most_different(bits * tables)), "u long, v long"))
     f = families.select("node", F.col("component").alias("family")).join(nodes, "node").withColumn("dim", F.size("v"))
     sizes = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("n"))
     f = _chunked(f.join(sizes, "family"))

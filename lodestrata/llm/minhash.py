@@ -99,46 +99,77 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array([s.tobytes() for s in shingle_sets(texts[a:z], SHINGLE)], pa.binary())], names=["cls", "set"])
 
 
-def _propose(best: bool):
-    """Pairs of a bucket that lie in different components and whose sketches are close enough.
+def _odd(x: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(x["odd"]), np.uint64).reshape(len(x), -1)
 
-    best: of each row only its closest one.
-    """
+
+def _propose(best: bool):
+    """Of a bucket's pairs that lie in different components and have close sketches: for each row
+    the closest one (best), or else the blocks that meet (lo, hi) with the classes concerned."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [np.empty((0, 2 if best else 3), np.int64)]
         for _, x in g.groupby(["bucket", "i", "j"], sort=False):
-            cls, comp = x["cls"].to_numpy(), x["comp"].to_numpy()
-            odd = np.frombuffer(b"".join(x["odd"]), np.uint64).reshape(len(x), -1)
-            left = np.flatnonzero(x["part"].to_numpy() == x["i"].to_numpy())
-            right = np.flatnonzero(x["part"].to_numpy() == x["j"].to_numpy())
-            for k in left:
-                z = np.bitwise_count(odd[right] ^ odd[k]).sum(1).astype(np.int64)
-                z[comp[right] == comp[k]] = BITS
-                near = np.flatnonzero(z <= MAX_XOR)
-                if best and len(near):
-                    near = near[[np.argmin(z[near])]]
-                out += [(min(cls[k], cls[r]), max(cls[k], cls[r])) for r in right[near]]
-        return pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"], dtype="int64")
+            cls, comp, block, odd = x["cls"].to_numpy(), x["comp"].to_numpy(), x["block"].to_numpy(), _odd(x)
+            part, i, j = x["part"].to_numpy(), x["i"].iat[0], x["j"].iat[0]
+            left, right, found = np.flatnonzero(part == i), np.flatnonzero(part == j), []
+            for these, those in [(left, right)] if i == j else [(left, right), (right, left)]:
+                for k in these:
+                    r = those[comp[those] != comp[k]]
+                    z = np.bitwise_count(odd[r] ^ odd[k]).sum(1, dtype=np.int64)
+                    r, z = r[z <= MAX_XOR], z[z <= MAX_XOR]
+                    if best and len(r):
+                        other = cls[r[np.argmin(z)]]
+                        found.append([[min(cls[k], other), max(cls[k], other)]])
+                    elif len(r):
+                        # the other class of a pair speaks for itself
+                        found.append([(min(block[k], x), max(block[k], x), cls[k]) for x in set(block[r].tolist())])
+            if found:
+                out.append(np.unique(np.concatenate(found), axis=0))
+        rows = np.unique(np.concatenate(out), axis=0)
+        if best:
+            return pd.DataFrame(rows, columns=["a", "b"])
+        met = pd.DataFrame(rows, columns=["lo", "hi", "cls"]).groupby(["lo", "hi"], sort=False)["cls"]
+        keys = list(met.groups)
+        return pd.DataFrame({"lo": [k[0] for k in keys], "hi": [k[1] for k in keys], "classes": pd.Series([met.get_group(k).tolist() for k in keys], dtype=object)})
     return run
 
 
+class _Joined(dict):
+    """Sets that have been joined; find() gives the least member."""
+
+    def find(self, x):
+        while (y := self.get(x, x)) != x:
+            self[x] = self.get(y, y)
+            x = y
+        return x
+
+    def join(self, x, y) -> None:
+        self[max(x, y)] = min(x, y)
+
+
+def _confirm_blocks(g: pd.DataFrame) -> pd.DataFrame:
+    """Links between classes of two blocks whose components differ and that no other link joins yet."""
+    cls, comp, odd, sets = g["cls"].to_numpy(), g["comp"].to_numpy(), _odd(g), [np.frombuffer(s, np.uint64) for s in g["set"]]
+    joined, out = _Joined(), []
+    for k in range(len(g) - 1):
+        z = np.bitwise_count(odd[k + 1:] ^ odd[k]).sum(1, dtype=np.int64)
+        near = np.flatnonzero((z <= MAX_XOR) & (comp[k + 1:] != comp[k]))
+        for r in (near[np.argsort(z[near], kind="stable")] + k + 1).tolist():
+            if (s := joined.find(comp[k])) != (t := joined.find(comp[r])) and similar(sets[k], sets[r]):
+                joined.join(s, t)
+                out.append((min(cls[k], cls[r]), max(cls[k], cls[r])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
 def _confirm(key, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     """Links among the pairs, without those between classes that other links of the block join."""
     have: dict = {}
     for c, s in zip(sets["cls"], sets["set"]):
         have.setdefault(c, []).append(np.frombuffer(s, np.uint64))
-    up: dict = {}
-
-    def top(x):
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
-    out = []
+    joined, out = _Joined(), []
     for a, b in zip(pairs["a"], pairs["b"]):
-        if (s := top(a)) != (t := top(b)) and any(similar(x, y) for x in have[a] for y in have[b]):
-            up[max(s, t)] = min(s, t)
+        if (s := joined.find(a)) != (t := joined.find(b)) and any(similar(x, y) for x in have[a] for y in have[b]):
+            joined.join(s, t)
             out.append((a, b))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
@@ -157,12 +188,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id long, text string).
 
     Texts with equal sets form a class with one sketch. Classes that share a band key meet in
-    buckets; each is first tried against the least of its bucket, then (twice) against the closest
-    sketch of another component, and at last all pairs of a bucket that lie in different components
-    and have close sketches are tried, so no link between components is lost, while a bucket of m
-    rows gives few more than m pairs where its texts are copies of each other. Pairs are confirmed
-    on the full sets, which meet in blocks of bounded size, and confirmed links run through
-    distributed components. Large buckets are compared in chunks.
+    buckets; each is first tried against the least of its bucket, then against the closest sketch of
+    another component. At last all pairs that lie in different components and have close sketches
+    are tried: buckets tell which blocks of classes meet, and a block pair's task tries its classes,
+    so no list of pairs is made and no link between components is lost. Pairs are confirmed on the
+    full sets, and confirmed links run through distributed components. Large buckets are compared in
+    chunks; a class's set travels once for each block that its own meets.
 
     Documents without words, or with a null text or id, link with nothing. component_id is null and
     kept true for a null id. Rows that share an id are one document: each row is returned, and links
@@ -187,7 +218,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.join(F.broadcast(wanted) if total <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
     # a text that occurs more than once under its id is taken once
     sets = C.cut(texts.mapInArrow(_sets, "cls long, set binary").dropDuplicates(["cls", "set"]) if total else docs.limit(0).select(F.col("doc_id").alias("cls"), F.lit(b"").alias("set")))
-    odd = classes.select("cls", "odd").join(near.select("cls"), "cls", "left_semi")
+    odd = C.cut(classes.select("cls", "odd").join(near, "cls"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         ends = [near.select(F.col("cls").alias(e), F.col("block").alias(f"block_{e}")) for e in "ab"]
@@ -205,19 +236,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         m = m.withColumn("part", F.pmod(F.xxhash64("cls"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
         m = m.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
         m = m.withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(max(1, rows // BUCKET_ROWS))))
-        return m.groupBy("task").applyInPandas(_propose(best), "a long, b long").distinct()
+        found = m.groupBy("task").applyInPandas(_propose(best), "a long, b long" if best else "lo long, hi long, classes array<long>")
+        if best:
+            return found.distinct()
+        found = found.groupBy("lo", "hi").agg(F.array_distinct(F.flatten(F.collect_list("classes"))).alias("classes"))
+        return found.select("lo", "hi", F.explode("classes").alias("cls"))
+
+    def confirmed_blocks(met: DataFrame, comps: DataFrame) -> DataFrame:
+        m = met.join(odd.select("cls", "odd"), "cls").join(sets, "cls").join(comps, met.cls == comps.node, "left")
+        m = m.select("lo", "hi", "cls", "odd", "set", F.coalesce("component", "cls").alias("comp"))
+        return m.groupBy("lo", "hi").applyInPandas(_confirm_blocks, "a long, b long")
 
     rows = members.count()
     close = C.cut(members.where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct())
     # at most one pair for each row of a bucket; these need no sketch
     links = C.cut(confirmed(close))
-    comps = C.cut(C.components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    for best in (True, True, False):
-        more = C.cut(confirmed(proposed(comps, best)))
+    comps = C.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    for best in (True, False):
+        found = proposed(comps, best)
+        more = C.cut(confirmed(found) if best else confirmed_blocks(found, comps))
         if more.isEmpty():
             continue
         links = links.union(more)
-        comps = C.cut(C.components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        comps = C.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     out = sketched.select("doc_id", "n_shingles", "d1", "d2")
     copied = classes.where("copies > 1").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n_shingles").alias("cn"), "cls")
@@ -228,6 +269,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and others) that stay: one document of each group, with all columns.
+
+    That is the one with the group's smallest id; of rows that repeat an id the first by text. Ids to
+    drop are broadcast while there are at most BROADCAST_IDS of them.
+    """
+    gone = C.cut(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
+    stay = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs.doc_id.cast("long") == F.col("__gone"), "left_anti")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice"))
+    twice = C.cut(twice)
+    if twice.isEmpty():
+        return stay
+    once = stay.join(twice, stay.doc_id == F.col("__twice"), "left_anti")
+    rest = stay.join(twice, stay.doc_id == F.col("__twice"), "left_semi")
+    least = rest.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("__r"))
+    return once.unionByName(least.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"__r.`{c}`").alias(c) for c in docs.columns)))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
