@@ -60,16 +60,33 @@ def topic_array(d: Dialect, text: str) -> str:
 
 # --- Spark ---------------------------------------------------------------------------------------
 
+def term_of_token(tokens: DataFrame, persist: bool = True) -> DataFrame:
+    """token, term of each different token that has a term: cleaned, tested and stemmed once.
+
+    Kept, as the planner would otherwise look through a join with it into every step of the stemmer.
+    """
+    d = SPARK
+    # a number of partitions, as the few bytes of a vocabulary take much work
+    v = tokens.select("token").distinct().repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
+    for name, e in clean_steps(d):
+        v = v.withColumn(name, F.expr(e))
+    v = v.where(F.expr(f"cleaned <> '' and (is_id or not ({d.among('cleaned', L.index_stops())}))"))
+    v = porter.with_stem(v.select("token", "is_id", "cleaned"), "cleaned", "stem")
+    v = v.select("token", F.when(F.col("is_id"), F.col("cleaned")).otherwise(F.col("stem")).alias("term")).where("length(term) > 2")
+    return v.persist() if persist else v
+
+
 def terms(corpus: DataFrame, side: str = "index", text: str = "text") -> DataFrame:
-    """Rows doc_id, source, pos, term of a corpus (doc_id, source, text). Documents without terms give none."""
+    """Rows doc_id, source, pos, term of a corpus (doc_id, source, text). Documents without terms give none.
+
+    Tokens are stop words or are joined with the vocabulary's terms. Stop words as they stand go
+    first, so the join has no very frequent key left; what is frequent still, adaptive execution splits.
+    """
     d = SPARK
     keep = [c for c in ("doc_id", "source") if c in corpus.columns]
     t = corpus.select(*keep, F.posexplode(F.expr(raw_tokens(d, f"coalesce(`{text}`, '')", side))).alias("pos", "token"))
-    for name, e in clean_steps(d):
-        t = t.withColumn(name, F.expr(e))
-    t = t.where(F.expr(f"cleaned <> '' and (is_id or not ({d.among('cleaned', L.index_stops())}))"))
-    t = porter.with_stem(t.select(*keep, "pos", "is_id", "cleaned"), "cleaned", "stem")
-    return t.select(*keep, "pos", F.when(F.col("is_id"), F.col("cleaned")).otherwise(F.col("stem")).alias("term")).where("length(term) > 2")
+    t = t.where(F.expr(f"not ({d.among('lower(token)', filter(str.isalpha, L.index_stops()))})"))
+    return t.join(term_of_token(t), "token").select(*keep, "pos", "term")
 
 
 def token_arrays(corpus: DataFrame, side: str = "index") -> DataFrame:

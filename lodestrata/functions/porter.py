@@ -74,9 +74,13 @@ def with_stem(df: DataFrame, word: str, to: str) -> DataFrame:
     steps, where it would write each step's expression into the next.
     """
     keep = [c for c in df.columns if c != to]
+    have, q = [], "{rows}"
     for name, e in steps(f"`{word}`"):
-        df = df.withColumn(name, F.expr(e))
-    return df.select(*keep, F.col("w").alias(to), F.rand().alias("__r")).where("__r >= 0").drop("__r")
+        # one statement with a level for each step is analysed once
+        q = f"(select {', '.join([f'`{c}`' for c in keep] + [c for c in have if c != name])}, {e} as {name} from {q})"
+        have = [*[c for c in have if c != name], name]
+    out = df.sparkSession.sql(f"select {', '.join(f'`{c}`' for c in keep)}, w as `{to}`, rand() as __r from {q}", rows=df)
+    return out.where("__r >= 0").drop("__r")
 
 
 def stem_sql(source: str, word: str, to: str) -> str:
