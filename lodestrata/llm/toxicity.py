@@ -20,7 +20,11 @@ MAX_TERMS, MIN_TOXIC_DOCS, MIN_LOG_ODDS = 4_000, 3, 1.5
 STEMS = (4, 5, 6)
 #: Edits allowed by the term's length.
 ONE_EDIT, TWO_EDITS = 5, 9
+#: Words, strongest first, that edits are allowed for; weaker evidence does not carry a misspelling.
+LOOSE_TERMS = 100
 WINDOW = 4
+#: Parts of automaton states that a worker holds at once, of some 100 bytes each at most.
+MAX_HELD = 1_000_000
 #: Words that tell of a quotation, of a denial, and of being meant.
 QUOTING = frozenset("said says say wrote writes quoted quote called calls word words term dit disait écrit mot sagte sagt schrieb wort dijo dice escribió palabra".split())
 DENYING = frozenset("not no never nobody isn't aren't wasn't nicht kein keine nie pas jamais nunca jamás".split())
@@ -53,9 +57,12 @@ class Automaton:
         self.end: list[int] = [-1]
         self.stem: list[int] = [-1]
         self.reach: list[int] = [0]
+        self.allow, loose = [], 0
         for k, t in enumerate(self.terms):
             word, stem, at = t.rstrip("*"), t.endswith("*"), 0
-            allowed = 0 if stem else 2 if len(word) >= TWO_EDITS else 1 if len(word) >= ONE_EDIT else 0
+            allowed = 0 if stem or loose >= LOOSE_TERMS else 2 if len(word) >= TWO_EDITS else 1 if len(word) >= ONE_EDIT else 0
+            loose += allowed > 0
+            self.allow.append(allowed)
             path = [0]
             for c in word:
                 if c not in self.next[at]:
@@ -69,12 +76,15 @@ class Automaton:
             for x in path:  # the most edits that any term through this node allows
                 self.reach[x] = max(self.reach[x], allowed)
             (self.stem if stem else self.end)[at] = k
-        self.allow = [2 if len(t) >= TWO_EDITS else 1 if len(t) >= ONE_EDIT else 0 for t in self.terms]
+        self._clear()
+
+    def _clear(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.accept: list[tuple[int, int] | None] = []
         self.stems_at: list[int] = []
+        self.held = 0
         self.start = self._state(self._closed({(0, 0, "")}))
 
     def _closed(self, items: set) -> frozenset:
@@ -95,6 +105,7 @@ class Automaton:
     def _state(self, s: frozenset) -> int:
         if s not in self.states:
             self.states[s] = len(self.sets)
+            self.held += len(s) + 10
             self.sets.append(s)
             self.moves.append({})
             ends = [(e, -self.weights[k], k) for n, e, w in s if not w and (k := self.end[n]) >= 0 and e <= self.allow[k]]
@@ -130,9 +141,8 @@ class Automaton:
             m = self.moves[s]
             n = m.get(c)
             if n is None:
-                if len(self.sets) > 200_000:  # states are a cache: start afresh
-                    self.states, self.sets, self.moves, self.accept, self.stems_at = {}, [], [], [], []
-                    self.start = self._state(self._closed({(0, 0, "")}))
+                if self.held > MAX_HELD:  # states are a cache: start afresh
+                    self._clear()
                     return self.match(word)
                 n = m[c] = self._move(s, c)
             if n < 0:
@@ -154,7 +164,7 @@ class _Found(dict):
         self.match = automaton.match
 
     def __missing__(self, word: str):
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         bare = word.strip("!$@-_+=~/\\^`")
         m = self.match(bare) if bare else None
