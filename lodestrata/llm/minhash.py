@@ -21,7 +21,7 @@ BANDS, ROWS = 32, 5
 SAMPLES, BITS = 480, 1024
 #: Largest XOR count of a candidate: 4.7 standard deviations over the mean at 0.8, or 0.68 as an estimate.
 MAX_XOR = 232
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 250_000
 #: Rows of a bucket that one task compares with each other.
 BUCKET_ROWS = 1024
 #: Classes whose sets meet in one task are at most about twice this.
@@ -74,7 +74,7 @@ def _by_size(texts: list) -> Iterator[tuple[int, int]]:
 
 
 def _sketch(batches):
-    for b in batches:
+    for b in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
         ids, texts = b.column(0), b.column(1).to_pylist()
         for a, z in _by_size(texts):
             sets = shingle_sets(texts[a:z], SHINGLE)
@@ -93,7 +93,7 @@ def _sketch(batches):
 
 
 def _sets(batches):
-    for b in batches:
+    for b in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
         ids, texts = b.column(0), b.column(1).to_pylist()
         for a, z in _by_size(texts):
             yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array([s.tobytes() for s in shingle_sets(texts[a:z], SHINGLE)], pa.binary())], names=["cls", "set"])
