@@ -44,52 +44,63 @@ def grams(text: Column, n: int = ORDER) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
 
 
-def train(labelled: DataFrame, order: int = ORDER) -> DataFrame:
-    """Log ratio of two smoothed variable-order Markov models for each window seen in either class.
+def interpolated(full: DataFrame, order: int = ORDER) -> DataFrame:
+    """full (gram, a, b: how often accepted and rejected urls hold a window) with llr, their log ratio.
+
+    Where a class has not seen a context, its estimate is the shorter context's, down to one
+    character of 256. So a window of count 0 changes no estimate and is judged by its longest
+    known suffixes in both classes.
+    """
+    parts = full.select("gram", "a", "b", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("k")).withColumn("tail", F.right("gram", F.col("k")))
+    tails = parts.groupBy("tail").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb")).withColumn("ctx", F.substring("tail", F.lit(1), F.length("tail") - 1))
+    # followers of a context in either class: their number, and how often each class saw the context
+    sums = tails.groupBy("ctx").agg(*(f(F.col(f"c{c}")).alias(f"{n}{c}") for c in "ab" for n, f in (
+        ("n", F.sum), ("t", lambda x: F.sum((x > 0).cast("long"))))))
+    x = parts.join(tails.join(sums, "ctx").drop("ctx"), "tail")
+    steps = x.groupBy("gram", "a", "b").agg(F.sort_array(F.collect_list(F.struct("k", *(f"{v}{c}" for c in "ab" for v in "cnt")))).alias("steps"))
+
+    def estimate(c):
+        return F.aggregate("steps", F.lit(1 / 256.0), lambda p, s: F.when(s[f"n{c}"] > 0, (s[f"c{c}"] + s[f"t{c}"] * p) / (s[f"n{c}"] + s[f"t{c}"])).otherwise(p))
 
-    labelled: url string, blocked boolean, n long (how often). Witten-Bell interpolation: each
-    order's estimate gives way to the shorter context's by the number of different characters that
-    followed the context, so contexts that were seen often use their full length and new ones fall
-    back. The counts of all orders come from those of the full windows. Returns gram, llr
-    (rejected minus accepted), as many rows as there are windows, and so grows with the corpus.
+    return steps.select("gram", "a", "b", F.log(estimate("b") / estimate("a")).alias("llr"))
+
+
+def train(labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """Log ratio of two smoothed variable-order Markov models for each window of labelled.
+
+    labelled: url string, blocked boolean, n long (how often; urls of n 0 teach nothing, but their
+    windows are judged). Witten-Bell interpolation: each order's estimate gives way to the shorter
+    context's by the number of different characters that followed the context, so contexts that
+    were seen often use their full length and new ones fall back. The counts of all orders come
+    from those of the full windows. Returns gram, a, b (counts), llr (rejected minus accepted), as
+    many rows as there are windows, and so grows with the corpus.
     """
     full = (labelled.select("blocked", "n", F.explode(grams(F.col("url"), order)).alias("gram"))
             .groupBy("gram").agg(*(F.sum(F.when(F.col("blocked") == F.lit(c == "b"), F.col("n")).otherwise(0)).alias(c) for c in "ab")))
-    full = C.cut(full)
-    alphabet = 256.0
-    out = full.select("gram", *(F.lit(1.0 / alphabet).alias(f"p{c}") for c in "ab"))
-    for k in range(1, order + 1):
-        tail = F.substring("gram", order - k + 1, k)
-        part = full.groupBy(tail.alias("tail")).agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
-        ctx = F.substring("tail", 1, k - 1) if k > 1 else F.lit("")
-        # followers of a context in either class: their number, and how often each class saw the context
-        sums = part.groupBy(ctx.alias("ctx")).agg(*(f(F.col(f"c{c}")).alias(f"{n}{c}") for c in "ab" for n, f in (
-            ("n", F.sum), ("t", lambda x: F.sum((x > 0).cast("long"))))))
-        part = part.withColumn("ctx", ctx).join(sums, "ctx").drop("ctx")
-        out = out.withColumn("tail", tail).join(part, "tail")
-        for c in "ab":
-            p, n, t, s = (F.col(f"{x}{c}") for x in "pntc")
-            out = out.withColumn(f"p{c}", F.when(n + t > 0, (s + t * p) / (n + t)).otherwise(p))
-        out = out.select("gram", "pa", "pb")
-    return out.select("gram", F.log(F.col("pb") / F.col("pa")).alias("llr"))
+    return interpolated(C.cut(full), order)
 
 
 def score(urls: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """key, score: mean log ratio of a url's windows; windows that neither class has count 0.
+    """key, score: mean log ratio of a url's windows; those that the model lacks fall back to shorter contexts.
 
-    urls: key, url with one row per key. The model is broadcast only while it has at most
-    MODEL_BROADCAST_ROWS rows; beyond that both sides are dealt by window and by a salt, because
-    windows such as '://' occur in every url.
+    urls: key, url with one row per key. Each different new window is judged once, from the model's
+    counts. The model is broadcast only while it has at most MODEL_BROADCAST_ROWS rows; beyond that
+    both sides are dealt by window and by a salt, because windows such as '://' occur in every url.
     """
     x = urls.select("key", F.explode(grams(F.col("url"), order)).alias("gram"))
+    new = C.cut(x.select("gram").distinct().join(model.select("gram"), "gram", "left_anti"))
+    if not new.isEmpty():
+        zero = F.lit(0).cast("long")
+        model = C.cut(interpolated(C.cut(model.select("gram", "a", "b").union(new.select("gram", zero, zero))), order))
+    model = model.select("gram", "llr")
     if model.count() <= MODEL_BROADCAST_ROWS:
-        x = x.join(F.broadcast(model), "gram", "left")
+        x = x.join(F.broadcast(model), "gram")
     else:
         salts = 32
         x = x.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)))
         spread = model.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-        x = x.join(spread, ["gram", "salt"], "left")
-    return x.groupBy("key").agg((F.sum(F.coalesce("llr", F.lit(0.0))) / F.count("*")).alias("score"))
+        x = x.join(spread, ["gram", "salt"])
+    return x.groupBy("key").agg((F.sum("llr") / F.count("*")).alias("score"))
 
 
 def judge(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
@@ -107,7 +118,8 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     p = p.select("*", rule.alias("rule"), verdict.alias("ruled"), F.concat("host", "path").alias("url"))
     # equal host and path get equal scores: each is scored once
     per = C.cut(p.groupBy("url", "ruled").agg(F.count("*").alias("n")))
-    known = per.where("ruled is not null").select("url", "n", (F.col("ruled") == "block").alias("blocked"))
+    # the others are there with n 0, so that the model has their windows too
+    known = per.select("url", F.when(F.col("ruled").isNull(), 0).otherwise(F.col("n")).alias("n"), (F.col("ruled") == "block").alias("blocked"))
     model = C.cut(train(known, order))
     scored = C.cut(score(per.select(F.col("url").alias("key"), "url").distinct(), model, order))
     means = {r["ruled"]: r["m"] for r in per.join(scored, per.url == scored.key).where("ruled is not null").groupBy("ruled").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("m")).collect()}

@@ -61,3 +61,18 @@ def test_salted_join_scores_the_same(spark, monkeypatch):
     two = {r.key: r.score for r in U.score(u, m).collect()}
     assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-12 for k in one)
     assert one["a.com/en"] < 0 < one["b.net/e"]
+
+
+def test_score_of_new_windows_against_brute_force(spark):
+    known = [("a.com/en", False, 2), ("b.net/es", True, 1), ("ab.net/fr", True, 3), ("a.com/fr/1", False, 1)]
+    texts = ["a.com/en", "c.net/es", "xa.com/fr/2", "b.net", "zzzz", ""]
+    m = U.train(spark.createDataFrame(known, "url string, blocked boolean, n long"), 3)
+    got = {r.key: r.score for r in U.score(spark.createDataFrame([(x, x) for x in texts], "key string, url string"), m, 3).collect()}
+    # a count of 0 makes a window known to brute() and changes no estimate
+    want = brute([*known, *((x, False, 0) for x in texts)], 3)
+    assert len(want) > len(brute(known, 3))
+    for x in texts:
+        t = "\x02\x02" + x + "\x03"
+        ws = [t[i:i + 3] for i in range(len(t) - 2)]
+        assert abs(got[x] - sum(want[w] for w in ws) / len(ws)) < 1e-9, x
+    assert got["c.net/es"] > 0 > got["xa.com/fr/2"]
