@@ -20,8 +20,6 @@ MAX_TERMS, MIN_TOXIC_DOCS, MIN_LOG_ODDS = 4_000, 3, 1.5
 STEMS = (4, 5, 6)
 #: Edits allowed by the term's length.
 ONE_EDIT, TWO_EDITS = 5, 9
-#: Words, strongest first, that edits are allowed for; weaker evidence does not carry a misspelling.
-LOOSE_TERMS = 100
 WINDOW = 4
 #: Parts of automaton states that a worker holds at once, of some 100 bytes each at most.
 MAX_HELD = 1_000_000
@@ -41,6 +39,19 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def edits_allowed(term: str) -> int:
+    return 0 if term.endswith("*") else 2 if len(term) >= TWO_EDITS else 1 if len(term) >= ONE_EDIT else 0
+
+
+def cuttings(word: str, most: int) -> set[str]:
+    """The word without up to most of its letters."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1:] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class Automaton:
     """Words within the allowed edits of any term: Levenshtein automata of all terms, run on the trie.
 
@@ -57,11 +68,10 @@ class Automaton:
         self.end: list[int] = [-1]
         self.stem: list[int] = [-1]
         self.reach: list[int] = [0]
-        self.allow, loose = [], 0
+        self.allow = []
         for k, t in enumerate(self.terms):
             word, stem, at = t.rstrip("*"), t.endswith("*"), 0
-            allowed = 0 if stem or loose >= LOOSE_TERMS else 2 if len(word) >= TWO_EDITS else 1 if len(word) >= ONE_EDIT else 0
-            loose += allowed > 0
+            allowed = edits_allowed(t)
             self.allow.append(allowed)
             path = [0]
             for c in word:
@@ -156,12 +166,70 @@ class Automaton:
         return (stem, 9) if stem >= 0 else None
 
 
+class Lexicon:
+    """Automaton's matches for a large number of terms, all with their edits.
+
+    Each edit, an exchange too, is undone by taking at most one letter from either side, so a word
+    and a term within d edits share a cutting of d letters at most. An index of the terms' cuttings
+    gives a word's few candidates, none is missed, and the automaton of just those decides.
+    """
+
+    def __init__(self, terms: dict[str, float]):
+        self.terms = list(terms)
+        self.weights = [terms[t] for t in self.terms]
+        self.exact = {t: k for k, t in enumerate(self.terms) if not t.endswith("*")}
+        self.stems = {t.rstrip("*"): k for k, t in enumerate(self.terms) if t.endswith("*")}
+        self.stem_lengths = sorted({len(t) for t in self.stems}, reverse=True)
+        self.near: dict[int, dict[str, tuple[int, ...]]] = {1: {}, 2: {}}
+        self.lengths = {1: (9, -9), 2: (9, -9)}
+        for t, k in self.exact.items():
+            if d := edits_allowed(t):
+                self.lengths[d] = min(self.lengths[d][0], len(t) - d), max(self.lengths[d][1], len(t) + d)
+                for c in cuttings(t, d):
+                    self.near[d][c] = (*self.near[d].get(c, ()), k)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.automata: dict[tuple[int, ...], Automaton] = {}
+        self.held = 0
+
+    def _candidates(self, word: str) -> tuple[int, ...]:
+        out: set[int] = set()
+        for d, near in self.near.items():
+            if self.lengths[d][0] <= len(word) <= self.lengths[d][1]:
+                for c in cuttings(word, d):
+                    if c in near:
+                        out.update(near[c])
+        return tuple(sorted(out))
+
+    def match(self, word: str) -> tuple[int, int] | None:
+        """(term number, edits) of the nearest term, of equally near ones the weightiest; 9 for a stem."""
+        if word in self.exact:
+            return self.exact[word], 0
+        if some := self._candidates(word):
+            if self.held > MAX_HELD:  # automata are a cache: start afresh
+                self._clear()
+            a = self.automata.get(some)
+            if a is None:
+                a = self.automata[some] = Automaton({self.terms[k]: self.weights[k] for k in some})
+                self.held += a.held + 4 * len(a.next)
+            before = a.held
+            m = a.match(word)
+            self.held += a.held - before
+            if m:
+                return some[m[0]], m[1]
+        for n in self.stem_lengths:
+            if len(word) >= n and word[:n] in self.stems:
+                return self.stems[word[:n]], 9
+        return None
+
+
 class _Found(dict):
     """Word to match or None, computed when first asked for; emptied when large."""
 
-    def __init__(self, automaton: Automaton):
+    def __init__(self, lexicon: Lexicon):
         super().__init__()
-        self.match = automaton.match
+        self.match = lexicon.match
 
     def __missing__(self, word: str):
         if len(self) > 200_000:
@@ -178,12 +246,12 @@ _ready: dict = {}
 
 
 def _finder(terms: dict[str, float]) -> tuple[_Found, list[str], list[float]]:
-    """One automaton a worker, kept over its tasks."""
+    """One lexicon a worker, kept over its tasks."""
     key = tuple(terms.items())
     if key not in _ready:
         _ready.clear()
-        a = Automaton(terms)
-        _ready[key] = _Found(a), a.terms, a.weights
+        x = Lexicon(terms)
+        _ready[key] = _Found(x), x.terms, x.weights
     return _ready[key]
 
 

@@ -38,6 +38,29 @@ def test_automaton_against_brute_force():
             assert got[1] == min(fits)[0] and a.terms[got[0]] == min(fits)[2], w
 
 
+def test_many_terms_against_brute_force():
+    rng = random.Random(5)
+    some = lambda lo, hi: "".join(rng.choice("abcdef") for _ in range(rng.randrange(lo, hi)))
+    terms = {some(3, 14): float(300 - i) for i in range(300)} | {"abca*": 1.0, "abcabc*": 2.0}
+    plain = [t for t in terms if not t.endswith("*")]
+    allowed = {t: 2 if len(t) >= 9 else 1 if len(t) >= 5 else 0 for t in plain}
+    assert sum(n > 0 for n in allowed.values()) > 150
+    found, names, _ = T._finder(terms)
+    words = [some(1, 16) for _ in range(60)] + ["abcafff", "abcabcfff", "x" * 20_000, ""]
+    for t in plain[-100:]:
+        w = list(t)
+        for _ in range(rng.randrange(1, 4)):
+            k = rng.randrange(len(w))
+            rng.choice([lambda: w.insert(k, rng.choice("abg")), lambda: len(w) > 1 and w.pop(k), lambda: w.__setitem__(k, "g"), lambda: w.insert(k, w.pop())])()
+        words.append("".join(w))
+    for w in words:
+        fits = [(n, -terms[t], t) for t in plain if abs(len(t) - len(w)) < 3 and (n := edits(t, w)) <= allowed[t]]
+        stem = next((s for s in ("abcabc*", "abca*") if w.startswith(s[:-1])), None)
+        want = (min(fits)[2], min(fits)[0]) if fits else (stem, 9) if stem else None
+        got = found[w]
+        assert (got and (names[got[0]], got[1])) == want, w
+
+
 def test_stems_and_context():
     terms = {"scumbag": 5.0, "low*": 4.0}
     found, _, w = T._finder(terms)
