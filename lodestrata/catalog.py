@@ -86,7 +86,7 @@ def _weighted(s, d):
 def _lsa_engine(s, d):
     e = _engine(s, d)
     if e.semantic is None:
-        e.semantic = lsa.build(e.index, 16)
+        e.semantic = lsa.build(e.index)
     return e
 
 

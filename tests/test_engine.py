@@ -135,6 +135,31 @@ def test_lsa(micro):
     assert lsa.search(m, ["zzz"], 5).count() == 0 and 0 < m.explained <= 1 and math.isclose(m.memory_mb(), 16 * 4 / 2**20)
 
 
+def test_lsa_query_has_all_components(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from lodestrata import catalog
+
+    rng = random.Random(6)
+    words = ["thtion", "erbl", "attion", *(f"w{i}" for i in range(120))]
+    p = [(w, f"CVE-2024-{100 + d}", "nvd", rng.randrange(1, 4)) for d in range(80) for w in rng.sample(words, 15)]
+    post = spark.createDataFrame(p, "term string, doc_id string, source string, tf int").persist()
+    docs = post.groupBy("doc_id", "source").agg(F.sum("tf").cast("int").alias("dl")).persist()
+    e = Engine(spark, index.Index(docs, post, index.term_stats(post).persist(), 80, 30.0))
+    monkeypatch.setattr(catalog, "_engine", lambda s, d: e)
+    got = {r.doc_id: r.score for r in catalog.QUERIES["lsa_top10"](spark, "").collect()}
+    assert len(e.semantic.singular) == 79
+    ws = {(r.doc_id, r.term): r.value for r in lsa.weights(e.index).collect()}
+    ids, terms = sorted({d for d, _ in ws}), sorted({t for _, t in ws})
+    u, s, vt = np.linalg.svd(np.array([[ws.get((d, t), 0.0) for t in terms] for d in ids]), full_matrices=False)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    q = sum(unit(vt.T[:, :79] * s[:79])[terms.index(t)] for t in words[:3])
+    want = dict(zip(ids, unit(u[:, :79]) @ (q / np.linalg.norm(q))))
+    assert set(got) == set(sorted(ids, key=lambda d: -want[d])[:10]) and all(abs(got[d] - want[d]) < 1e-4 for d in got)
+
+
 V1 = {"CVE_Items": [{"cve": {"CVE_data_meta": {"ID": "cve-2024-1"}, "description": {"description_data": [{"lang": "en", "value": "Heap overflow"}, {"lang": "fr", "value": "non"}]},
       "problemtype": {"problemtype_data": [{"description": [{"lang": "en", "value": "CWE-79"}]}]},
       "references": {"reference_data": [{"name": "http://x.test/a", "tags": ["Patch"]}, {"name": "Vendor Bulletin", "tags": ["Exploit"]}]}}}]}
