@@ -5,6 +5,8 @@ Documents stand for advisories (CVE-2024-<id>), benchmark items for techniques (
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,7 +95,7 @@ def _lsa_engine(s, d):
 def _topics(s, d):
     key = "topics", s.sparkContext.applicationId, d
     if key not in _cache:
-        _cache[key] = topics.train(topics.topic_corpus(corpus(s, d)).persist(), N_TOPICS)
+        _cache[key] = topics.train(topics.topic_corpus(analyzer.spread(corpus(s, d))).persist(), N_TOPICS)
     return _cache[key]
 
 
@@ -105,8 +107,8 @@ def _rule_topics(s, d):
     return _read(s, d, "documents").select(F.concat(F.lit("CVE-2024-"), F.col("doc_id").cast("string")).alias("doc_id"), (F.col("doc_id") % N_TOPICS).cast("int").alias("dominant_topic"))
 
 
-def _pairs8(s, d):
-    return expand.technique_cve(_engine(s, d).index.postings, techniques(s, d), 8)
+def _pairs(s, d):
+    return _expandable(s, d).pairs
 
 
 def _vector(s, d):
@@ -157,16 +159,16 @@ QUERIES = {
     "bool_overfetch": _search("thtion AND erble", rerank="overfetch"),
     "kw_technique": lambda s, d: expand.kw_technique(techniques(s, d)),
     "technique_cve": lambda s, d: expand.technique_cve(_engine(s, d).index.postings, techniques(s, d)).select("tid", "cve_id"),
-    "technique_map": lambda s, d: expand.technique_map(_pairs8(s, d)).select("tid", F.array_join("cves", " ").alias("cves")),
+    "technique_map": lambda s, d: expand.technique_map(_pairs(s, d)).select("tid", F.array_join("cves", " ").alias("cves")),
     "expand_weights": lambda s, d: expand.expand(["thtion", "erbl", "attion"], _expandable(s, d).keywords, _expandable(s, d).pairs),
     "bm25_expanded": _search(QUERY, expanded=True),
     "result_urls": lambda s, d: corpus(s, d).select("doc_id", rank.result_url(F.col("doc_id")).alias("url"), rank.source_label(F.col("source")).alias("label"), rank.source_of_id(F.col("doc_id")).alias("inferred")),
     "result_page": lambda s, d: rank.results(_engine(s, d).search(QUERY, expanded=False)),
     "topic_tokens": lambda s, d: analyzer.topic_tokens(corpus(s, d)).select("doc_id", F.array_join("tokens", " ").alias("tokens")),
     "topic_corpus": lambda s, d: topics.topic_corpus(corpus(s, d)).select("doc_id", F.size("tokens").alias("n")),
-    "topic_vocab": lambda s, d: topics.vocabulary(topics.topic_corpus(corpus(s, d))),
-    "tactic_topic_heatmap": lambda s, d: topics.tactic_topic(_pairs8(s, d), tactics(s, d), _rule_topics(s, d), N_TOPICS),
-    "tactic_topic_distinct": lambda s, d: topics.tactic_topic(_pairs8(s, d), tactics(s, d), _rule_topics(s, d), N_TOPICS, True),
+    "topic_vocab": lambda s, d: topics.vocabulary(topics.topic_corpus(analyzer.spread(corpus(s, d)))),
+    "tactic_topic_heatmap": lambda s, d: topics.tactic_topic(_pairs(s, d), tactics(s, d), _rule_topics(s, d), N_TOPICS),
+    "tactic_topic_distinct": lambda s, d: topics.tactic_topic(_pairs(s, d), tactics(s, d), _rule_topics(s, d), N_TOPICS, True),
     "tactic_titles": lambda s, d: tactics(s, d).select("tid", nvd.tactic_title(F.lower(F.replace("tactic", F.lit(" "), F.lit("-")))).alias("title")),
     "lsa_weights": lambda s, d: lsa.weights(_engine(s, d).index).select("term", "doc_id", F.round("value", 6).alias("value")),
     "vector_top10": _vector,
@@ -230,7 +232,7 @@ _TACTIC = "select 'T' || (1000 + item_id) as tid, [" + ", ".join(f"'{t}'" for t
 
 def _heat(distinct: bool) -> str:
     cells = ", ".join(f"count(*) filter (topic = {i})::bigint as topic_{i}" for i in range(N_TOPICS))
-    hits = f"select {'distinct' if distinct else ''} tactic, {'cve_id,' if distinct else ''} doc_id::bigint % {N_TOPICS} as topic from (select tid, cve_id, replace(cve_id, 'CVE-2024-', '') as doc_id from pair where overlap >= 8) join ({_TACTIC}) using (tid)"
+    hits = f"select {'distinct' if distinct else ''} tactic, {'cve_id,' if distinct else ''} doc_id::bigint % {N_TOPICS} as topic from (select tid, cve_id, replace(cve_id, 'CVE-2024-', '') as doc_id from pair where overlap >= 3) join ({_TACTIC}) using (tid)"
     return _with(f"select tactic, {cells} from (select distinct tactic from ({_TACTIC})) left join ({hits}) using (tactic) group by 1", _PAIRS)
 
 
@@ -238,52 +240,56 @@ def _tokens(side: str) -> str:
     return f"select c.doc_id, c.source, coalesce(string_agg(term, ' ' order by pos), '') as tokens from ({_CORPUS}) c left join ({analyzer.terms_sql(_CORPUS, side)}) t on t.doc_id = c.doc_id group by 1, 2"
 
 
-SQL = {
-    "tokens_index": _tokens("index"),
-    "tokens_query": _tokens("query"),
-    "tokens_html": f"select doc_id, count(*) as n, count(distinct term) as n_terms from ({analyzer.terms_sql(chr(10).join(['select page_id::varchar as doc_id, chr(110) as source, html as text from pages']))}) group by 1",
-    "security_ids": f"select doc_id, array_to_string({analyzer.ids(DUCK, 'text')}, ' ') as ids from ({_TAGGED})",
-    "acronyms": f"select term, count(*) as n from ({analyzer.terms_sql(_TAGGED)}) where term in ('remotecodeexecut', 'crosssitescript') group by 1",
-    "inspect_first20": f"select c.doc_id, count(term)::int as n, coalesce(string_agg(term, ' ' order by pos) filter (k <= 10), '') as first10 from (select doc_id from ({_CORPUS}) order by doc_id limit 20) c left join (select *, row_number() over (partition by doc_id order by pos) as k from ({analyzer.terms_sql(_CORPUS)})) t on t.doc_id = c.doc_id group by 1",
-    "tf": _with("select term, doc_id, source, tf from post"),
-    "df": _with("select term, df from stat"),
-    "vocabulary": _with("select term from stat"),
-    "dictionary": _with("select term, (row_number() over (order by term) - 1)::int as word_code from stat"),
-    "doc_lengths": _with("select * from docs"),
-    "collection_stats": _with("select n as n_docs, round(a, 6) as avg_dl from coll"),
-    "index_summary": _with("select count(*) as vocabulary, sum(df)::bigint as postings from stat"),
-    "postings_nested": _with("select term, count(*) as df, string_agg(doc_id || ',' || tf, ' ' order by doc_id, tf) as list from post group by 1"),
-    "index_merge": _with("select term, doc_id, source, tf from post"),
-    "term_postings": _with("select doc_id, tf, source from post where term = 'thtion'"),
-    "bm25_top10": _with(_top(_scores(_Q3))),
-    "bm25_no_source_weight": _with(_top(_scores(_Q3, boost=False))),
-    "tfidf_top10": _with(_top(_scores(_Q3, "tfidf"))),
-    "bm25_weighted": _with(_top(_scores(WEIGHTED))),
-    "bm25_scores": _with(_scores(_Q3)),
-    "bool_and": _with(_flags("<thtion> and <erbl>")),
-    "bool_or": _with(_flags("<erth> or <one>")),
-    "bool_not": _with(_flags("not <thing>")),
-    "bool_and_not": _with(_flags("<eran> and not <eror>")),
-    "bool_paren": _with(_flags("(<thtion> or <erth>) and (<one> or not <eror>) and not <thing>")),
-    "bool_words": _with(_flags("<thtion> and <erbl> or <eran> and <eror>")),
-    "bool_stop_operand": _with("select doc_id from docs where dl > 0"),
-    "bool_unranked": _with(_flags("<thtion> and <erbl>") + " order by doc_id limit 10"),
-    "bool_then_bm25": _with(_top(_scores({"thtion": 1.0, "erbl": 1.0}, where=f"where doc_id in ({_flags('<thtion> and <erbl>')})"))),
-    "bool_overfetch": _with(_top(f"select doc_id, source, score from ({_top(_scores({'thtion': 1.0, 'erbl': 1.0}), 100)}) where doc_id in ({_flags('<thtion> and <erbl>')})")),
-    "kw_technique": f"select keyword, tid from ({_KW})",
-    "technique_cve": _with("select tid, cve_id from pair where overlap >= 3", _PAIRS),
-    "technique_map": _with("select tid, string_agg(cve_id, ' ' order by cve_id) as cves from pair where overlap >= 8 group by 1", _PAIRS),
-    "expand_weights": _with("select * from e", _PAIRS, _KWC, _EXP),
-    "bm25_expanded": _with(_top(_scores_of("select term, weight from e")), _PAIRS, _KWC, _EXP),
-    "result_urls": f"select doc_id, case when doc_id like 'CVE-%' then 'https://nvd.nist.gov/vuln/detail/' || doc_id else 'https://attack.mitre.org/techniques/' || replace(doc_id, '.', '/') || '/' end as url, case source when 'attack' then 'ATT&CK' else 'NVD' end as label, source as inferred from ({_CORPUS})",
-    "result_page": _with(f"select rank, round(score, 4) as score, case source when 'attack' then 'ATT&CK' else 'NVD' end as label, doc_id, case when doc_id like 'CVE-%' then 'https://nvd.nist.gov/vuln/detail/' || doc_id else 'https://attack.mitre.org/techniques/' || replace(doc_id, '.', '/') || '/' end as url from ({_top(_scores(_Q3))})"),
-    "topic_tokens": f"select doc_id, array_to_string(tokens, ' ') as tokens from ({_TOPIC})",
-    "topic_corpus": f"select doc_id, len(tokens)::int as n from ({_TCORP})",
-    "topic_vocab": f"with t as materialized ({_TCORP}) select term, count(*) as df from (select unnest(list_distinct(tokens)) as term from t) group by 1 having count(*) >= 10 and count(*) <= 0.4 * (select count(*) from t)",
-    "tactic_topic_heatmap": _heat(False),
-    "tactic_topic_distinct": _heat(True),
-    "tactic_titles": f"select tid, tactic as title from ({_TACTIC})",
-    "lsa_weights": _with("select term, doc_id, round(tf * ln((n - df + 0.5) / (df + 0.5) + 1), 6) as value from post join stat using (term), coll"),
-    "vector_top10": "select v.vec_id, round(list_inner_product(v.embedding::double[], q.embedding::double[]), 6) as score from embeddings v, embeddings q where q.vec_id = 0 order by score desc, v.vec_id limit 10",
-}
+@functools.cache
+def sql() -> dict[str, str]:
+    return {
+        "tokens_index": _tokens("index"),
+        "tokens_query": _tokens("query"),
+        "tokens_html": f"select doc_id, count(*) as n, count(distinct term) as n_terms from ({analyzer.terms_sql(chr(10).join(['select page_id::varchar as doc_id, chr(110) as source, html as text from pages']))}) group by 1",
+        "security_ids": f"select doc_id, array_to_string({analyzer.ids(DUCK, 'text')}, ' ') as ids from ({_TAGGED})",
+        "acronyms": f"select term, count(*) as n from ({analyzer.terms_sql(_TAGGED)}) where term in ('remotecodeexecut', 'crosssitescript') group by 1",
+        "inspect_first20": f"select c.doc_id, count(term)::int as n, coalesce(string_agg(term, ' ' order by pos) filter (k <= 10), '') as first10 from (select doc_id from ({_CORPUS}) order by doc_id limit 20) c left join (select *, row_number() over (partition by doc_id order by pos) as k from ({analyzer.terms_sql(_CORPUS)})) t on t.doc_id = c.doc_id group by 1",
+        "tf": _with("select term, doc_id, source, tf from post"),
+        "df": _with("select term, df from stat"),
+        "vocabulary": _with("select term from stat"),
+        "dictionary": _with("select term, (row_number() over (order by term) - 1)::int as word_code from stat"),
+        "doc_lengths": _with("select * from docs"),
+        "collection_stats": _with("select n as n_docs, round(a, 6) as avg_dl from coll"),
+        "index_summary": _with("select count(*) as vocabulary, sum(df)::bigint as postings from stat"),
+        "postings_nested": _with("select term, count(*) as df, string_agg(doc_id || ',' || tf, ' ' order by doc_id, tf) as list from post group by 1"),
+        "index_merge": _with("select term, doc_id, source, tf from post"),
+        "term_postings": _with("select doc_id, tf, source from post where term = 'thtion'"),
+        "bm25_top10": _with(_top(_scores(_Q3))),
+        "bm25_no_source_weight": _with(_top(_scores(_Q3, boost=False))),
+        "tfidf_top10": _with(_top(_scores(_Q3, "tfidf"))),
+        "bm25_weighted": _with(_top(_scores(WEIGHTED))),
+        "bm25_scores": _with(_scores(_Q3)),
+        "bool_and": _with(_flags("<thtion> and <erbl>")),
+        "bool_or": _with(_flags("<erth> or <one>")),
+        "bool_not": _with(_flags("not <thing>")),
+        "bool_and_not": _with(_flags("<eran> and not <eror>")),
+        "bool_paren": _with(_flags("(<thtion> or <erth>) and (<one> or not <eror>) and not <thing>")),
+        "bool_words": _with(_flags("<thtion> and <erbl> or <eran> and <eror>")),
+        "bool_stop_operand": _with("select doc_id from docs where dl > 0"),
+        "bool_unranked": _with(_flags("<thtion> and <erbl>") + " order by doc_id limit 10"),
+        "bool_then_bm25": _with(_top(_scores({"thtion": 1.0, "erbl": 1.0}, where=f"where doc_id in ({_flags('<thtion> and <erbl>')})"))),
+        "bool_overfetch": _with(_top(f"select doc_id, source, score from ({_top(_scores({'thtion': 1.0, 'erbl': 1.0}), 100)}) where doc_id in ({_flags('<thtion> and <erbl>')})")),
+        "kw_technique": f"select keyword, tid from ({_KW})",
+        "technique_cve": _with("select tid, cve_id from pair where overlap >= 3", _PAIRS),
+        "technique_map": _with("select tid, string_agg(cve_id, ' ' order by cve_id) as cves from pair where overlap >= 3 group by 1", _PAIRS),
+        "expand_weights": _with("select * from e", _PAIRS, _KWC, _EXP),
+        "bm25_expanded": _with(_top(_scores_of("select term, weight from e")), _PAIRS, _KWC, _EXP),
+        "result_urls": f"select doc_id, case when doc_id like 'CVE-%' then 'https://nvd.nist.gov/vuln/detail/' || doc_id else 'https://attack.mitre.org/techniques/' || replace(doc_id, '.', '/') || '/' end as url, case source when 'attack' then 'ATT&CK' else 'NVD' end as label, source as inferred from ({_CORPUS})",
+        "result_page": _with(f"select rank, round(score, 4) as score, case source when 'attack' then 'ATT&CK' else 'NVD' end as label, doc_id, case when doc_id like 'CVE-%' then 'https://nvd.nist.gov/vuln/detail/' || doc_id else 'https://attack.mitre.org/techniques/' || replace(doc_id, '.', '/') || '/' end as url from ({_top(_scores(_Q3))})"),
+        "topic_tokens": f"select doc_id, array_to_string(tokens, ' ') as tokens from ({_TOPIC})",
+        "topic_corpus": f"select doc_id, len(tokens)::int as n from ({_TCORP})",
+        "topic_vocab": f"with t as materialized ({_TCORP}) select term, count(*) as df from (select unnest(list_distinct(tokens)) as term from t) group by 1 having count(*) >= 10 and count(*) <= 0.4 * (select count(*) from t) order by df desc, term limit 100000",
+        "tactic_topic_heatmap": _heat(False),
+        "tactic_topic_distinct": _heat(True),
+        "tactic_titles": f"select tid, tactic as title from ({_TACTIC})",
+        "lsa_weights": _with("select term, doc_id, round(tf * ln((n - df + 0.5) / (df + 0.5) + 1), 6) as value from post join stat using (term), coll"),
+        "vector_top10": "select v.vec_id, round(list_inner_product(v.embedding::double[], q.embedding::double[]), 6) as score from embeddings v, embeddings q where q.vec_id = 0 order by score desc, v.vec_id limit 10",
+    }
+
+
 FLAGSHIP = "bm25_expanded"

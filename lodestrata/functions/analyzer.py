@@ -1,19 +1,183 @@
 """Text to terms: the index analyzer, the query analyzer, the topic analyzer and keyword extraction.
 
-All are built-in expressions. A text becomes rows (one per token), so stemming runs inside generated
-code, without a shuffle. The same expressions are rendered for DuckDB by sql().
+A document is analysed where it is read, by one Arrow task that keeps each different token's term, so
+there is no shuffle before terms are counted, and a query is analysed on the driver by the same code.
+The DuckDB expressions below say the same independently; the catalog's queries hold one against the other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import string
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon as L
 from . import porter
-from .dialect import DUCK, SPARK, Dialect
+from .dialect import DUCK, Dialect
+
+#: Different tokens whose terms a worker holds, and documents whose rows it makes at once.
+HELD, SLICE = 500_000, 256
+_IDS = [re.compile(p) for p in L.ID_PATTERNS]
+_ID_TOKEN, _TOPIC_ID = re.compile(L.ID_TOKEN), re.compile(L.TOPIC_ID_TOKEN)
+_CLEAN = [re.compile(p) for p in L.CLEAN]
+_MARKUP = [re.compile(p) for p in L.TOPIC_MARKUP]
+_INDEX_STOPS, _TOPIC_STOPS, _ENGLISH = L.index_stops(), L.topic_stops(), frozenset(L.ENGLISH_STOPS)
+
+
+class _Terms(dict):
+    """Token to term, '' where a token has none; computed when first asked for, emptied when large."""
+
+    def __init__(self, of: Callable[[str], str]):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= HELD:
+            self.clear()
+        t = self[token] = self.of(token)
+        return t
+
+
+def _index_term(token: str) -> str:
+    if _ID_TOKEN.match(token):
+        return token.upper()
+    for p in _CLEAN:
+        token = p.sub("", token)
+    token = token.strip(string.punctuation)
+    if any(map(str.isdigit, token)):
+        return ""
+    word = re.sub("[^a-zA-Z]", "", token).lower()
+    if len(word) <= 2 or word in _INDEX_STOPS:
+        return ""
+    t = porter.stem(word)
+    return t if len(t) > 2 else ""
+
+
+def _topic_term(token: str) -> str:
+    if _TOPIC_ID.match(token):
+        return ""
+    word = re.sub("[^a-z]", "", token)
+    return word if len(word) >= 4 and word not in _TOPIC_STOPS else ""
+
+
+_term_of, _topic_of = _Terms(_index_term), _Terms(_topic_term)
+
+
+def security_ids(text: str) -> list[str]:
+    """Identifiers of a text, upper-cased, pattern by pattern."""
+    return [x.upper() for p in _IDS for x in p.findall(text)]
+
+
+def words(text: str, side: str = "index") -> list[str]:
+    """Tokens before cleaning. The index side takes identifiers first and writes acronyms out; the query side does neither."""
+    if side == "query":
+        return text.split()
+    rest = text
+    for p in _IDS:
+        rest = p.sub(" ", rest)
+    return security_ids(text) + [L.ACRONYMS.get(t.lower(), t) for t in rest.split()]
+
+
+def analyze(text: str | None, side: str = "index") -> list[str]:
+    """Terms of a text, in order, repeats kept; null has none."""
+    return [t for w in words(text or "", side) if (t := _term_of[w])]
+
+
+def topic_words(text: str | None) -> list[str]:
+    """Tokens of the topic model, unstemmed."""
+    x = text or ""
+    for p in _MARKUP:
+        x = p.sub(" ", x)
+    return [t for w in x.lower().split() if (t := _topic_of[w])]
+
+
+def keyword_set(tid: str, name: str, full_text: str) -> set[str]:
+    """Stems of words of four letters or more that are no stop words, the id, and stems of name words."""
+    out = {porter.stem(w) for w in set(re.findall("[a-zA-Z]{4,}", full_text.lower())) if w not in _ENGLISH}
+    out |= {k for w in name.lower().split() if (k := porter.stem(w)) not in _ENGLISH}
+    return {k for k in out if len(k) >= L.MIN_KEYWORD} | {tid.upper()}
+
+
+# --- Spark ---------------------------------------------------------------------------------------
+
+def spread(corpus: DataFrame) -> DataFrame:
+    """The corpus, dealt anew if it is read as fewer parts than there are cores; a larger one stays where it is.
+
+    Analysis costs far more than moving so few texts. corpus should be a scan or kept, as its parts are counted.
+    """
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    return corpus.repartition(cores) if corpus.rdd.getNumPartitions() < cores else corpus
+
+
+# workers find these by name, so a worker's tasks share its terms
+def _placed(text: str | None, side: str) -> list[tuple]:
+    return [(k, t) for k, w in enumerate(words(text or "", side)) if (t := _term_of[w])]
+
+
+def _counted(text: str | None, side: str) -> list[tuple]:
+    return list(Counter(analyze(text, side)).items())
+
+
+def _listed(text: str | None, side: str) -> list[tuple]:
+    return [(topic_words(text) if side == "topic" else analyze(text, side),)]
+
+
+def _flat(docs: DataFrame, keep: list[str], text: str, analyzed: Callable[[str | None], list[tuple]], fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """Columns keep and fields: a row for each tuple that a document's text gives."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
+            found = [analyzed(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            columns = zip(*(x for f in found for x in f)) if len(at) else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([b.column(i).take(at) for i in range(len(keep))] + [pa.array(c, f[2]) for c, f in zip(columns, fields)], names=[*keep, *(f[0] for f in fields)])
+
+    of = dict(docs.dtypes)
+    schema = ", ".join([f"`{c}` {of[c]}" for c in keep] + [f"{n} {t}" for n, t, _ in fields])
+    return docs.select(*keep, F.col(text).cast("string")).mapInArrow(run, schema)
+
+
+def _keys(corpus: DataFrame) -> list[str]:
+    return [c for c in ("doc_id", "source") if c in corpus.columns]
 
 
+def terms(corpus: DataFrame, side: str = "index", text: str = "text") -> DataFrame:
+    """Rows doc_id, source, pos, term of a corpus (doc_id, source, text). Documents without terms give none."""
+    return _flat(corpus, _keys(corpus), text, partial(_placed, side=side), [("pos", "int", pa.int32()), ("term", "string", pa.string())])
+
+
+def term_counts(corpus: DataFrame, side: str = "index", text: str = "text") -> DataFrame:
+    """Rows doc_id, source, term, tf of each row of a corpus; with unique ids that is the postings, without a shuffle."""
+    return _flat(corpus, _keys(corpus), text, partial(_counted, side=side), [("term", "string", pa.string()), ("tf", "int", pa.int32())])
+
+
+def token_arrays(corpus: DataFrame, side: str = "index") -> DataFrame:
+    """doc_id, source, tokens in order, for every document, also those without a token."""
+    return _flat(corpus, _keys(corpus), "text", partial(_listed, side=side), [("tokens", "array<string>", pa.list_(pa.string()))])
+
+
+def topic_tokens(corpus: DataFrame) -> DataFrame:
+    return _flat(corpus, _keys(corpus), "text", partial(_listed, side="topic"), [("tokens", "array<string>", pa.list_(pa.string()))])
+
+
+def keywords(techniques: DataFrame) -> DataFrame:
+    """tid, keyword, without repeats within a technique, of techniques (tid, name, full_text)."""
+    def run(batches):
+        for b in batches:
+            rows = [(tid, k) for tid, name, text in zip(*(c.to_pylist() for c in b.columns)) for k in sorted(keyword_set(tid, name, text))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["tid", "keyword"])
+
+    return techniques.where("tid is not null").select("tid", *(F.coalesce(c, F.lit("")).alias(c) for c in ("name", "full_text"))).mapInArrow(run, "tid string, keyword string").distinct()
+
+
+# --- expressions for DuckDB, and ids for Spark SQL too -----------------------------------------------
+
 def ids(d: Dialect, text: str) -> str:
     """Identifiers of a text, upper-cased, pattern by pattern."""
     return d.mapped(d.joined(*(d.all_matches(text, p) for p in L.ID_PATTERNS)), "i", "upper(i)")
@@ -51,74 +215,13 @@ def clean_steps(d: Dialect, token: str = "token") -> list[tuple[str, str]]:
 def topic_array(d: Dialect, text: str) -> str:
     """Tokens of the topic model, unstemmed."""
     x = text
-    for p in (r"<.*?>", r"&[a-z]+;", r"https?://\S+"):
+    for p in L.TOPIC_MARKUP:
         x = d.replaced(x, p, " ")
     words = d.kept(split_words(d, f"lower({x})"), "u", f"not {d.matches('u', L.TOPIC_ID_TOKEN)}")
     letters = d.mapped(words, "v", d.replaced("v", "[^a-z]+"))
     return d.kept(letters, "z", f"length(z) >= 4 and not ({d.among('z', L.topic_stops())})")
 
 
-# --- Spark ---------------------------------------------------------------------------------------
-
-def term_of_token(tokens: DataFrame, persist: bool = True) -> DataFrame:
-    """token, term of each different token that has a term: cleaned, tested and stemmed once.
-
-    Kept, as the planner would otherwise look through a join with it into every step of the stemmer.
-    """
-    d = SPARK
-    # a number of partitions, as the few bytes of a vocabulary take much work
-    v = tokens.select("token").distinct().repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
-    for name, e in clean_steps(d):
-        v = v.withColumn(name, F.expr(e))
-    v = v.where(F.expr(f"cleaned <> '' and (is_id or not ({d.among('cleaned', L.index_stops())}))"))
-    v = porter.with_stem(v.select("token", "is_id", "cleaned"), "cleaned", "stem")
-    v = v.select("token", F.when(F.col("is_id"), F.col("cleaned")).otherwise(F.col("stem")).alias("term")).where("length(term) > 2")
-    return v.persist() if persist else v
-
-
-def terms(corpus: DataFrame, side: str = "index", text: str = "text") -> DataFrame:
-    """Rows doc_id, source, pos, term of a corpus (doc_id, source, text). Documents without terms give none.
-
-    Tokens are stop words or are joined with the vocabulary's terms. Stop words as they stand go
-    first, so the join has no very frequent key left; what is frequent still, adaptive execution splits.
-    """
-    d = SPARK
-    keep = [c for c in ("doc_id", "source") if c in corpus.columns]
-    t = corpus.select(*keep, F.posexplode(F.expr(raw_tokens(d, f"coalesce(`{text}`, '')", side))).alias("pos", "token"))
-    t = t.where(F.expr(f"not ({d.among('lower(token)', filter(str.isalpha, L.index_stops()))})"))
-    return t.join(term_of_token(t), "token").select(*keep, "pos", "term")
-
-
-def token_arrays(corpus: DataFrame, side: str = "index") -> DataFrame:
-    """doc_id, source, tokens in order, for every document, also those without a token."""
-    t = terms(corpus, side).groupBy("doc_id").agg(F.expr("transform(sort_array(collect_list(struct(pos, term))), x -> x.term)").alias("tokens"))
-    return corpus.select("doc_id", "source").join(t, "doc_id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
-
-
-def query_terms(spark: SparkSession, text: str, acronyms: bool = False) -> list[str]:
-    """Terms of a query text, in order, repeats kept; acronyms as in documents only if asked for."""
-    q = spark.createDataFrame([("q", text)], "doc_id string, text string")
-    return [r["term"] for r in terms(q, "index" if acronyms else "query").orderBy("pos").collect()]
-
-
-def topic_tokens(corpus: DataFrame) -> DataFrame:
-    return corpus.select("doc_id", "source", F.expr(topic_array(SPARK, "coalesce(text, '')")).alias("tokens"))
-
-
-def keywords(techniques: DataFrame) -> DataFrame:
-    """tid, keyword, without repeats: word stems of full_text, the id itself, and stems of name words.
-
-    techniques: tid, name, full_text. Words are runs of four letters or more that are no stop words.
-    """
-    d = SPARK
-    w = techniques.select("tid", F.explode(F.expr(d.mapped(d.all_matches("full_text", "[a-zA-Z]{4,}"), "x", "lower(x)"))).alias("word")).distinct()
-    w = porter.with_stem(w.where(~F.col("word").isin(sorted(L.english_stops()))), "word", "keyword")
-    n = techniques.select("tid", F.explode(F.expr(split_words(d, "lower(name)"))).alias("word")).distinct()
-    n = porter.with_stem(n, "word", "keyword").where(~F.col("keyword").isin(sorted(L.english_stops())))
-    both = w.unionByName(n).where(F.length("keyword") >= L.MIN_KEYWORD).select("tid", "keyword")
-    return both.unionByName(techniques.select("tid", F.upper("tid").alias("keyword"))).distinct()
-
-
 # --- DuckDB --------------------------------------------------------------------------------------
 
 def terms_sql(corpus: str, side: str = "index", keep: str = "doc_id, source") -> str:
@@ -136,7 +239,7 @@ def keywords_sql(techniques: str) -> str:
     d = DUCK
     stops = d.among
     w = f"select distinct tid, unnest({d.mapped(d.all_matches('full_text', '[a-zA-Z]{4,}'), 'x', 'lower(x)')}) as word from ({techniques})"
-    w = porter.stem_sql(f"select * from ({w}) where not ({stops('word', L.english_stops())})", "word", "keyword")
+    w = porter.stem_sql(f"select * from ({w}) where not ({stops('word', L.ENGLISH_STOPS)})", "word", "keyword")
     n = porter.stem_sql(f"select distinct tid, unnest({split_words(d, 'lower(name)')}) as word from ({techniques})", "word", "keyword")
-    return (f"select distinct tid, keyword from (select tid, keyword from ({w}) union all select tid, keyword from ({n}) where not ({stops('keyword', L.english_stops())})) "
+    return (f"select distinct tid, keyword from (select tid, keyword from ({w}) union all select tid, keyword from ({n}) where not ({stops('keyword', L.ENGLISH_STOPS)})) "
             f"where length(keyword) >= {L.MIN_KEYWORD} union select tid, upper(tid) from ({techniques})")

@@ -1,15 +1,12 @@
-"""Porter's stemmer (1980) with the usual extensions, as SQL expressions over a column.
+"""Porter's stemmer (1980) with the usual extensions: a function, and SQL expressions that check it.
 
-Each step is one expression over the word so far, w, and the consonant-vowel pattern p of w. The
-pattern of a beginning of a word is the beginning of its pattern, so the measure of a stem is a
-LIKE on it: m > 0 is %VC%, m > 1 is %VC%VC%. The expressions stay inside generated code.
+Both work on a word and its consonant-vowel pattern; the pattern of a beginning of a word is the
+beginning of its pattern, and the measure m is the number of VC in it. The function serves workers,
+which stem each different word once, and queries on the driver. The expressions are the oracle's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 #: Words with a stem of their own.
 IRREGULAR = {"skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "inning": "inning",
              "outings": "outing", "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed"}
@@ -18,6 +15,84 @@ STEP2 = (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "anc
          ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"))
 STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
 STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+_STEP4 = tuple((x, "") for x in STEP4)
+
+
+def _shape(w: str) -> str:
+    """C and V for each character; y is C at the beginning and behind a vowel."""
+    out = ""
+    for c in w:
+        out += "V" if c in "aeiou" or c == "y" and out[-1:] == "C" else "C"
+    return out
+
+
+def _short(w: str, p: str) -> bool:
+    return p == "VC" or p.endswith("CVC") and w[-1] not in "wxy"
+
+
+def _by_rules(w: str, p: str, rules, least: int) -> str:
+    for suffix, other in rules:
+        if w.endswith(suffix):
+            n = len(w) - len(suffix)
+            fits = p[:n].count("VC") > least and (suffix != "ion" or w[n - 1:n] in ("s", "t"))
+            return w[:n] + other if fits else w
+    return w
+
+
+def _inflection(w: str) -> str:
+    """Plurals, then past tense and -ing, then final y."""
+    if w.endswith("ies"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    p = _shape(w)
+    cut = 0
+    if w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
+        w = w[:-1] if "VC" in p[:-3] else w
+    elif w.endswith("ed") and "V" in p[:-2]:
+        cut = 2
+    elif w.endswith("ing") and "V" in p[:-3]:
+        cut = 3
+    if cut:
+        w, p = w[:-cut], p[:-cut]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif p.endswith("CC") and w[-1] == w[-2] and w[-1] not in "lsz":
+            w = w[:-1]
+        elif p.count("VC") == 1 and _short(w, p):
+            w += "e"
+    if len(w) > 2 and w.endswith("y") and _shape(w)[-2] == "C":
+        w = w[:-1] + "i"
+    return w
+
+
+def _derivation(w: str) -> str:
+    p = _shape(w)
+    if w.endswith("logi"):
+        return w[:-1] if "VC" in p[:-3] else w
+    out = _by_rules(w, p, STEP2, 0)
+    # what loses -alli is tried once more
+    return _derivation(out) if out != w and w.endswith("alli") else out
+
+
+def stem(word: str) -> str:
+    """Stem of a lower-case word."""
+    if len(word) <= 2 or word in IRREGULAR:
+        return IRREGULAR.get(word, word)
+    w = _derivation(_inflection(word))
+    w = _by_rules(w, _shape(w), STEP3, 0)
+    w = _by_rules(w, _shape(w), _STEP4, 1)
+    if w.endswith("e"):
+        p = _shape(w)[:-1]
+        if p.count("VC") > 1 or "VC" in p and not _short(w[:-1], p):
+            w = w[:-1]
+    if w.endswith("ll") and _shape(w)[:-1].count("VC") > 1:
+        w = w[:-1]
+    return w
 
 
 def _stem(n: int, x: str = "w") -> str:
@@ -37,7 +112,7 @@ def _cvc(w: str, p: str) -> str:
 
 def pattern(w: str) -> str:
     """C and V for each letter; y is C at the beginning and behind a vowel."""
-    p = f"translate({w}, 'aeioubcdfghjklmnpqrstvwxz', 'VVVVV{'C' * 20}')"
+    p = f"translate(regexp_replace({w}, '[^aeiouy]', 'C', 'g'), 'aeiou', 'VVVVV')"
     p = f"replace(concat('>', {p}), '>y', '>C')"
     for _ in range(3):
         p = f"replace(replace({p}, 'Cy', 'CV'), 'Vy', 'VC')"
@@ -67,22 +142,6 @@ def steps(word: str) -> list[tuple[str, str]]:
     return [*out, ("w", f"case when length({word}) <= 2 then {word} else case {word} {odd} else w end end")]
 
 
-def with_stem(df: DataFrame, word: str, to: str) -> DataFrame:
-    """df with the stem of the lower-case column word.
-
-    A random column, which a filter reads, keeps the optimizer from moving later filters below the
-    steps, where it would write each step's expression into the next.
-    """
-    keep = [c for c in df.columns if c != to]
-    have, q = [], "{rows}"
-    for name, e in steps(f"`{word}`"):
-        # one statement with a level for each step is analysed once
-        q = f"(select {', '.join([f'`{c}`' for c in keep] + [c for c in have if c != name])}, {e} as {name} from {q})"
-        have = [*[c for c in have if c != name], name]
-    out = df.sparkSession.sql(f"select {', '.join(f'`{c}`' for c in keep)}, w as `{to}`, rand() as __r from {q}", rows=df)
-    return out.where("__r >= 0").drop("__r")
-
-
 def stem_sql(source: str, word: str, to: str) -> str:
     """SQL that adds the stem to a subquery; its own columns w, p, cut and again stay."""
     q = source

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import analyzer
 from ..functions import lexicon as L
 
+#: Terms of techniques up to which they are broadcast: some 40 MB.
+BROADCAST_TERMS = 1_000_000
+
 
 def kw_technique(techniques: DataFrame) -> DataFrame:
     """keyword, tid from techniques (tid, name, description, detection, platforms, data_sources)."""
@@ -20,29 +23,38 @@ def technique_terms(techniques: DataFrame) -> DataFrame:
     """tid, term without repeats, of name, description up to 500, detection up to 200, platforms; query analyzer."""
     c = lambda x: F.coalesce(x, F.lit(""))
     text = F.concat_ws(" ", c(F.col("name")), F.substring(c(F.col("description")), 1, 500), F.substring(c(F.col("detection")), 1, 200), F.array_join(F.coalesce("platforms", F.array()), " "))
-    t = analyzer.terms(techniques.select(F.upper("tid").alias("doc_id"), text.alias("text")), "query")
-    # kept, as the planner looks through a join into all that made its sides
-    return t.select(F.col("doc_id").alias("tid"), "term").distinct().persist()
+    t = analyzer.term_counts(techniques.select(F.upper("tid").alias("doc_id"), text.alias("text")), "query")
+    return t.select(F.col("doc_id").alias("tid"), "term").distinct()
 
 
 def technique_cve(postings: DataFrame, techniques: DataFrame, min_overlap: int = L.MIN_OVERLAP) -> DataFrame:
     """tid, cve_id, overlap: advisories that share at least min_overlap terms with a technique.
 
     The overlap is an equi-join on the term and a count, not a comparison of all pairs: only pairs
-    with a common term meet, and counts are combined before the shuffle. Techniques are a taxonomy
-    of bounded size.
+    with a common term meet, and counts are combined before the shuffle. Techniques are a taxonomy;
+    their terms are broadcast while there are at most BROADCAST_TERMS of them, else dealt by term.
+    A technique with fewer terms than min_overlap meets nothing and is left out before the join.
     """
     t = technique_terms(techniques)
+    enough = t.groupBy("tid").agg(F.collect_list("term").alias("terms")).where(F.size("terms") >= min_overlap)
+    t = enough.select("tid", F.explode("terms").alias("term"))
+    if t.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        t = F.broadcast(t)
     p = postings.where(F.col("doc_id").rlike(r"(?i)^CVE-\d{4}-\d+$")).select("term", F.upper("doc_id").alias("cve_id"))
     hits = p.join(t, "term").groupBy("tid", "cve_id").agg(F.count("*").alias("overlap"))
     return hits.where(F.col("overlap") >= min_overlap)
 
 
 def technique_map(pairs: DataFrame) -> DataFrame:
-    """tid, its sorted cve ids."""
+    """tid, its sorted cve ids; a technique's list is one row, as in the file that it is exported to."""
     return pairs.groupBy("tid").agg(F.array_sort(F.collect_set("cve_id")).alias("cves"))
 
 
+def map_totals(pairs: DataFrame) -> DataFrame:
+    """n_techniques, n_pairs of a map; one row, 0 for an empty one."""
+    return pairs.select("tid", "cve_id").distinct().agg(F.count_distinct("tid").alias("n_techniques"), F.count("*").alias("n_pairs"))
+
+
 def expand(terms: list[str], keywords: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """term, weight, origin: the terms at 1, techniques whose keyword is a term, and their advisories.
 
@@ -53,6 +65,7 @@ def expand(terms: list[str], keywords: DataFrame, pairs: DataFrame | None = None
     hit = keywords.join(F.broadcast(q), keywords.keyword == q.term).select(F.col("tid").alias("term")).distinct()
     out = q.select("term", F.lit(1.0).alias("weight"), F.lit("query").alias("origin")).unionByName(hit.select("term", F.lit(L.TECHNIQUE_WEIGHT).alias("weight"), F.lit("technique").alias("origin")))
     if pairs is not None:
-        cves = pairs.join(F.broadcast(hit), pairs.tid == hit.term, "left_semi").select(F.col("cve_id").alias("term")).distinct()
+        # techniques are a taxonomy of bounded size; the planner sees how many are left
+        cves = pairs.join(hit, pairs.tid == hit.term, "left_semi").select(F.col("cve_id").alias("term")).distinct()
         out = out.unionByName(cves.select("term", F.lit(L.CVE_WEIGHT).alias("weight"), F.lit("advisory").alias("origin")))
     return out.groupBy("term").agg(F.max("weight").alias("weight"), F.max_by("origin", "weight").alias("origin"))

@@ -10,23 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import analyzer
 
-#: Rows up to which a side is broadcast; beyond it joins are left to the planner.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def dedup(corpus: DataFrame) -> DataFrame:
-    """One row a doc_id: that of the last feed, by file order and place where those are given."""
+    """One row a doc_id: that of the last feed, by file order and place where those are given, else the greatest of the rest."""
     order = [c for c in ("feed", "place") if c in corpus.columns]
-    if not order:
-        return corpus.dropDuplicates(["doc_id"])
     rest = [c for c in corpus.columns if c not in ("doc_id", *order)]
-    last = corpus.groupBy("doc_id").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
-    return last.select("doc_id", "r.*")
+    last = corpus.groupBy("doc_id").agg(F.max(F.struct(*order, F.struct(*rest).alias("r"))).alias("m"))
+    return last.select("doc_id", "m.r.*")
 
 
 def postings(terms: DataFrame) -> DataFrame:
@@ -39,23 +28,25 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").cast("long").alias("df"))
 
 
-def dictionary(stats: DataFrame, prefix: int = 3) -> DataFrame:
-    """term, word_code: the term's 0-based place in the sorted vocabulary.
+def numbered(values: DataFrame, to: str) -> DataFrame:
+    """The different values of a one-column frame with their 0-based place in sorted order.
 
-    Terms are numbered within their first characters; the first code of those is the number of terms
-    with smaller ones. So the window without a partition holds a row for each beginning only.
+    Values are dealt by ranges and sorted within them; a range's first number is how many values
+    those before it have. So the only window without a partition holds a row for each range, and no
+    beginning that many values share makes a task larger than the others.
     """
-    s = stats.select("term", F.left("term", F.lit(prefix)).alias("part"))
-    sizes = s.groupBy("part").agg(F.count("*").alias("n"))
-    first = sizes.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    local = s.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("term")))
-    return local.join(F.broadcast(first), local.part == first.p).select("term", (F.col("first") + F.col("k") - 1).cast("int").alias("word_code"))
+    name = values.columns[0]
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = values.distinct().repartitionByRange(parts, name).sortWithinPartitions(name).select(name, F.monotonically_increasing_id().alias("at")).persist()
+    part = F.shiftright("at", 33)
+    sizes = s.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    first = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    return s.withColumn("part", part).join(F.broadcast(first), "part").select(name, (F.col("first") + F.col("at") - F.shiftleft("part", 33)).cast("int").alias(to))
 
 
-def doc_lengths(corpus: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, source, dl: number of terms, 0 for documents without any."""
-    n = terms.groupBy("doc_id").agg(F.count("*").cast("int").alias("dl"))
-    return corpus.select("doc_id", "source").join(n, "doc_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
+def dictionary(stats: DataFrame) -> DataFrame:
+    """term, word_code: the term's 0-based place in the sorted vocabulary."""
+    return numbered(stats.select("term"), "word_code")
 
 
 def collection_stats(docs: DataFrame) -> DataFrame:
@@ -93,14 +84,20 @@ class Index:
 
     @classmethod
     def build(cls, corpus: DataFrame, persist: bool = True) -> Index:
-        """From a corpus (doc_id, source, text) with unique ids."""
-        p = postings(analyzer.terms(corpus))
+        """From a corpus (doc_id, source, text) with unique ids: a row's counts are its postings as they are."""
+        p = analyzer.term_counts(analyzer.spread(corpus)).select("term", "doc_id", "source", "tf")
         p = p.persist() if persist else p
         n = p.groupBy("doc_id").agg(F.sum("tf").cast("int").alias("dl"))
         d = corpus.select("doc_id", "source").join(n, "doc_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
         d = d.persist() if persist else d
         s = collection_stats(d).first()
-        return cls(d, p, term_stats(p), s["n_docs"], float(s["avg_dl"]))
+        t = term_stats(p)
+        return cls(d, p, t.persist() if persist else t, s["n_docs"], float(s["avg_dl"]))
+
+    def release(self) -> None:
+        """Let go of what build() keeps."""
+        for x in (self.docs, self.postings, self.stats):
+            x.unpersist()
 
     def save(self, path: str) -> None:
         """Parquet; postings in term order, so a query's term filter skips row groups."""

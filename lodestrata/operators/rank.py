@@ -24,20 +24,25 @@ def term_score(scorer: str, tf: Column, df: Column, dl: Column, n: float, avg_dl
     return idf(df, n) * tf * (L.K1 + 1) / (tf + norm)
 
 
-def score(index: Index, weights: dict[str, float], scorer: str = "bm25", source_weight: bool = True, candidates: DataFrame | None = None) -> DataFrame:
+def score(index: Index, weights: dict[str, float] | DataFrame, scorer: str = "bm25", source_weight: bool = True, candidates: DataFrame | None = None) -> DataFrame:
     """doc_id, source, score of every document with a query term.
 
-    weights: term to weight; there are few, so they are literals. Frequencies and N are those of
-    the whole collection, also where candidates (doc_id) restrict the documents. Lengths are joined
-    to the query's postings only; a document without a length takes the floor of the average.
+    weights: term to weight. A query's own terms are a dict and become literals, which reach the
+    Parquet scan; an expansion, which grows with the corpus, is a DataFrame (term, weight) and is
+    joined. Frequencies and N are those of the whole collection, also where candidates (doc_id)
+    restrict the documents. Lengths are joined to the query's postings only; a document without a
+    length takes the floor of the average.
     """
     spark = index.docs.sparkSession
-    if not weights:
-        return spark.createDataFrame([], "doc_id string, source string, score double")
-    q = F.broadcast(spark.createDataFrame(sorted(weights.items()), "term string, weight double"))
-    p = index.of_terms(weights).join(q, "term")
-    s = index.stats.where(F.col("term").isin(list(weights)))
-    p = p.join(F.broadcast(s), "term")
+    if isinstance(weights, DataFrame):
+        q, p, s = weights.select("term", "weight"), index.postings, index.stats
+        p = p.join(s.join(q, "term"), "term")
+    else:
+        if not weights:
+            return spark.createDataFrame([], "doc_id string, source string, score double")
+        q = F.broadcast(spark.createDataFrame(sorted(weights.items()), "term string, weight double"))
+        s = index.stats.where(F.col("term").isin(list(weights)))
+        p = index.of_terms(weights).join(q, "term").join(F.broadcast(s), "term")
     if candidates is not None:
         p = p.join(candidates.select("doc_id"), "doc_id", "left_semi")
     p = p.join(index.docs.select("doc_id", "dl"), "doc_id", "left")

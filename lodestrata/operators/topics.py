@@ -25,11 +25,15 @@ def topic_corpus(corpus: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     return analyzer.topic_tokens(corpus.where("source <> 'attack'")).where(F.size("tokens") >= min_tokens).select("doc_id", "tokens")
 
 
-def vocabulary(tokens: DataFrame, no_below: int = NO_BELOW, no_above: float = NO_ABOVE) -> DataFrame:
-    """term, df of terms in at least no_below documents and at most a share no_above of them."""
-    n = tokens.count()
-    v = tokens.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return v.where((F.col("df") >= no_below) & (F.col("df") <= no_above * n))
+def vocabulary(tokens: DataFrame, no_below: int = NO_BELOW, no_above: float = NO_ABOVE, keep: int = KEEP) -> DataFrame:
+    """term, df of terms in at least no_below documents and at most a share no_above of them, the keep most frequent.
+
+    Each document adds one empty term, so terms and documents are counted in one pass.
+    """
+    every = F.concat(F.array_distinct("tokens"), F.array(F.lit("")))
+    v = tokens.select(F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = v.agg(F.coalesce(F.max(F.when(F.col("term") == "", F.col("df"))), F.lit(0)).alias("n")).scalar()
+    return v.where((F.col("term") != "") & (F.col("df") >= no_below) & (F.col("df") <= no_above * n)).orderBy(F.desc("df"), "term").limit(keep)
 
 
 @dataclass

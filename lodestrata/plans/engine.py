@@ -37,7 +37,7 @@ class Engine:
             if not files.exists(spark, p):
                 raise FileNotFoundError(p)
         stix = nvd.read_stix(spark, attack_path)
-        corpus = dedup(nvd.read_nvd(spark, nvd_dir)).select("doc_id", "source", "text").unionByName(nvd.attack_corpus(stix).dropDuplicates(["doc_id"]))
+        corpus = dedup(nvd.read_nvd(spark, nvd_dir)).select("doc_id", "source", "text").unionByName(dedup(nvd.attack_corpus(stix)).select("doc_id", "source", "text"))
         return cls.build(corpus.persist(), nvd.techniques(stix), components)
 
     def save(self, path: str) -> None:
@@ -56,11 +56,12 @@ class Engine:
         return cls(spark, Index.load(spark, f"{path}/index"), have("kw_technique"), have("technique_cve"), lsa.load(spark, f"{path}/lsa") if files.exists(spark, f"{path}/lsa") else None)
 
     def terms(self, query: str, acronyms: bool = False) -> list[str]:
-        return analyzer.query_terms(self.spark, query, acronyms)
+        """Terms of a query, in order, repeats kept; acronyms as in documents only if asked for. No Spark job."""
+        return analyzer.analyze(query, "index" if acronyms else "query")
 
-    def weights(self, terms: list[str], expanded: bool = True) -> dict[str, float]:
+    def weights(self, terms: list[str], expanded: bool = True) -> dict[str, float] | DataFrame:
         if expanded and self.keywords is not None:
-            return {r["term"]: r["weight"] for r in expand.expand(terms, self.keywords, self.pairs).collect()}
+            return expand.expand(terms, self.keywords, self.pairs)
         return dict.fromkeys(terms, 1.0)
 
     def explain_expansion(self, query: str) -> DataFrame:

@@ -1,7 +1,13 @@
 import gzip
 import json
 import math
+import os
+import random
+import subprocess
+import sys
+from pathlib import Path
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,10 +35,34 @@ generalizations gener oscillators oscil conditional condit digitizer digit opera
 airliner airlin replacement replac adjustment adjust effective effect tanned tan conflated conflat troubled troubl sized size flies fli dies die ties tie dying die crying cri say say""".split()
 
 
-def test_porter(spark):
-    df = spark.createDataFrame(list(zip(STEMS[::2], STEMS[1::2])), "w string, want string")
-    df = df.withColumnRenamed("w", "word")
-    assert [tuple(r) for r in porter.with_stem(df, "word", "got").where("got <> want").collect()] == []
+def test_porter():
+    assert [(w, porter.stem(w)) for w, want in zip(STEMS[::2], STEMS[1::2]) if porter.stem(w) != want] == []
+
+
+def test_porter_against_expressions():
+    rng = random.Random(1)
+    ends = [x for x, _ in (*porter.STEP2, *porter.STEP3)] + [*porter.STEP4, "s", "ed", "ing", "y", "e", "ll", "ies", "eed", "ied", "sses", "logi", ""]
+    words = sorted({"".join(rng.choice("aeioubcdlsty-yrnw2é") for _ in range(rng.randrange(1, 6))) + rng.choice(ends) + rng.choice(ends) for _ in range(20000)} | set(STEMS))
+    con = duckdb.connect()
+    con.execute("create table t (word varchar)")
+    con.execute("insert into t select unnest(?)", [words])
+    got = con.execute(f"select word, stem from ({porter.stem_sql('select word from t', 'word', 'stem')})").fetchall()
+    assert len(got) == len(words) and [(w, x) for w, x in got if porter.stem(w) != x] == []
+
+
+def test_import_without_spark_jars(tmp_path):
+    """Queries and SQL are listed where pyspark has no jars and no session can start."""
+    import pyspark
+
+    (tmp_path / "pyspark").mkdir()
+    for f in Path(pyspark.__file__).parent.iterdir():
+        if f.name != "jars":
+            (tmp_path / "pyspark" / f.name).symlink_to(f)
+    code = "import pyspark, __spark_entry__ as e; assert not __import__('pathlib').Path(pyspark.__file__).parent.joinpath('jars').exists(); q, s = e.queries(), e.oracle_sql(); print(len(q), len(s), set(s) <= set(q))"
+    env = {**os.environ, "PYTHONPATH": f"{tmp_path}:{Path(__file__).resolve().parent.parent}"}
+    env.pop("SPARK_HOME", None)
+    out = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0 and out.stdout.strip().endswith("True"), out.stderr
 
 
 def test_analyzer_cases(spark):
@@ -69,6 +99,19 @@ def test_index_tables(spark, micro):
     assert sorted(map(tuple, two.collect())) == sorted(map(tuple, micro.postings.collect()))
     d = spark.createDataFrame([("a", "x", 1, 0), ("a", "y", 1, 5), ("a", "z", 0, 9)], "doc_id string, text string, feed int, place int")
     assert index.dedup(d).first().text == "y"
+    assert sorted(map(tuple, index.dedup(d.select("doc_id", "text")).collect())) == [("a", "z")]
+    many = spark.createDataFrame([(f"CVE-2024-{k}",) for k in range(500)] + [("heap",), ("a",)], "term string")
+    assert [r.term for r in index.dictionary(many).orderBy("word_code").collect()] == sorted(r.term for r in many.collect())
+    assert index.dictionary(many.limit(0)).count() == 0
+
+
+def test_vocabulary_and_map_totals(spark):
+    t = spark.createDataFrame([(str(k), ["common", "common", f"w{k % 3}"] + (["half"] if k % 2 else [])) for k in range(30)], "doc_id string, tokens array<string>")
+    v = lambda **how: {r.term: r.df for r in topics.vocabulary(t, **how).collect()}
+    assert v(no_above=0.5) == {"half": 15, "w0": 10, "w1": 10, "w2": 10} and v(no_below=11, no_above=1.0) == {"common": 30, "half": 15} and v(no_above=1.0, keep=2) == {"common": 30, "half": 15}
+    assert topics.vocabulary(t.limit(0)).count() == 0
+    p = spark.createDataFrame([("T1", "C1"), ("T1", "C1"), ("T2", "C1")], "tid string, cve_id string")
+    assert tuple(expand.map_totals(p).first()) == (2, 2) and tuple(expand.map_totals(p.limit(0)).first()) == (0, 0)
 
 
 ANALYZE = lambda t: [w for w in t.lower().split() if w != "the"]
@@ -136,8 +179,6 @@ def test_lsa(micro):
 
 
 def test_lsa_query_has_all_components(spark, monkeypatch):
-    import random
-
     import numpy as np
 
     from lodestrata import catalog
