@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _common as C
 
 #: The template's control strings. A turn is OPEN role CLOSE text END.
 OPEN, CLOSE, END = "[INST]", "[/INST]", "</s>"
+#: Characters in which a formatted text is read back at once.
+CHUNK = 1024
 
 
 def escape(text: Column) -> Column:
@@ -22,29 +25,37 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def events_of(rows: DataFrame) -> DataFrame:
+    """The event log of a table of turns (conv_id, turn, role, text): a 'message' event for each row.
+
+    Sequence numbers count a conversation's rows by turn, then role, then text, nulls first; a row is
+    a turn of its own, so repeated rows and equal turns stay apart.
+    """
+    order = W.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    n = F.row_number().over(order).cast("long")
+    return rows.select("conv_id", n.alias("seq"), n.alias("turn"), F.lit("message").alias("kind"), "role", "text")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final messages of an event log.
 
     events: conv_id long, seq long, turn long, kind string, role string, text string. Kinds, in seq
     order within a turn: 'message' and 'edit' replace the turn's text so far, 'regenerate' empties
-    it, 'delta' (and null) appends. A turn's role is the last one given that is not null; a turn
-    whose last state was never written (only a regeneration) is an empty message.
-    Events of one seq are taken by kind, role, text, so reruns agree. Null text is empty.
-    Returns conv_id, turn, role, text. Turns are folded apart, so a long conversation is spread
-    over tasks until its final messages meet.
+    it, 'delta' (and what else, or null) appends. A turn's role is the last one given that is not
+    null; a turn whose last state was never written (only a regeneration) is an empty message.
+    Events of one seq are taken by kind, role, text, so reruns agree. Null text is empty. What counts
+    is a turn's last event that replaces its text and the deltas behind it, so the work grows with
+    the number of events. Returns conv_id, turn, role, text. Turns are folded apart; a turn's events
+    meet in one row.
     """
-    kind = F.coalesce("kind", F.lit("delta"))
     e = events.select("conv_id", "turn", F.struct(
-        "seq", kind.alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text")).alias("e"))
+        "seq", F.coalesce("kind", F.lit("delta")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text")).alias("e"))
     g = e.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    # what counts is the last event that replaces the text, and the deltas behind it
-    state = F.aggregate("es", F.struct(F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("parts")), lambda s, x: F.struct(
-        F.coalesce(x["role"], s["role"]).alias("role"),
-        F.when(x["kind"].isin("message", "edit"), F.array(x["text"]))
-        .when(x["kind"] == "regenerate", F.array().cast("array<string>"))
-        .otherwise(F.concat(s["parts"], F.array(x["text"]))).alias("parts")))
-    return (g.select("conv_id", "turn", state.alias("s"))
-            .select("conv_id", "turn", F.col("s.role").alias("role"), F.array_join("s.parts", "").alias("text")))
+    begins = F.transform("es", lambda x, i: F.when(x["kind"].isin("message", "edit", "regenerate"), i).otherwise(0))
+    g = g.select("conv_id", "turn", "es", F.array_max(begins).alias("at"))
+    parts = F.transform(F.slice("es", F.col("at") + 1, F.size("es")), lambda x: F.when(x["kind"] == "regenerate", "").otherwise(x["text"]))
+    roles = F.filter(F.transform("es", lambda x: x["role"]), lambda r: r.isNotNull())
+    return g.select("conv_id", "turn", F.get(roles, F.size(roles) - 1).alias("role"), F.array_join(parts, "").alias("text"))
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -52,31 +63,40 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     messages: conv_id, turn, role, text; a null turn comes first, a null role or text is empty, and
     repeated rows are turns of their own. Equal turns go by role, then text. mask holds the spans
-    (1-based code points of formatted) of the texts of loss_role. An empty table gives no rows.
+    (1-based code points of formatted) of the texts of loss_role; their places are running sums over
+    the conversation's turns. A conversation is one row, as its output is one string. An empty table
+    gives no rows; other columns are not read.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     piece = F.concat(F.lit(OPEN), escape(role), F.lit(CLOSE), escape(text), F.lit(END))
-    m = messages.select("conv_id", F.struct(
-        "turn", role.alias("role"), text.alias("text"), piece.alias("piece"),
-        F.length(piece).alias("n"), F.length(escape(text)).alias("t")).alias("m"))
+    m = messages.select("conv_id", "turn", role.alias("role"), text.alias("text"), piece.alias("piece"), F.length(escape(text)).alias("len"))
+    upto = F.sum(F.length("piece")).over(W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, W.currentRow))
+    m = m.select("conv_id", F.struct("turn", "role", "text", upto.alias("upto"), "piece", "len").alias("m"))
     g = m.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,len:int>>").alias("mask"))
-    walk = F.aggregate("ms", zero, lambda s, x: F.struct(
-        (s["at"] + x["n"]).alias("at"),
-        F.when(x["role"] == loss_role, F.concat(s["mask"], F.array(F.struct(
-            (s["at"] + x["n"] - len(END) - x["t"] + 1).alias("start"), x["t"].alias("len")))))
-        .otherwise(s["mask"]).alias("mask")))
-    return g.select("conv_id", F.array_join(F.transform("ms", lambda x: x["piece"]), "").alias("formatted"), walk["mask"].alias("mask"))
+    spans = F.transform(F.filter("ms", lambda x: x["role"] == loss_role), lambda x: F.struct(
+        (x["upto"] - len(END) - x["len"] + 1).cast("int").alias("start"), x["len"].alias("len")))
+    return g.select("conv_id", F.array_join(F.transform("ms", lambda x: x["piece"]), "").alias("formatted"), spans.alias("mask"))
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """Turns (array<struct<role,text>>) and the unescaped text under the mask, from render()'s output."""
+    """Turns (array<struct<role,text>>) and the unescaped text under the mask, from render()'s output.
+
+    A span is taken from the chunks of CHUNK characters that it touches, so the work grows with the
+    text's length, not with that times the number of turns.
+    """
     pieces = F.filter(F.split("formatted", END, -1), lambda p: p != "")
     turns = F.transform(pieces, lambda p: F.struct(
         unescape(F.regexp_extract(p, r"(?s)^\[INST\](.*?)\[/INST\](.*)$", 1)).alias("role"),
         unescape(F.regexp_extract(p, r"(?s)^\[INST\](.*?)\[/INST\](.*)$", 2)).alias("text")))
-    loss = F.array_join(F.transform("mask", lambda x: unescape(F.substring(F.col("formatted"), x["start"], x["len"]))), "")
-    return rendered.select("*", turns.alias("turns"), loss.alias("loss_text"))
+    r = rendered.select("*", turns.alias("turns"), F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks"))
+
+    def under(x):
+        first = F.floor((x["start"] - 1) / CHUNK).cast("int")
+        count = F.floor((x["start"] + x["len"] - 2) / CHUNK).cast("int") - first + 1
+        return F.substring(F.array_join(F.slice("chunks", first + 1, count), ""), x["start"] - first * CHUNK, x["len"])
+
+    spans = F.transform(F.filter("mask", lambda x: x["len"] > 0), lambda x: unescape(under(x)))
+    return r.select("*", F.array_join(spans, "").alias("loss_text")).drop("chunks")
 
 
 def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -85,13 +105,13 @@ def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation and the planted conversation -1, formatted and read back."""
+    """Every conversation and the planted conversation -1, as event logs folded, formatted and read back."""
     c = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("</s>[INST] ok [/INST]").alias("text"))
-    out = read_back(render(c.unionByName(planted)))
+    out = read_back(format_chats(events_of(c.unionByName(planted))))
     line = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(line, 256).alias("turns_sha256"),

@@ -35,6 +35,29 @@ def test_events_fold(spark):
     assert chat.format_chats(df).first().formatted == "[INST]user[/INST]hey</s>[INST]assistant[/INST]bye</s>[INST]assistant[/INST]</s>"
 
 
+def test_query_goes_through_the_fold(spark, tmp_path, monkeypatch):
+    rows = [(7, 1, "user", "q", "", ""), (7, 1, "user", "q", "", ""), (7, None, None, "a", "", "")]
+    spark.createDataFrame(rows, MSG).write.parquet(str(tmp_path / "conversations.parquet"))
+    whole = chat.fold
+    monkeypatch.setattr(chat, "fold", lambda e: whole(e.unionByName(spark.createDataFrame([(7, 99, 2, "edit", None, "edited"), (7, 98, 3, "delta", None, "!")], e.schema))))
+    got = {r.conv_id: r for r in chat.op10_chat_formatting(spark, str(tmp_path)).collect()}
+    assert got[7].turns_sha256 == hashlib.sha256(b"\na\nuser\nedited\nuser\nq!\n").hexdigest() and got[7].n_turns == 3
+
+
+def test_long_conversation_and_empty_texts(spark):
+    rows = [(1, i, "assistant" if i % 3 else "user", "" if i % 7 == 0 else f"é{i}</s>" * (i % 50)) for i in range(4000)]
+    r = rendered(spark, rows)[1]
+    assert r.loss_text == "".join(x[3] for x in rows if x[2] == "assistant") and len(r.turns) == 4000
+    one = rendered(spark, [(1, 0, "assistant", "é😀[INST]\\x" * 200_000)])[1]
+    assert one.loss_text == "é😀[INST]\\x" * 200_000
+
+
+def test_many_deltas(spark):
+    e = [(1, i, 0, "delta", "assistant" if i == 0 else None, f"{i} ") for i in range(20_000)]
+    r = chat.fold(spark.createDataFrame(e, "conv_id long, seq long, turn long, kind string, role string, text string")).first()
+    assert r.text == "".join(f"{i} " for i in range(20_000)) and r.role == "assistant"
+
+
 def test_query_digest(spark, tmp_path):
     rows = [(7, 0, "user", "q", "", ""), (7, 1, "assistant", "a[INST]", "", "")]
     spark.createDataFrame(rows, MSG).write.parquet(str(tmp_path / "conversations.parquet"))
