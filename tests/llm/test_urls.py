@@ -1,4 +1,6 @@
 import math
+import random
+import zlib
 from collections import Counter
 
 from lodestrata.llm import urls as U
@@ -52,17 +54,55 @@ def test_model_against_brute_force(spark):
     assert all(abs(got[g] - want[g]) < 1e-9 for g in want)
 
 
-def test_salted_join_scores_the_same(spark, monkeypatch):
+def test_frequent_windows_score_the_same(spark, monkeypatch):
     known = spark.createDataFrame([("a.com/en", False, 2), ("b.net/es", True, 1)], "url string, blocked boolean, n long")
     m = U.train(known)
     u = spark.createDataFrame([("a.com/en",) * 2, ("b.net/e",) * 2, ("zz",) * 2], "key string, url string")
     one = {r.key: r.score for r in U.score(u, m).collect()}
-    monkeypatch.setattr(U, "MODEL_BROADCAST_ROWS", 0)
-    two = {r.key: r.score for r in U.score(u, m).collect()}
-    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-12 for k in one)
+    for hot in (1, 12):
+        monkeypatch.setattr(U, "HOT", hot)
+        two = {r.key: r.score for r in U.score(u, m).collect()}
+        assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-12 for k in one)
     assert one["a.com/en"] < 0 < one["b.net/e"]
 
 
+def test_cut(spark):
+    cut = lambda *r: U.calibrated(spark.createDataFrame(r, "score double, blocked boolean, n long"))
+    assert cut() == 0 and cut((1.0, True, 4)) == 0
+    assert abs(cut((-1.0, False, 5), (1.0, True, 2))) < 1e-9
+    # 1 of 4 blocked ones lies below the accepted ones
+    assert abs(cut((0.5, False, 2), (0.1, True, 1), (0.9, True, 3)) - 0.7) < 1e-9
+
+
+def test_verdicts_against_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeinorst") for _ in range(rng.randrange(2, 5)))
+    bad = [f"https://{word()}.net/{rng.choice(['es', 'fr'])}/{word()}?id={rng.randrange(99)}#x" for _ in range(40)]
+    good = [f"http://{word()}.com/{word()}" for _ in range(40)]
+    free = [f"https://{word()}.org/{rng.choice(['es', 'en'])}/{word()}?id=7" for _ in range(25)] + [f"http://{word()}.org/{word()}" for _ in range(25)] + [None, "", "plain text", None]
+    monkeypatch.setattr(U, "HOT", 20)
+    rows = [*enumerate(bad + good + free + free[:3] + good[:1] * 9)]
+    got = {r.page_id: r for r in U.judge(spark.createDataFrame(rows, "page_id long, url string"), order=3).collect()}
+    aside = lambda u: zlib.crc32(u.encode()) % 5 == 0
+    count = Counter(u or "" for _, u in rows)
+    known = [(u, u in bad, 0 if aside(u) or u not in bad + good else n) for u, n in count.items()]
+    llr = brute(known, 3)
+
+    def score(u):
+        t = "\x02\x02" + u + "\x03"
+        ws = [t[i:i + 3] for i in range(len(t) - 2)]
+        return sum(llr[w] for w in ws) / len(ws)
+
+    at = U.calibrated(spark.createDataFrame([(score(u), u in bad, n) for u, n in count.items() if aside(u) and u in bad + good], "score double, blocked boolean, n long"))
+    verdicts = Counter()
+    for k, u in rows:
+        assert abs(got[k].score - score(u or "")) < 1e-9, u
+        if got[k].rule is None:
+            assert got[k].verdict == ("block" if score(u or "") > at else "allow"), u
+            verdicts[got[k].verdict] += 1
+    assert min(verdicts.values()) > 5 and sum(verdicts.values()) == len(free) + 3
+
+
 def test_score_of_new_windows_against_brute_force(spark):
     known = [("a.com/en", False, 2), ("b.net/es", True, 1), ("ab.net/fr", True, 3), ("a.com/fr/1", False, 1)]
     texts = ["a.com/en", "c.net/es", "xa.com/fr/2", "b.net", "zzzz", ""]
