@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
+from .shingles import mix64
 
 #: Labelled documents that lexicon and score are fitted on: those with the smallest hashes.
 FIT_DOCUMENTS = 20_000
-#: Terms kept, by evidence, and what a term needs.
-MAX_TERMS, MIN_TOXIC_DOCS, MIN_LOG_ODDS = 4_000, 3, 1.5
+#: What a term needs: toxic documents, log odds, and to be no longer than words are.
+MIN_TOXIC_DOCS, MIN_LOG_ODDS, MAX_LENGTH = 3, 1.5, 40
 #: Word beginnings of these lengths are terms too, where they beat chance.
 STEMS = (4, 5, 6)
 #: Edits allowed by the term's length.
@@ -23,6 +24,8 @@ ONE_EDIT, TWO_EDITS = 5, 9
 WINDOW = 4
 #: Parts of automaton states that a worker holds at once, of some 100 bytes each at most.
 MAX_HELD = 1_000_000
+#: Words whose matches a worker holds, and characters of texts whose words are looked up together.
+MAX_WORDS, GROUP_CHARS = 200_000, 400_000
 #: Words that tell of a quotation, of a denial, and of being meant.
 QUOTING = frozenset("said says say wrote writes quoted quote called calls word words term dit disait écrit mot sagte sagt schrieb wort dijo dice escribió palabra".split())
 DENYING = frozenset("not no never nobody isn't aren't wasn't nicht kein keine nie pas jamais nunca jamás".split())
@@ -43,15 +46,6 @@ def edits_allowed(term: str) -> int:
     return 0 if term.endswith("*") else 2 if len(term) >= TWO_EDITS else 1 if len(term) >= ONE_EDIT else 0
 
 
-def cuttings(word: str, most: int) -> set[str]:
-    """The word without up to most of its letters."""
-    out = last = {word}
-    for _ in range(most):
-        last = {w[:i] + w[i + 1:] for w in last for i in range(len(w))}
-        out = out | last
-    return out
-
-
 class Automaton:
     """Words within the allowed edits of any term: Levenshtein automata of all terms, run on the trie.
 
@@ -166,12 +160,76 @@ class Automaton:
         return (stem, 9) if stem >= 0 else None
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNDO = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def letters(words: list[str]) -> np.ndarray:
+    """A row of code points for each of some words of equal length."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
+
+
+def cuttings(codes: np.ndarray, most: int) -> np.ndarray:
+    """Hashes of each word without up to most (1 or 2) of its letters, a row a word.
+
+    A word's hash is a polynomial in its letters; what lies behind a letter that is taken out moves
+    down by one power, so all cuttings come from the running sums.
+    """
+    n = codes.shape[1]
+    powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(0, n - 1), _BASE)]))[:n]
+    p = np.zeros((len(codes), n + 1), np.uint64)
+    np.cumsum((codes + np.uint64(1)) * powers, axis=1, out=p[:, 1:])
+    whole = p[:, n:]
+    out = [whole, p[:, :n] + (whole - p[:, 1:]) * _UNDO]
+    if most > 1:
+        j, k = np.triu_indices(n, 1)
+        out.append(p[:, j] + (p[:, k] - p[:, j + 1]) * _UNDO + (whole - p[:, k + 1]) * _UNDO * _UNDO)
+    return mix64(np.hstack(out))
+
+
+class _Index:
+    """Terms with the same number of edits, found by the cuttings that they share with a word."""
+
+    def __init__(self, terms: list[str], numbers: list[int], edits: int):
+        self.edits, hashes, of = edits, [], []
+        for n in {len(t) for t in terms}:
+            at = [i for i, t in enumerate(terms) if len(t) == n]
+            h = cuttings(letters([terms[i] for i in at]), edits)
+            hashes.append(h.ravel())
+            of.append(np.repeat([numbers[i] for i in at], h.shape[1]))
+        h, of = np.concatenate(hashes), np.concatenate(of)
+        order = np.argsort(h, kind="stable")
+        self.hashes, starts = np.unique(h[order], return_index=True)
+        self.terms = [tuple(sorted(set(x.tolist()))) for x in np.split(of[order], starts[1:])]
+        # most hashes of words are told apart by a few of their bits
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[self.hashes >> np.uint64(44)] = True
+        self.shortest, self.longest = min(map(len, terms)) - edits, max(map(len, terms)) + edits
+
+    def find(self, words: list[str], out: dict[str, set[int]]) -> None:
+        by: dict[int, list[str]] = {}
+        for w in words:
+            if self.shortest <= len(w) <= self.longest:
+                by.setdefault(len(w), []).append(w)
+        for n, ws in by.items():
+            step = max(1, 1_000_000 // (1 + n + n * n // 2))
+            for part in (ws[i:i + step] for i in range(0, len(ws), step)):
+                h = cuttings(letters(part), self.edits)
+                r, c = np.nonzero(self.bits[h >> np.uint64(44)])
+                h = h[r, c]
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                hit = self.hashes[at] == h
+                for i, k in zip(r[hit].tolist(), at[hit].tolist()):
+                    out.setdefault(part[i], set()).update(self.terms[k])
+
+
 class Lexicon:
     """Automaton's matches for a large number of terms, all with their edits.
 
     Each edit, an exchange too, is undone by taking at most one letter from either side, so a word
-    and a term within d edits share a cutting of d letters at most. An index of the terms' cuttings
-    gives a word's few candidates, none is missed, and the automaton of just those decides.
+    and a term within d edits share a cutting of d letters at most. Hashes of the cuttings of many
+    words at once tell which terms come into question, none is missed, and the automaton on the trie
+    of just those decides.
     """
 
     def __init__(self, terms: dict[str, float]):
@@ -180,33 +238,25 @@ class Lexicon:
         self.exact = {t: k for k, t in enumerate(self.terms) if not t.endswith("*")}
         self.stems = {t.rstrip("*"): k for k, t in enumerate(self.terms) if t.endswith("*")}
         self.stem_lengths = sorted({len(t) for t in self.stems}, reverse=True)
-        self.near: dict[int, dict[str, tuple[int, ...]]] = {1: {}, 2: {}}
-        self.lengths = {1: (9, -9), 2: (9, -9)}
-        for t, k in self.exact.items():
-            if d := edits_allowed(t):
-                self.lengths[d] = min(self.lengths[d][0], len(t) - d), max(self.lengths[d][1], len(t) + d)
-                for c in cuttings(t, d):
-                    self.near[d][c] = (*self.near[d].get(c, ()), k)
+        loose = {d: [t for t in self.exact if edits_allowed(t) == d] for d in (1, 2)}
+        self.near = [_Index(ts, [self.exact[t] for t in ts], d) for d, ts in loose.items() if ts]
         self._clear()
 
     def _clear(self) -> None:
         self.automata: dict[tuple[int, ...], Automaton] = {}
         self.held = 0
 
-    def _candidates(self, word: str) -> tuple[int, ...]:
-        out: set[int] = set()
-        for d, near in self.near.items():
-            if self.lengths[d][0] <= len(word) <= self.lengths[d][1]:
-                for c in cuttings(word, d):
-                    if c in near:
-                        out.update(near[c])
-        return tuple(sorted(out))
+    def candidates(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """Terms that may lie within their edits of each word, for words that have any."""
+        out: dict[str, set[int]] = {}
+        for x in self.near:
+            x.find(words, out)
+        return {w: tuple(sorted(k)) for w, k in out.items()}
 
-    def match(self, word: str) -> tuple[int, int] | None:
-        """(term number, edits) of the nearest term, of equally near ones the weightiest; 9 for a stem."""
+    def _nearest(self, word: str, some: tuple[int, ...]) -> tuple[int, int] | None:
         if word in self.exact:
             return self.exact[word], 0
-        if some := self._candidates(word):
+        if some:
             if self.held > MAX_HELD:  # automata are a cache: start afresh
                 self._clear()
             a = self.automata.get(some)
@@ -223,23 +273,34 @@ class Lexicon:
                 return self.stems[word[:n]], 9
         return None
 
+    def matches(self, words) -> dict[str, tuple[int, int] | None]:
+        """For each word the (term number, edits) of the nearest term, of equally near ones the weightiest; 9 for a stem."""
+        words = list(words)
+        some = self.candidates([w for w in words if w and w not in self.exact])
+        return {w: self._nearest(w, some.get(w, ())) for w in words}
+
+    def match(self, word: str) -> tuple[int, int] | None:
+        return self.matches([word])[word]
+
 
 class _Found(dict):
-    """Word to match or None, computed when first asked for; emptied when large."""
+    """Word to match or None, of the words learned so far; emptied when large."""
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
-        self.match = lexicon.match
+        self.matches = lexicon.matches
 
-    def __missing__(self, word: str):
-        if len(self) > 200_000:
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self]
+        if len(self) > MAX_WORDS:
             self.clear()
-        bare = word.strip("!$@-_+=~/\\^`")
-        m = self.match(bare) if bare else None
-        if m is None and bare and not bare.isalpha() and (plain := word.translate(LEET)) != word:
-            m = self.match(plain.strip("-_+=~/\\^`"))
-        self[word] = m
-        return m
+            new = list(words)
+        bare = {w: w.strip("!$@-_+=~/\\^`") for w in new}
+        got = self.matches({b for b in bare.values() if b})
+        read = {w: w.translate(LEET).strip("-_+=~/\\^`") for w, b in bare.items() if b and got[b] is None and not b.isalpha() and w.translate(LEET) != w}
+        plain = self.matches(set(read.values()))
+        for w, b in bare.items():
+            self[w] = (got[b] or plain.get(read.get(w))) if b else None
 
 
 _ready: dict = {}
@@ -255,13 +316,30 @@ def _finder(terms: dict[str, float]) -> tuple[_Found, list[str], list[float]]:
     return _ready[key]
 
 
-def features(text: str | None, found: _Found, weights: list[float]) -> list[float] | None:
-    """FEATURES of a whole text; None if it holds no term.
+def _tokens(text: str | None) -> list[str]:
+    return _TOKEN.findall(text.lower()) if text else []
+
+
+def measured(texts: list, found: _Found, weights: list[float]):
+    """features() of each text; the words of some texts are looked up together."""
+    group: list = []
+    size = 0
+    for k, t in enumerate(texts):
+        group.append(_tokens(t))
+        size += len(t or "")
+        if size > GROUP_CHARS or k == len(texts) - 1:
+            found.learn(set().union(*group))
+            for tokens in group:
+                yield features(tokens, found, weights)
+            group, size = [], 0
+
+
+def features(tokens: list[str], found: _Found, weights: list[float]) -> list[float] | None:
+    """FEATURES of a whole text's tokens; None if it holds no term.
 
     A term's weight falls within a quotation, behind a denial and with edits, and rises where words
     that address someone are near.
     """
-    tokens = _TOKEN.findall(text.lower()) if text else []
     at = [i for i, w in enumerate(tokens) if found[w]]
     if not at:
         return None
@@ -292,8 +370,8 @@ def _counted(batches):
     counts: dict[str, list[int]] = {}
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            ws = {w.strip("!$@-_+=~/\\^`") for w in _TOKEN.findall((text or "").lower())}
-            ws = {w for w in ws if 3 <= len(w) <= 40}
+            ws = {w.strip("!$@-_+=~/\\^`") for w in _tokens(text)}
+            ws = {w for w in ws if 3 <= len(w) <= MAX_LENGTH}
             for w in ws | {w[:k] + "*" for w in ws for k in STEMS if len(w) > k}:
                 counts.setdefault(w, [0, 0])[toxic] += 1
     items = list(counts.items())
@@ -307,7 +385,7 @@ def learn_terms(labelled: DataFrame, clean: int, toxic: int) -> dict[str, float]
 
     A term is kept if its documents are toxic more often than chance allows among all terms tried:
     n times the divergence of its rate from the overall rate exceeds the log of their number by 2.
-    The strongest MAX_TERMS are collected.
+    Terms come from FIT_DOCUMENTS documents at most, so their number does not grow with the corpus.
     """
     if not clean or not toxic:
         return {}
@@ -319,7 +397,7 @@ def learn_terms(labelled: DataFrame, clean: int, toxic: int) -> dict[str, float]
     odds = F.log(((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1)))
     need = math.log(max(2, counts.count())) + 2
     top = (counts.where((F.col("t") >= MIN_TOXIC_DOCS) & (r > base)).select("term", gain.alias("gain"), odds.alias("odds"))
-           .where((F.col("gain") > need) & (F.col("odds") > MIN_LOG_ODDS)).orderBy(F.desc("gain"), "term").limit(MAX_TERMS).collect())
+           .where((F.col("gain") > need) & (F.col("odds") > MIN_LOG_ODDS)).orderBy(F.desc("gain"), "term").collect())
     return {x["term"]: float(x["odds"]) for x in top}
 
 
@@ -343,18 +421,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[floa
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.where(~held_out("l_id")).orderBy(F.xxhash64("l_id"), "l_id").limit(FIT_DOCUMENTS)
-    have = docs.select("doc_id", "text").join(F.broadcast(known), docs.doc_id == known.l_id).select("text", "toxic")
-    have = C.cut(have.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("text")))
+    have = docs.select("doc_id", "text").join(F.broadcast(known), docs.doc_id == known.l_id)
+    # dealt by id: copies of a text are as frequent as they like
+    have = C.cut(have.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("doc_id")).select("text", "toxic"))
     n = {r["toxic"]: r["count"] for r in have.groupBy("toxic").count().collect()}
     terms = learn_terms(have, n.get(0, 0), n.get(1, 0))
 
-    def measured(batches):
+    def fitted(batches):
         found, _, weights = _finder(terms)
         for b in batches:
-            rows = [features(t, found, weights) or [0.0] * len(FEATURES) for t in b.column(0).to_pylist()]
+            rows = [x or [0.0] * len(FEATURES) for x in measured(b.column(0).to_pylist(), found, weights)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    rows = have.mapInArrow(measured, "toxic int, x array<double>").collect()
+    rows = have.mapInArrow(fitted, "toxic int, x array<double>").collect()
     if not rows:
         return terms, [0.0] * len(FEATURES) + [-2.0]
     w = fit_logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))
@@ -371,7 +450,7 @@ def score(docs: DataFrame, terms: dict[str, float], weights: list[float]) -> Dat
         w, b = np.array(weights[:-1]), weights[-1]
         base = 1 / (1 + math.exp(-b))
         for batch in batches:
-            xs = [features(t, found, odds) for t in batch.column(1).to_pylist()]
+            xs = list(measured(batch.column(1).to_pylist(), found, odds))
             s = [base if x is None else float(1 / (1 + np.exp(-np.clip(w @ x + b, -30, 30)))) for x in xs]
             n = [0 if x is None else round(math.expm1(x[-1])) for x in xs]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array(n, pa.int64())], names=["doc_id", "score", "n_terms"])
@@ -383,7 +462,10 @@ def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, n_terms for each row of docs.
 
     Fitted on the labels that are not held out; a null doc_id is not held out and has no label.
-    Repeated rows score alike. Without labels of both kinds every score is one constant.
+    Equal texts score alike, so do repeated rows, which each get theirs. Null and empty texts have no
+    term and the score of one without any. Very long texts are read whole, by one task each. Without
+    labels of both kinds every score is one constant; empty tables give none. Other columns of either
+    table are not read, whatever their names.
     """
     terms, weights = fit(docs, labels)
     s = score(docs, terms, weights)

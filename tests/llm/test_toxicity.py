@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -53,6 +54,7 @@ def test_many_terms_against_brute_force():
             k = rng.randrange(len(w))
             rng.choice([lambda: w.insert(k, rng.choice("abg")), lambda: len(w) > 1 and w.pop(k), lambda: w.__setitem__(k, "g"), lambda: w.insert(k, w.pop())])()
         words.append("".join(w))
+    found.learn(set(words))
     for w in words:
         fits = [(n, -terms[t], t) for t in plain if abs(len(t) - len(w)) < 3 and (n := edits(t, w)) <= allowed[t]]
         stem = next((s for s in ("abcabc*", "abca*") if w.startswith(s[:-1])), None)
@@ -61,10 +63,37 @@ def test_many_terms_against_brute_force():
         assert (got and (names[got[0]], got[1])) == want, w
 
 
+def test_cuttings_against_brute_force():
+    rng = random.Random(2)
+    for n in (1, 2, 3, 9, 42):
+        words = ["".join(rng.choice("abcé😀") for _ in range(n)) for _ in range(30)]
+        for most in (1, 2):
+            h = T.cuttings(T.letters(words), most)
+            cut = [[w] + [w[:i] + w[i + 1:] for i in range(n)] + ([w[:i] + w[i + 1:j] + w[j + 1:] for i in range(n) for j in range(i + 1, n)] if most > 1 else []) for w in words]
+            of = {}
+            for texts, hashes in zip(cut, h.tolist()):
+                assert len(texts) == len(hashes)
+                assert all(of.setdefault(t, x) == x for t, x in zip(texts, hashes))
+            assert len(set(of.values())) == len(of)
+
+
+def test_features_against_the_definition():
+    terms = {"scumbag": 5.0, "low*": 4.0, "dungfaces": 3.0}
+    found, _, w = T._finder(terms)
+    texts = ["you scumbag, not scunbag. He said lowly dungface", "", None, 'x " scumbag " lower', "w " * 500_000 + "scumbag"]
+    got = list(T.measured(texts, found, w))
+    # you: 5 * 1.3; behind not, one edit: 5 * 0.5 * 0.7, he near: * 1.3; behind said: * 0.3, lowly behind not too
+    one = [6.5, 5 * 1.3 * 0.5 * 0.7, 4 * 0.3 * 0.5 * 0.6, 3 * 0.3 * 0.7]
+    assert got[0] == pytest.approx([6.5, math.log1p(sum(one)), sum(one) / 8, math.log1p(2), math.log1p(1), math.log1p(2), math.log1p(1), 1.0, math.log1p(3)])
+    assert got[1] is None and got[2] is None and got[3][0] == pytest.approx(max(5 * 0.3, 4 * 0.6))
+    assert got[4] == pytest.approx([5.0, math.log1p(5), 5 / 500_001, 0, math.log1p(1), 0, 0, 0.0, math.log1p(1)])
+
+
 def test_stems_and_context():
     terms = {"scumbag": 5.0, "low*": 4.0}
     found, _, w = T._finder(terms)
-    f = lambda t: T.features(t, found, w)
+    f = lambda t: next(T.measured([t], found, w))
+    found.learn({"lowest", "scumbag!!", "5cumb4g", "scmubag"})
     assert f("nothing here") is None and f(None) is None and f("") is None
     assert found["lowest"] == (1, 9) and found["scumbag!!"] == (0, 0) and found["5cumb4g"] == (0, 0) and found["scmubag"] == (0, 1)
     assert f("you scumbag")[0] > f("a scumbag")[0] > f('he wrote "scumbag" there')[0]
