@@ -14,95 +14,140 @@ from . import _common as C
 #: Words near a secret, words near something that only looks like one, and place holders.
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key", "auth", "credential", "bearer", "private_key")
 PLAIN_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "version", "revision", "uuid", "guid", "example", "http", "https", "isbn", "doi", "phone", "id")
-HOLDERS = ("changeme", "example", "placeholder", "xxxx", "your", "dummy", "sample", "redacted", "123456", "abcdef", "test", "none", "null", "todo")
-#: Letter pairs that are frequent in ordinary words of several languages.
-PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "ve", "co",
-         "me", "de", "hi", "ri", "ro", "ic", "ne", "ea", "ra", "ce", "li", "ch", "ll", "be", "ma", "si", "om", "ur", "qu", "ie", "ei", "un", "la", "el", "ge", "au", "ai", "ment")
-#: A candidate: a run of key characters that does not go on as an address.
-RUN = r"(?<![A-Za-z0-9_+/.@%-])[A-Za-z0-9_+/\-]{12,}+={0,2}+(?!@)"
-MIN_LENGTH, CONTEXT, CUT = 12, 48, 0.5
-FEATURES = ("length", "digits", "uppers", "lowers", "marks", "changes", "pairs", "path", "near_secret", "near_plain", "holder", "assigned", "quoted", "hexlike", "longest_word", "prefix", "different")
-TREES, DEPTH, SEED = 25, 7, 20_240_613
+HOLDERS = ("changeme", "example", "placeholder", "xxxx", "your", "dummy", "sample", "redacted", "123456", "test", "none", "null", "todo")
+#: What is given behind a secret word and a sign, from six characters; what stands for a password in an
+#: address; three parts or more with dots between; and runs of twelve key characters or more.
+_KEY = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)[A-Za-z0-9_-]{0,8}"
+_GIVEN = r"[ \t]{0,2}[=:][ \t]{0,2}[\"']{0,1}"
+_EDGE = r"(?:(?<![A-Za-z0-9_+/%-])(?<!%[0-9A-Fa-f])|(?<=%[0-9A-Fa-f]{2}))"
+RUN = "|".join((
+    rf"(?<=[=:][ \t]{{0,2}}[\"']{{0,1}})(?<={_KEY}[\"']{{0,1}}{_GIVEN})[^\s\"'<>,;]{{5,}}[^\s\"'<>,;.)]",
+    r"(?<=:)(?<=://[^\s/:@]{1,64}:)[^\s/@]{4,}+(?=@)",
+    rf"{_EDGE}(?:[A-Za-z0-9_-]{{8,}}+(?:\.[A-Za-z0-9_-]{{8,}}+){{2,}}+|[A-Za-z0-9_+/\-]{{12,}}+={{0,2}}+)"))
+CONTEXT, CUT = 48, 0.5
+#: Words of the dictionary, the most frequent ones of the corpus; letters of a transition: a to z, and all else.
+DICTIONARY, LETTERS = 4000, 27
+FEATURES = ("length", "digits", "uppers", "lowers", "marks", "changes", "transitions", "coverage", "path", "near_secret", "near_plain", "holder", "assigned", "quoted", "hexlike", "longest_word", "prefix", "different", "in_address", "parts")
+TREES, DEPTH, SEED = 25, 8, 20_240_613
 MASK = "[SECRET]"
 
 
-def candidates(docs: DataFrame, keep: tuple = ()) -> DataFrame:
-    """docs' columns keep, then one row for each candidate: at (its number), value, before, after.
+def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[tuple[str, int]]:
+    """The most frequent words of 4 to 16 letters a-z, beside no digit, in all texts, with their numbers; ties by word.
 
-    A text is cut at its candidates: what lies between two of them is the context of both, at most
-    CONTEXT characters. So a long text is passed over twice, however many candidates it holds.
+    Counts are combined before the shuffle; the size bounds what is collected. An empty table has none.
+    """
+    w = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(?<![a-z0-9])[a-z]{4,16}+(?![a-z0-9])"), F.lit(0))).alias("word"))
+    return [(r["word"], r["n"]) for r in w.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()]
+
+
+def transitions(words: list[tuple[str, int]]) -> list[float]:
+    """Log-likelihood of each letter behind each other one, in the dictionary's words by their numbers, smoothed.
+
+    A transition from or to what is no letter has the likelihood of chance.
     """
-    d = docs.withColumn("__t", F.coalesce("text", F.lit("")))
-    d = d.withColumn("__v", F.regexp_extract_all("__t", F.lit(RUN), F.lit(0))).where(F.size("__v") > 0).withColumn("__g", F.split("__t", RUN, -1))
-    d = d.select(*keep, "__g", F.posexplode("__v").alias("at", "value"))
-    return d.select(*keep, "at", "value", F.right(F.get("__g", F.col("at")), F.lit(CONTEXT)).alias("before"), F.left(F.get("__g", F.col("at") + 1), F.lit(CONTEXT)).alias("after"))
+    c = np.ones((LETTERS, LETTERS))
+    for w, n in words:
+        for a, b in zip(w, w[1:]):
+            c[ord(a) - 97, ord(b) - 97] += n
+    p = np.log(c / c.sum(1, keepdims=True))
+    p[-1, :] = p[:, -1] = -math.log(LETTERS)
+    return np.round(p, 6).ravel().tolist()
 
 
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0).cast("double")
 
 
-def features(c: DataFrame) -> DataFrame:
-    """c (value, before, after) with a double column f_<name> for each of FEATURES.
+def features(v: Column, before: Column, after: Column, words: list[tuple[str, int]]) -> dict[str, Column]:
+    """FEATURES of a candidate and its context, as double columns.
 
-    Candidate length; shares of character kinds and of changes between kinds; frequent letter pairs
-    (dictionary coverage); whether it looks like a path; and words beside it.
+    Candidate length; shares of character kinds and of changes between kinds; the mean log-likelihood
+    of its letters' transitions; the share that dictionary words cover; whether it looks like a path,
+    stands in an address or has parts; and words beside it.
     """
-    v, low, near = F.col("value"), F.lower("value"), F.lower(F.concat_ws(" ", "before", "after"))
+    low, near = F.lower(v), F.lower(F.concat_ws(" ", before, after))
     n = F.length(v)
     left = lambda p: (n - F.length(F.regexp_replace(v, p, ""))).cast("double")
     kind = F.translate(v, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0" * 10 + "A" * 26 + "a" * 26)
     runs = F.length(F.regexp_replace(kind, r"(.)\1*", "x"))
-    paired = n - F.length(F.regexp_replace(low, "|".join(PAIRS[::-1]), ""))
     word = lambda ws: r"(?<![a-z0-9])(" + "|".join(ws) + r")(?![a-z])"
     flag = lambda x: x.cast("double")
     longest = F.array_max(F.transform(F.split(low, "[^a-z]+"), lambda w: F.length(w)))
-    f = {
+    code = lambda i: F.when(F.substring(low, i, F.lit(1)).between("a", "z"), F.ascii(F.substring(low, i, F.lit(1))) - 97).otherwise(LETTERS - 1)
+    table = F.array(*map(F.lit, transitions(words)))
+    likely = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda s, i: s + F.get(table, (code(i) * LETTERS + code(i + 1)).cast("int")))
+    parts = F.transform(F.regexp_extract_all(v, F.lit("[A-Z]?[a-z]+|[A-Z]+"), F.lit(0)), F.lower)
+    known = [w for w, _ in words] or [""]
+    covered = F.aggregate(F.filter(parts, lambda w: w.isin(known)), F.lit(0), lambda s, w: s + F.length(w))
+    return {
         "length": flag(n), "digits": _share(left("[0-9]"), n), "uppers": _share(left("[A-Z]"), n), "lowers": _share(left("[a-z]"), n), "marks": _share(left("[^A-Za-z0-9]"), n),
-        "changes": _share(runs - 1, n - 1), "pairs": _share(paired, n), "path": flag(v.rlike(r"^/|/.*/|\.[a-z]{2,4}$") | F.col("before").rlike(r"(://|/|\\)\S*$")),
-        "near_secret": flag(F.lower("before").rlike(word(SECRET_WORDS) + r"[^.\n]{0,24}$")), "near_plain": flag(near.rlike(word(PLAIN_WORDS))), "holder": flag(low.rlike("|".join(HOLDERS))),
-        "assigned": flag(F.col("before").rlike(r"[=:]\s*[\"']?$") | v.rlike(r"^[A-Za-z_]+=")), "quoted": flag(F.col("before").rlike(r"[\"']$") & F.col("after").rlike(r"^[\"']")), "hexlike": flag(v.rlike("^[0-9a-f]+$") | v.rlike("^[0-9A-F]+$")),
+        "changes": _share(runs - 1, n - 1), "transitions": _share(likely, n - 1), "coverage": _share(covered, n), "path": flag(v.rlike(r"^/|/.*/|\.[a-z]{2,4}$") | before.rlike(r"(://|/|\\)\S*$")),
+        "near_secret": flag(F.lower(before).rlike(word(SECRET_WORDS) + r"[^.\n]{0,24}$")), "near_plain": flag(near.rlike(word(PLAIN_WORDS))), "holder": flag(low.rlike("|".join(HOLDERS))),
+        "assigned": flag(before.rlike(r"[=:]\s*[\"']?$") | v.rlike(r"^[A-Za-z_]+=")), "quoted": flag(before.rlike(r"[\"']$") & after.rlike(r"^[\"']")), "hexlike": flag(v.rlike("^[0-9a-f]+$") | v.rlike("^[0-9A-F]+$")),
         "longest_word": _share(longest, n), "prefix": flag(v.rlike(r"^(AKIA|ASIA|ghp_|gho_|xox[abp]-|sk-|sk_live_|pk_live_|AIza|eyJ)")), "different": _share(F.size(F.array_distinct(F.split(v, ""))).cast("double"), n),
+        "in_address": flag(before.rlike(r"://[^\s/:@]*:$") & after.rlike("^@")), "parts": flag(F.size(F.split(v, r"\.")) - 1),
     }
-    return c.select("*", *(f[k].alias(f"f_{k}") for k in FEATURES))
 
 
-def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = SEED) -> DataFrame:
-    """value, before, after, label: findings labelled by how they were made, from a seeded generator.
+def labelled_findings(words: list[tuple[str, int]], n: int = 4000, seed: int = SEED) -> list[tuple[str, str, str, int]]:
+    """value, before, after, label: findings labelled by how they were made, by a seeded generator.
 
-    True ones: cloud key ids, service tokens, hex and base64 keys, passwords, beside words of their
-    kind or bare. False ones: long words, hashes and ids named as such, paths, place holders, numbers,
-    dates and versions. n is a documented bound; the text corpus is not used.
+    True ones: cloud key ids, service tokens, hex and base64 keys, tokens of three parts, passwords of
+    words, digits and signs, beside words of their kind, in addresses or bare. False ones: long words,
+    names and addresses, hashes and ids named as such, paths, place holders, numbers, dates, versions,
+    and plain words behind a secret word. Plain words come from the dictionary; n is a documented bound.
     """
     r = random.Random(seed)
+    plain = [w for w, _ in words] or ["word", "plain", "other", "these", "about", "there"]
     hexes, b64, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     some = lambda s, k: "".join(r.choice(s) for _ in range(k))
-    word = lambda: "".join(r.choice(PAIRS[:60]) for _ in range(r.randrange(1, 4)))
+    word = lambda: r.choice(plain)
     prose = lambda: " ".join(word() for _ in range(6))
+    dotted = lambda: f"eyJ{some(alnum, r.randrange(12, 30))}.{some(alnum + '_-', r.randrange(16, 60))}.{some(alnum + '_-', r.randrange(20, 44))}"
+    pad = lambda w: w if len(w) >= 12 else pad(w + word())
+
+    def password():
+        w = word()
+        if r.random() < 0.5:
+            w = "".join({"a": "4", "e": "3", "i": "1", "o": "0", "s": "$"}.get(c, c) if r.random() < 0.5 else c for c in w)
+        w = r.choice([w, w.capitalize(), w.upper()])[:r.randrange(4, 12)] + r.choice(["", some("0123456789", r.randrange(1, 5))]) + r.choice(["", some("!$&#%*-_?+^", r.randrange(1, 3))]) + some(alnum, r.randrange(1, 5))
+        return w if len(w) >= 6 else w + some("0123456789", 6)
 
     def true():
-        v = r.choice([lambda: "AKIA" + some(alnum[:26] + "234567", 16), lambda: "AKIA" + some(alnum[:26] + "0123456789", 16), lambda: "ghp_" + some(alnum, 36), lambda: some(hexes, r.choice([18, 32, 40, 64])), lambda: some(b64, r.choice([24, 40, 44])), lambda: "sk_live_" + some(alnum, 24), lambda: some(alnum, r.randrange(14, 33))])()
         key = r.choice(SECRET_WORDS)
-        if v.startswith(("AKIA", "ghp_", "sk_live_")):
-            return v, prose() + " ", " " + prose()
-        return r.choice([(v, f"{prose()} {key}=", " " + prose()), (v, f'{prose()} {key} = "', '" ' + prose()), (v, f"{prose()} {key}: ", " " + prose()), (f"{key}={v}" if r.random() < 0.3 else v, f"{prose()} {key} ", " " + prose())])
+        given = lambda: r.choice([(f"{prose()} {key}=", " " + prose()), (f'{prose()} {key} = "', '" ' + prose()), (f"{prose()} {key}: ", " " + prose()), (f"{prose()} {key.upper()}='", "' " + prose()), (f"{prose()} my_{key}=", "\n" + prose())])
+        kind = r.random()
+        if kind < 0.25:
+            return password(), *given()
+        if kind < 0.35:
+            return r.choice([password, lambda: some(alnum, r.randrange(8, 24))])(), f"{prose()} {r.choice(['https', 'postgres', 'mysql', 'ftp', 'redis'])}://{word()}:", f"@{word()}.{word()}/{word()}"
+        if kind < 0.45:
+            return dotted(), *r.choice([given(), (prose() + " ", " " + prose()), (prose() + " bearer ", " " + prose())])
+        v = r.choice([lambda: "AKIA" + some(alnum[:26] + r.choice(["", "234567", "0123456789"]), 16), lambda: r.choice(["AKIA", "ASIA"]) + some(alnum[:26] + "234567", 16), lambda: "ghp_" + some(alnum, 36), lambda: some(hexes, r.choice([18, 32, 40, 64])), lambda: some(b64, r.choice([24, 40, 44])), lambda: "sk_live_" + some(alnum, 24), lambda: some(alnum, r.randrange(14, 33))])()
+        if v.startswith(("AKIA", "ASIA", "ghp_", "sk_live_")):
+            return v, prose() + r.choice([" ", " ", ".", "="]), " " + prose()
+        return r.choice([(v, *given()), (f"{key}={v}" if r.random() < 0.3 else v, f"{prose()} {key} ", " " + prose())])
 
     def false():
         near = lambda: r.choice([prose() + " ", prose() + " " + r.choice(PLAIN_WORDS) + " ", prose() + ": "])
         return r.choice([
-            lambda: ("".join(word() for _ in range(5)), near(), " " + prose()), lambda: ("".join(word() for _ in range(4)).upper(), near().upper(), "!! " + prose().upper()), lambda: ("".join(word() for _ in range(5)).capitalize(), near(), ", " + prose()), lambda: ("-".join(word() for _ in range(4)), near(), " " + prose()), lambda: (some("0123456789", r.randrange(12, 20)), near(), " " + prose()),
-            lambda: (some(hexes, r.choice([32, 40, 64])), f"{prose()} {r.choice(PLAIN_WORDS[:8])} ", " " + prose()), lambda: ("/".join(word() for _ in range(4)), prose() + " /", " " + prose()), lambda: (f"{word()}_{word()}_{word()}_{r.randrange(99)}", near(), " " + prose()),
-            lambda: (r.choice(HOLDERS) + some("0123456789", 6) + word(), f"{prose()} {r.choice(SECRET_WORDS)}=", " " + prose()), lambda: (f"20{r.randrange(10, 30)}-0{r.randrange(1, 9)}-{r.randrange(10, 29)}T{r.randrange(10, 24)}", near(), " " + prose()),
-            lambda: ("-".join(some(hexes, k) for k in (8, 4, 4, 4, 12)), f"{prose()} {r.choice(('uuid', 'guid', 'id'))} ", " " + prose()), lambda: (f"{word()}{word()}{word()}{word()}{r.randrange(1000)}", near(), " " + prose()), lambda: ("-" * r.randrange(12, 40), near(), "\n"), lambda: ("=" * 0 + "_" * r.randrange(12, 40), near(), "\n")])()
+            lambda: (pad(word()), near(), " " + prose()), lambda: (pad(word()).upper(), near().upper(), "!! " + prose().upper()), lambda: (pad(word()).capitalize(), near(), ", " + prose()), lambda: ("-".join(word() for _ in range(4)), near(), " " + prose()),
+            lambda: (some("0123456789", r.randrange(12, 20)), near(), " " + prose()), lambda: (some(hexes, r.choice([32, 40, 64])), f"{prose()} {r.choice(PLAIN_WORDS[:8])} ", " " + prose()), lambda: ("/".join(word() for _ in range(4)), prose() + " /", " " + prose()),
+            lambda: (f"{word()}_{word()}_{word()}_{r.randrange(99)}", near(), " " + prose()), lambda: (r.choice(HOLDERS) + some("0123456789", 6) + word(), f"{prose()} {r.choice(SECRET_WORDS)}=", " " + prose()),
+            lambda: (f"20{r.randrange(10, 30)}-0{r.randrange(1, 9)}-{r.randrange(10, 29)}T{r.randrange(10, 24)}", near(), " " + prose()), lambda: ("-".join(some(hexes, k) for k in (8, 4, 4, 4, 12)), f"{prose()} {r.choice(('uuid', 'guid', 'id'))} ", " " + prose()),
+            lambda: (f"{pad(word())}{r.randrange(1000)}", near(), " " + prose()), lambda: (r.choice("-_") * r.randrange(12, 40), near(), "\n"), lambda: (pad(f"{word()}-{word()}"), prose() + " ", f"@{word()}.{word()}"), lambda: (pad(word()), f"{prose()} {r.choice(['www', word()])}.", f".{word()} " + prose()),
+            lambda: (pad(word()), f"{prose()} https://{word()}/", f"?{word()}"), lambda: (f"{pad(word())}.{pad(word())}.{pad(word())}", near(), " " + prose()), lambda: (word() if r.random() < 0.7 else f"{word()}-{word()}", f"{prose()} {r.choice(SECRET_WORDS)}: ", " " + prose()),
+            lambda: (pad(word()), f"{prose()} {r.choice(SECRET_WORDS)} ", " " + prose()), lambda: (r.choice(HOLDERS), f'{prose()} {r.choice(SECRET_WORDS)}="', '"'), lambda: (some("0123456789", r.randrange(3, 8)) + "-" + some("0123456789", r.randrange(6, 9)), near(), " " + prose())])()
 
-    rows = [(*true(), 1) if i % 2 else (*false(), 0) for i in range(n)]
-    return spark.createDataFrame(rows, "value string, before string, after string, label int")
+    return [(*true(), 1) if i % 2 else (*false(), 0) for i in range(n)]
 
 
 def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
     """Bagged trees with random features at each split; a tree is (feature, cut, left, right) or a share."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    tries = max(2, round(math.sqrt(x.shape[1])))
+    x = np.round(x, 9)  # no cut between values that differ by an error of rounding only
+    tries = max(2, round(2 * math.sqrt(x.shape[1])))
 
     def grow(at, level):
         share = float(y[at].mean())
@@ -113,6 +158,8 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DE
             v = np.unique(x[at, f])
             for cut in ((v[1:] + v[:-1]) / 2)[:: max(1, len(v) // 16)].tolist():
                 left = x[at, f] <= cut
+                if left.all():  # neighbours too close for a cut between them
+                    continue
                 n, p, q = left.sum(), y[at[left]].mean(), y[at[~left]].mean()
                 gini = n * p * (1 - p) + (len(at) - n) * q * (1 - q)
                 if best is None or gini < best[0]:
@@ -125,72 +172,76 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DE
     return [grow(rng.integers(0, len(y), len(y)), 0) for _ in range(trees)]
 
 
-def tree_column(tree) -> Column:
-    if isinstance(tree, float):
-        return F.lit(tree)
-    f, cut, left, right = tree
-    return F.when(F.col(f"f_{FEATURES[f]}") <= cut, tree_column(left)).otherwise(tree_column(right))
-
-
 def tree_sql(tree) -> str:
     if isinstance(tree, float):
         return f"{tree!r}D"
     f, cut, left, right = tree
-    return f"if(f_{FEATURES[f]} <= {cut!r}D, {tree_sql(left)}, {tree_sql(right)})"
+    return f"if(f.{FEATURES[f]} <= {cut!r}D, {tree_sql(left)}, {tree_sql(right)})"
 
 
 _forests: dict = {}
 
 
-def forest(spark: SparkSession) -> list:
-    """The forest over labelled_findings(), fitted once: its few thousand rows are on the driver anyway."""
-    key = TREES, DEPTH, SEED
+def forest(spark: SparkSession, words: list[tuple[str, int]]) -> list:
+    """The forest over labelled_findings(): their few thousand rows are on the driver anyway."""
+    key = TREES, DEPTH, SEED, tuple(words)
     if key not in _forests:
-        rows = features(labelled_findings(spark)).select("label", *(f"f_{k}" for k in FEATURES)).collect()
-        x = np.array([list(r)[1:] for r in rows], float)
-        _forests[key] = fit_forest(x, np.array([r["label"] for r in rows], float))
+        _forests.clear()
+        x = _measured(spark.createDataFrame(labelled_findings(words), "value string, before string, after string, label int"), words)
+        _forests[key] = fit_forest(np.array([list(r)[1:] for r in x], float), np.array([r["label"] for r in x], float))
     return _forests[key]
 
 
-def scored(c: DataFrame, trees: list) -> DataFrame:
-    """Candidates with score, the mean of the trees' shares, and secret."""
-    d = features(c)
-    d = d.withColumns({f"t_{i}": F.expr(tree_sql(t)) for i, t in enumerate(trees)})
-    total = sum((F.col(f"t_{i}") for i in range(1, len(trees))), F.col("t_0"))
-    d = d.withColumn("score", F.round(total / len(trees), 6)).drop(*(f"t_{i}" for i in range(len(trees))), *(f"f_{k}" for k in FEATURES))
-    return d.withColumn("secret", F.col("score") >= CUT)
+def _measured(rows: DataFrame, words) -> list:
+    f = features(F.col("value"), F.col("before"), F.col("after"), words)
+    return rows.select("label", *(f[k].alias(k) for k in FEATURES)).collect()
+
+
+def judged(docs: DataFrame, words: list[tuple[str, int]], trees: list) -> DataFrame:
+    """row (all columns of docs as a struct), t (its text, null as empty), found (an element for each candidate: value,
+    score, secret) and gaps (the text between candidates).
+
+    A text is cut at its candidates: what lies between two of them is the context of both, at most
+    CONTEXT characters, and on the left the candidate before it too. So a long text is passed over
+    twice, however many candidates it holds, and nothing is shuffled.
+    """
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    d = d.select("row", "t", F.regexp_extract_all("t", F.lit(RUN), F.lit(0)).alias("v")).withColumn("gaps", F.when(F.size("v") > 0, F.split("t", RUN, -1)).otherwise(F.array("t")))
+    before = lambda i: F.right(F.concat(F.coalesce(F.get("v", i - 1), F.lit("")), F.get("gaps", i)), F.lit(CONTEXT))
+    after = lambda i: F.left(F.get("gaps", i + 1), F.lit(CONTEXT))
+    d = d.withColumn("c", F.transform("v", lambda v, i: F.struct(v.alias("value"), before(i).alias("before"), after(i).alias("after"))))
+    d = d.withColumn("c", F.transform("c", lambda c: F.struct(*(x.alias(k) for k, x in features(c["value"], c["before"], c["after"], words).items()))))
+    total = " + ".join(f"({tree_sql(t)})" for t in trees)
+    d = d.withColumn("s", F.expr(f"transform(c, f -> round(({total}) / {len(trees)}, 6))"))
+    found = F.zip_with("v", "s", lambda v, s: F.struct(v.alias("value"), s.alias("score"), (s >= CUT).alias("secret")))
+    return d.select("row", "t", found.alias("found"), "gaps")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, at, value_sha256, chars, score, secret for each candidate of docs (doc_id, text).
 
-    Every row is scanned whole where it is read: there is no shuffle. Null and empty texts hold no
-    candidate; repeated rows give repeated findings; an empty table none. Values are digests only.
+    Every row is scanned whole where it is read; only the dictionary's counts are shuffled. Null and
+    empty texts hold no candidate; repeated rows and equal values give repeated findings; an empty
+    table none. Values are digests only. Other columns are not read, whatever their names.
     """
-    c = candidates(docs.select("doc_id", F.col("text").cast("string").alias("text")), ("doc_id",))
-    s = scored(c, forest(docs.sparkSession))
-    return s.select("doc_id", F.col("at").cast("long").alias("at"), F.sha2("value", 256).alias("value_sha256"), F.length("value").cast("long").alias("chars"), "score", "secret")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    words = dictionary(docs)
+    d = judged(docs, words, forest(docs.sparkSession, words)).select("row.doc_id", F.posexplode("found").alias("at", "f"))
+    return d.select("doc_id", F.col("at").cast("long").alias("at"), F.sha2("f.value", 256).alias("value_sha256"), F.length("f.value").cast("long").alias("chars"), "f.score", "f.secret")
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each secret in text replaced by MASK (n_chars, if there, follows); all rows are kept.
+    """docs with each secret in text replaced by MASK (n_chars, if there, follows); all rows and columns are kept.
 
-    Texts without candidates pass as they are. The others' candidates are judged one row each, and
-    their masks gathered by a number of the row, so texts are not shuffled but once, and only those.
+    Texts are masked where they are read, without a shuffle. Texts without a secret, nulls too, pass
+    as they are. The row is kept apart as a struct, so columns may have any names.
     """
-    names = docs.columns
-    d = docs.withColumn("__v", F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(RUN), F.lit(0)))
-    d = C.cut(d.where(F.size("__v") > 0).withColumn("__id", F.monotonically_increasing_id()))
-    rows = candidates(d.select("text", "__id"), ("__id",))
-    masks = scored(rows, forest(docs.sparkSession)).groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("at", "secret"))).alias("__m"))
-    out = d.join(masks.withColumnRenamed("__id", "__mid"), F.col("__id") == F.col("__mid"))
-    gaps = F.split("text", RUN, -1)
-    out = out.withColumn("__g", gaps).withColumn("__new", F.concat(F.get("__g", F.lit(0)), F.array_join(F.transform("__m", lambda m: F.concat(
-        F.when(m["secret"], F.lit(MASK)).otherwise(F.get("__v", m["at"])), F.get("__g", m["at"] + 1))), "")))
-    new = {"text": F.col("__new"), "n_chars": F.length("__new").cast("long")}
-    changed = out.select(*(new.get(c, F.col(c)).alias(c) for c in names))
-    plain = docs.where(F.size(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(RUN), F.lit(0))) == 0)
-    return plain.unionByName(changed)
+    words = dictionary(docs)
+    d = judged(docs, words, forest(docs.sparkSession, words))
+    new = F.concat(F.get("gaps", F.lit(0)), F.array_join(F.transform("found", lambda f, i: F.concat(F.when(f["secret"], F.lit(MASK)).otherwise(f["value"]), F.get("gaps", i + 1))), ""))
+    d = d.select("row", F.exists("found", lambda f: f["secret"]).alias("any"), new.alias("new"))
+    changed = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
+    return d.select(*(F.when(F.col("any"), changed[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
