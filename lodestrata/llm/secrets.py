@@ -207,9 +207,11 @@ def judged(docs: DataFrame, words: list[tuple[str, int]], trees: list) -> DataFr
     """
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     d = d.select("row", "t", F.regexp_extract_all("t", F.lit(RUN), F.lit(0)).alias("v")).withColumn("gaps", F.when(F.size("v") > 0, F.split("t", RUN, -1)).otherwise(F.array("t")))
-    before = lambda i: F.right(F.concat(F.coalesce(F.get("v", i - 1), F.lit("")), F.get("gaps", i)), F.lit(CONTEXT))
-    after = lambda i: F.left(F.get("gaps", i + 1), F.lit(CONTEXT))
-    d = d.withColumn("c", F.transform("v", lambda v, i: F.struct(v.alias("value"), before(i).alias("before"), after(i).alias("after"))))
+    # arrays side by side, as a column that a lambda names may be computed for each element
+    n = F.size("v")
+    beside = F.arrays_zip(F.col("v").alias("value"), F.concat(F.array(F.lit("")), "v").alias("last"), F.slice("gaps", F.lit(1), n).alias("left"), F.slice("gaps", F.lit(2), n).alias("right"))
+    d = d.withColumn("z", F.slice(beside, F.lit(1), n))
+    d = d.withColumn("c", F.transform("z", lambda x: F.struct(x["value"].alias("value"), F.right(F.concat(x["last"], x["left"]), F.lit(CONTEXT)).alias("before"), F.left(x["right"], F.lit(CONTEXT)).alias("after"))))
     d = d.withColumn("c", F.transform("c", lambda c: F.struct(*(x.alias(k) for k, x in features(c["value"], c["before"], c["after"], words).items()))))
     total = " + ".join(f"({tree_sql(t)})" for t in trees)
     d = d.withColumn("s", F.expr(f"transform(c, f -> round(({total}) / {len(trees)}, 6))"))
@@ -226,7 +228,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     words = dictionary(docs)
-    d = judged(docs, words, forest(docs.sparkSession, words)).select("row.doc_id", F.posexplode("found").alias("at", "f"))
+    d = judged(docs, words, forest(docs.sparkSession, words)).select("row.doc_id", F.posexplode_outer("found").alias("at", "f")).where("f is not null")  # a plain explode would test found in a filter, and so compute it twice
     return d.select("doc_id", F.col("at").cast("long").alias("at"), F.sha2("f.value", 256).alias("value_sha256"), F.length("f.value").cast("long").alias("chars"), "f.score", "f.secret")
 
 
@@ -238,7 +240,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     words = dictionary(docs)
     d = judged(docs, words, forest(docs.sparkSession, words))
-    new = F.concat(F.get("gaps", F.lit(0)), F.array_join(F.transform("found", lambda f, i: F.concat(F.when(f["secret"], F.lit(MASK)).otherwise(f["value"]), F.get("gaps", i + 1))), ""))
+    masked = F.zip_with("found", F.slice("gaps", F.lit(2), F.size("found")), lambda f, g: F.concat(F.when(f["secret"], F.lit(MASK)).otherwise(f["value"]), g))
+    new = F.concat(F.get("gaps", F.lit(0)), F.array_join(masked, ""))
     d = d.select("row", F.exists("found", lambda f: f["secret"]).alias("any"), new.alias("new"))
     changed = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
     return d.select(*(F.when(F.col("any"), changed[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
