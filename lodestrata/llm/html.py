@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -14,7 +15,9 @@ from . import _common as C
 #: HTML's kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript datalist title iframe noembed noframes object audio video canvas svg math".split())
+UNSEEN = frozenset("head script style template noscript datalist title iframe noembed noframes object audio video canvas".split())
+#: What svg and math do not draw.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask annotation annotation-xml".split())
 HEAD = frozenset("base basefont bgsound link meta title script style noscript template noframes head html".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table figure listing xmp hr".split())
 BLOCK = SPACED | frozenset("address article aside center details dialog dd div dt fieldset figcaption footer form header hgroup legend li main nav optgroup option section summary body html tr caption search".split())
@@ -23,7 +26,15 @@ LISTS = frozenset("ul ol menu dir".split())
 #: A tag, comment or declaration; what else begins with < is text.
 _MARK = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?:!|\?)[^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_GONE = re.compile(r"display\s*:\s*none", re.I)
+#: Open elements at most; characters to which a column, or a cell over several ones, is padded at most; columns that a
+#: cell spans at most, and up to which rows that are spanned count.
+DEPTH, COLUMN, SPANNED, COLUMNS = 512, 80, 240, 256
+_DISPLAY = re.compile(r"display\s*:\s*([a-z-]+)", re.I)
+_STYLE = re.compile(r"<style(?=[\s>])[^>]*>(.*?)(?:</style|\Z)", re.S | re.I)
+_NOTE = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_AT = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?", re.I)
 _VISIBLE = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
@@ -98,43 +109,86 @@ class Flow:
         return self.lines
 
 
-def grid(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of cells (lines, columns spanned) with columns aligned and two spaces between them."""
+def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of cells (lines, columns and rows spanned) with columns aligned and two spaces between them.
+
+    A cell that spans rows keeps later cells out of its columns. Columns of more than COLUMN characters,
+    and cells over several columns of more than SPANNED, push what stands right of them in their row;
+    others are not padded that far, so a table's text grows with its page.
+    """
+    placed, taken = [], {}  # taken: column to the last row that a cell from above fills
+    for r, row in enumerate(rows):
+        at, cells = 0, []
+        for lines, span, down in row:
+            while taken.get(at, -1) >= r:
+                at += 1
+            cells.append((at, lines, span))
+            if down != 1:
+                for c in range(at, min(at + span, COLUMNS)):
+                    taken[c] = r + down - 1 if down else len(rows)
+            at += span
+        placed.append(cells)
     width: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span in row:
+    for cells in placed:
+        for at, lines, span in cells:
             if span == 1:
-                width[at] = max(width.get(at, 0), *map(len, lines), 0) if lines else width.get(at, 0)
-            at += span
+                width[at] = min(COLUMN, max([width.get(at, 0), *map(len, lines)]))
+    # where a column begins; columns without a cell of their own take no room but the gap
+    starts, x = {}, 0
+    for c in range(max([at + span for cells in placed for at, _, span in cells], default=0) + 1):
+        starts[c] = x
+        x += width.get(c, 0) + 2
     out = []
-    for row in rows:
-        for k in range(max([1, *(len(lines) for lines, _ in row)])):
-            line, at = "", 0
-            for lines, span in row:
-                w = sum(width.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
-                line += (lines[k] if k < len(lines) else "").ljust(w) + "  "
-                at += span
+    for cells in placed:
+        for k in range(max([1, *(len(lines) for _, lines, _ in cells)])):
+            line, last = "", 0
+            for at, lines, span in cells:
+                # as far as the last cell's columns reach, but not beyond the limit for what lies between
+                gap = min(starts[at] - starts[last], SPANNED + 2) if last < at else 0
+                line += " " * gap
+                text = lines[k] if k < len(lines) else ""
+                line += text.ljust(min(starts[at + span] - starts[at] - 2, SPANNED)) + "  "
+                last = at + span
             out.append(line.rstrip())
     while out and not out[-1]:
         out.pop()
     return out
 
 
+def hiding(html: str) -> dict[str, bool]:
+    """Simple selectors (tag, .class, #id, tag.class, tag#id) of a page's style elements to whether they hide.
+
+    The last rule for a selector counts; at-rules and other selectors are left aside.
+    """
+    out: dict[str, bool] = {}
+    if "<style" in html or "<STYLE" in html or re.search("<style", html, re.I):
+        for m in _STYLE.finditer(html):
+            for r in _RULE.finditer(_AT.sub("", _NOTE.sub("", m[1]))):
+                shown = _DISPLAY.findall(r[2])
+                if shown:
+                    for x in r[1].split(","):
+                        if (x := x.strip()) and _SIMPLE.fullmatch(x):
+                            tag, rest = _SIMPLE.fullmatch(x).groups()
+                            out[(tag or "").lower() + (rest or "")] = shown[-1].lower() == "none"
+    return out
+
+
 class Element:
-    __slots__ = ("tag", "shown", "visible", "count", "rows", "flow", "span", "opened", "summary", "bullet")
+    __slots__ = ("tag", "shown", "visible", "count", "rows", "flow", "span", "down", "opened", "summary", "bullet")
 
     def __init__(self, tag: str, shown: bool, visible: bool):
         self.tag, self.shown, self.visible = tag, shown, visible
-        self.count, self.rows, self.flow, self.span, self.opened, self.summary, self.bullet = 0, None, None, 1, True, False, ""
+        self.count, self.rows, self.flow, self.span, self.down, self.opened, self.summary, self.bullet = 0, None, None, 1, 1, True, False, ""
 
 
 class Page:
     """Builds the tree as a stack of open elements and renders each part as it closes."""
 
-    def __init__(self):
+    def __init__(self, hides: dict[str, bool] | None = None):
         self.stack = [Element("#root", True, True)]
         self.flows = [Flow()]
+        self.hides = hides or {}
+        self.open: Counter = Counter()  # open elements by tag
 
     @property
     def flow(self) -> Flow:
@@ -146,6 +200,8 @@ class Page:
 
     def open_at(self, tags, stop=frozenset(["table", "td", "th", "caption", "#root"])) -> int:
         """Place of the nearest open element of some tags, not beyond a stop; -1 without."""
+        if not any(self.open[t] for t in tags):
+            return -1
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag in tags:
                 return k
@@ -178,9 +234,13 @@ class Page:
                 self.push("tr", {})
 
     def push(self, tag: str, attrs: dict) -> None:
+        if len(self.stack) > DEPTH:
+            self.pop()
         up = self.stack[-1]
         style = attrs.get("style") or ""
-        shown = up.shown and tag not in UNSEEN and ("hidden" not in attrs or attrs["hidden"] == "until-found") and not (style and _GONE.search(style))
+        shown = up.shown and tag not in UNSEEN and ("hidden" not in attrs or attrs["hidden"] == "until-found") and not self.hidden(tag, attrs, style)
+        if tag in UNDRAWN and (self.open["svg"] or self.open["math"]):
+            shown = False
         if up.tag == "details" and not up.opened:
             shown = shown and tag == "summary" and not up.summary
             up.summary = up.summary or tag == "summary"
@@ -212,14 +272,29 @@ class Page:
             elif tag == "tr" and (k := self.open_at(["table"], ())) > 0 and self.stack[k].rows is not None:
                 self.stack[k].rows.append([])
             elif tag in ("td", "th", "caption") and self.open_at(["table"], ()) > 0:
-                n = attrs.get("colspan") or "1"
-                e.span = min(1000, max(1, int(n))) if re.fullmatch(r"\d{1,6}", n) else 1
+                n, m = attrs.get("colspan") or "1", attrs.get("rowspan") or "1"
+                e.span = min(COLUMNS, max(1, int(n))) if re.fullmatch(r"[0-9]{1,6}", n) else 1
+                e.down = min(65534, int(m)) if re.fullmatch("[0-9]{1,6}", m) else 1
                 e.flow = Flow()
                 self.flows.append(e.flow)
         self.stack.append(e)
+        self.open[tag] += 1
+
+    def hidden(self, tag: str, attrs: dict, style: str) -> bool:
+        """Whether display is none: by the style attribute, else by the most specific rule of a style element."""
+        own = _DISPLAY.findall(style) if style else ()
+        if own:
+            return own[-1].lower() == "none"
+        gone = False
+        if self.hides:
+            classes = (attrs.get("class") or "").split()
+            for x in (tag, *(f"{t}.{c}" for t in ("", tag) for c in classes), *(f"{t}#{attrs['id']}" for t in ("", tag) if attrs.get("id"))):
+                gone = self.hides.get(x, gone)
+        return gone
 
     def pop(self) -> None:
         e = self.stack.pop()
+        self.open[e.tag] -= 1
         if not e.shown:
             return
         if e.flow is not None:
@@ -231,10 +306,10 @@ class Page:
             if e.tag == "caption" or t is None or t.rows is None:
                 self.flow.whole(lines)
             elif t.rows:
-                t.rows[-1].append((lines, e.span))
+                t.rows[-1].append((lines, e.span, e.down))
             return
         if e.tag == "table" and e.rows is not None:
-            self.flow.whole(grid([r for r in e.rows if r]))
+            self.flow.whole(grid(e.rows))
             return
         if e.tag in BLOCK:
             nested = e.tag in LISTS and self.open_at(LISTS) > 0
@@ -301,8 +376,10 @@ class Page:
 
 def render(html: str | None) -> str:
     """Visible text of a page: blocks on lines of their own, blank lines around paragraphs, list marks
-    with indents, tables with aligned columns. Null or empty gives an empty string."""
-    page, at, h = Page(), 0, html or ""
+    with indents, tables with aligned columns. Null or empty gives an empty string. Time and text grow
+    with the page: of elements nested deeper than DEPTH a new one takes the innermost one's place."""
+    h, at = html or "", 0
+    page = Page(hiding(h))
     while (m := _MARK.search(h, at)) is not None:
         if m.start() > at:
             page.data(h[at:m.start()])
@@ -329,10 +406,12 @@ def render(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, text, n_lines for each row of pages (page_id, html); rows are rendered where they are read.
 
-    Null and empty pages give empty texts, repeated rows equal ones, an empty table none.
+    Null and empty pages give empty texts, repeated rows equal ones, which each get their row, an empty
+    table none. Very long pages are rendered whole, a few at a time. Other columns are not read, whatever
+    their names.
     """
     def run(batches):
-        for b in batches:
+        for b in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
             texts = [render(h) for h in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array([len(t.split("\n")) if t else 0 for t in texts], pa.int64())], names=["page_id", "text", "n_lines"])
 

@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -26,6 +27,25 @@ def test_render(html, text):
     assert render(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  b  c\nd     e\nf     g"),
+    ("<table><tr><td colspan=2 rowspan=2>wide<td>x<tr><td>y<tr><td>1<td>2<td>3</table>", "wide  x\n      y\n1  2  3"),
+    ("<style>.x{display:none} #i, b.y{color:red;display:none}</style><p class='z x'>no<p id=i>no</p><b class=y>no</b><i class=y>yes</i>", "yes"),
+    ("<style>@media print{.y{display:none}} /* .y{display:none} */ i.x{display:none}</style><p class=y>a</p><i class=x>b</i><b class=x>c</b>", "a\n\nc"),
+    ("<style>p{display:none}.v{display:block}</style><p>a<p class=v>b<p style='display:inline'>c", "b\n\nc"),
+    ("<svg><title>t</title><text>drawn</text><defs><text>no</text></defs></svg> <math><mi>q</mi><annotation>no</annotation></math>", "drawn q")])
+def test_spans_styles_and_drawings(html, text):
+    assert render(html) == text
+
+
+def test_time_and_text_grow_with_the_page():
+    began = time.time()
+    assert render("<b>" * 20_000 + "x") == "x" and render("<b><div>" + "<i>" * 8000 + "</b>" * 8000) == ""
+    for page in ("<table><tr><td>" + "w" * 50_000 + "<td>x" + "<tr><td>a<td>b" * 4000, "<table>" + "<tr><td colspan=1000>a<td>b" * 4000, "<table>" + "<tr><td rowspan=60000 colspan=1000>a<td>b" * 2000):
+        assert len(render(page)) < 20 * len(page)
+    assert time.time() - began < 20
+
+
 def test_long_and_deep():
     assert render("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
     assert render("<p>a" * 30_000).count("a") == 30_000
