@@ -33,6 +33,16 @@ def count_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_own: set[str] = set()
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        drop(spark, path)
+    except Exception:  # noqa: BLE001  the session may be gone with all that it could reach
+        pass
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the session names; only without one (tests) a local folder."""
     sc = spark.sparkContext
@@ -44,6 +54,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
             at = tempfile.mkdtemp(prefix="ckpt-")
             atexit.register(shutil.rmtree, at, ignore_errors=True)
         sc.setCheckpointDir(at)
+    if sc.applicationId not in _own:
+        # the session's own folder below the shared one: what cut() wrote there goes with the session
+        _own.add(sc.applicationId)
+        atexit.register(_forget, spark, sc._jsc.sc().getCheckpointDir().get())
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -79,11 +93,24 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def looked_up(left: DataFrame, right: DataFrame, on: str, often: str, total: int, how: str = "inner", hot: int = 1000) -> DataFrame:
+    """left with right's columns; right has one row a key and says how often left has it, of total rows.
+
+    Keys that more than one row in hot has are at most hot: they are broadcast and their rows stay where
+    they are. The others meet by key. left is read twice, so it should be kept.
+    """
+    many = F.broadcast(right.where(F.col(often) * hot > total).drop(often))
+    few = right.where(F.col(often) * hot <= total).drop(often)
+    rest = left.join(many.select(on), on, "left_anti").join(few, on, how)
+    return left.join(many, on).unionByName(rest)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph given as columns u, v (long).
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): every step is a map-side
-    combined minimum and an equi-join, so no task holds a component. Returns node, component
+    combined minimum and an equi-join. No task holds a component; a node's edges, two numbers each,
+    meet where they are joined with its least neighbour, unless the planner splits them. Returns node, component
     (the smallest node id reachable) for each node of at least one edge with two different ends.
     """
     spark = edges.sparkSession

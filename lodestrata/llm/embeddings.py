@@ -162,10 +162,10 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     v = v.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     v = v.withColumn("fine", fine)
-    # a key for equal vectors: the array itself would do, but is wide
-    v = C.cut(v.withColumn("h", F.struct(F.xxhash64("v"), F.hash("v"), F.size("v"))))
-    nodes = C.cut(v.where("fine").groupBy("h", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).drop("h"))
-    n = nodes.count()
+    # a key for equal vectors: the array itself would do, but is wide; adding 0 makes -0 the same as 0
+    v = C.cut(v.withColumn("h", F.when(F.col("fine"), F.sha2(F.array_join(F.transform("v", lambda x: (x + 0.0).cast("string")), ","), 256))))
+    nodes = C.cut(v.where("fine").groupBy("h").agg(F.min("vec_id").alias("node"), F.first("v").alias("v"), F.count("*").alias("copies")))
+    n, total = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     bits, tables = plan_tables(n)
     signed = C.cut(nodes.select("node", "v").mapInArrow(_signed(bits, tables), "node long, dim int, signs binary, sigs array<long>"))
     b = signed.select("node", "dim", "signs", F.posexplode("sigs").alias("t", "bucket"))
@@ -173,16 +173,16 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     b = _chunked(b.join(sizes, ["t", "bucket", "dim"]))
     b = b.withColumn("task", F.pmod(F.xxhash64("t", "bucket", "dim", "i", "j"), F.lit(max(1, n * tables // (4 * CHUNK)))))
     families = C.components(b.groupBy("task").applyInPandas(_candidates(most_different(bits * tables)), "u long, v long"))
-    f = families.select("node", F.col("component").alias("family")).join(nodes, "node").withColumn("dim", F.size("v"))
+    f = families.select("node", F.col("component").alias("family")).join(nodes.drop("h"), "node").withColumn("dim", F.size("v"))
     sizes = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("n"))
     f = _chunked(f.join(sizes, "family"))
     f = f.withColumn("task", F.pmod(F.xxhash64("family", "i", "j"), F.lit(max(1, families.count() // CHUNK))))
     got = C.cut(f.groupBy("task").applyInPandas(_compared, "node long, links long, v long"))
     counts = got.where("v is null").groupBy("node").agg(F.sum("links").alias("links"))
     comps = C.components(got.where("v is not null").select(F.col("node").alias("u"), "v"))
-    out = nodes.select("node", "copies", F.col("v").alias("nv")).join(counts, "node", "left").join(comps, "node", "left")
-    out = out.select(F.col("nv"), F.col("node"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    linked = v.where("fine").join(out, F.col("v") == F.col("nv"))
+    out = nodes.select("node", "copies", "h").join(counts, "node", "left").join(comps, "node", "left")
+    out = out.select("h", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    linked = C.looked_up(v.where("fine").select("vec_id", "h"), out, "h", "copies", total)
     alone = v.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     done = linked.select("vec_id", "n_links", "component_id").unionByName(alone)
     return done.withColumn("kept", F.col("vec_id") == F.col("component_id")).unionByName(none)

@@ -25,7 +25,10 @@ CHUNK_CHARS = 250_000
 #: Rows of a bucket that one task compares with each other.
 BUCKET_ROWS = 1024
 #: Classes whose sets meet in one task are at most about twice this.
-BLOCK_CLASSES = 256
+BLOCK_CLASSES, SALTS = 256, 4
+#: A class with more shingles is a block of its own, so the sets that meet in a task take some 200 MB at most, or as
+#: much as two of the longest texts'.
+LARGE = 50_000
 BROADCAST_IDS = 2_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20_240_607))
@@ -197,7 +200,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents without words, or with a null text or id, link with nothing. component_id is null and
     kept true for a null id. Rows that share an id are one document: each row is returned, and links
-    of any of them count for all. An empty table gives no rows.
+    of any of them count for all. An empty table gives no rows. Very long texts are hashed in pieces;
+    their sets, 8 bytes a word, are held whole. Other columns are not read, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = C.cut(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, odd binary"))
@@ -212,7 +216,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     total = near.count()
     block = F.when(F.col("size") <= BLOCK_CLASSES, F.pmod(F.xxhash64("center"), F.lit(max(1, -(-total // BLOCK_CLASSES))))).otherwise(
         F.xxhash64("center", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / BLOCK_CLASSES))))
-    near = C.cut(near.join(crowd, "center").select("cls", block.alias("block")))
+    block = F.when(F.col("n_shingles") > LARGE, F.xxhash64("cls", F.lit(1))).otherwise(block)
+    near = C.cut(near.join(crowd, "center").join(classes.select("cls", "n_shingles"), "cls").select("cls", block.alias("block")))
 
     wanted = near.select(F.col("cls").alias("doc_id"))
     texts = docs.join(F.broadcast(wanted) if total <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
@@ -223,7 +228,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def confirmed(pairs: DataFrame) -> DataFrame:
         ends = [near.select(F.col("cls").alias(e), F.col("block").alias(f"block_{e}")) for e in "ab"]
         p = pairs.join(ends[0], "a").join(ends[1], "b")
-        key = F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b"))
+        # a block pair's links are dealt to SALTS tasks
+        key = F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b"), F.pmod(F.xxhash64("b"), F.lit(SALTS)))
         p = C.cut(p.select(key.alias("key"), "a", "b"))
         s = p.select(F.col("key").alias("skey"), F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
         return p.groupBy("key").cogroup(s.groupBy("skey")).applyInPandas(_confirm, "a long, b long")
@@ -260,9 +266,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.union(more)
         comps = C.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    out = sketched.select("doc_id", "n_shingles", "d1", "d2")
-    copied = classes.where("copies > 1").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n_shingles").alias("cn"), "cls")
-    out = out.join(copied, (out.d1 == copied.c1) & (out.d2 == copied.c2) & (out.n_shingles == copied.cn), "left")
+    digest = F.struct("d1", "d2", "n_shingles")
+    copied = classes.where("copies > 1").select(digest.alias("digest"), "cls", "copies")
+    listed = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    out = C.looked_up(sketched.select("doc_id", "n_shingles", digest.alias("digest")), copied, "digest", "copies", listed, "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("cls", "doc_id")).alias("cls"))
     out = out.join(comps, out.cls == comps.node, "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id"))
@@ -272,19 +279,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text and others) that stay: one document of each group, with all columns.
 
-    That is the one with the group's smallest id; of rows that repeat an id the first by text. Ids to
-    drop are broadcast while there are at most BROADCAST_IDS of them.
+    That is the one with the group's smallest id; of rows that repeat an id the first by text, then by
+    the whole row as JSON. Rows without an id stay. Ids to drop are broadcast while there are at most
+    BROADCAST_IDS of them. Rows are kept apart as structs, so columns may have any names and types.
     """
-    gone = C.cut(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
-    stay = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs.doc_id.cast("long") == F.col("__gone"), "left_anti")
-    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice"))
-    twice = C.cut(twice)
-    if twice.isEmpty():
-        return stay
-    once = stay.join(twice, stay.doc_id == F.col("__twice"), "left_anti")
-    rest = stay.join(twice, stay.doc_id == F.col("__twice"), "left_semi")
-    least = rest.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("__r"))
-    return once.unionByName(least.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"__r.`{c}`").alias(c) for c in docs.columns)))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    gone = C.cut(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct())
+    stay = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "id", "left_anti")
+    twice = C.cut(rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    if not twice.isEmpty():
+        once, rest = stay.join(twice, "id", "left_anti"), stay.join(twice, "id", "left_semi")
+        stay = once.unionByName(rest.groupBy("id").agg(F.min_by("row", F.struct("row.text", F.to_json("row"))).alias("row")))
+    return stay.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,24 @@ def test_shingles_against_tuples():
         assert len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j])
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    from lodestrata.llm import shingles
+
+    texts = ["a b  c " * 40 + "x" * 700 + " d\te " * 30, "y" * 3000, " \n", None, "é A " * 200, "z" * 64, "w" * 65 + " v", "q " * 31 + "r" * 500]
+    want, at = shingles.word_hashes(texts)
+    monkeypatch.setattr(shingles, "PIECE", 64)
+    got, places = shingles.word_hashes(texts)
+    assert got.tolist() == want.tolist() and places.tolist() == at.tolist()
+
+
+def test_representatives_with_any_columns(spark):
+    d = spark.createDataFrame([(1, "a b c d e", {"k": 1}, "x"), (1, "a b c d a", {"k": 2}, "y"), (2, "a b c d e", None, "z"), (None, "a b c d e", None, "n"), (3, None, {}, "w")],
+                              "doc_id long, text string, row map<string,int>, id string")
+    got = M.representatives(d)
+    assert got.columns == d.columns
+    assert sorted(((r.doc_id, r.text, r.id) for r in got.collect()), key=repr) == [(1, "a b c d a", "y"), (3, None, "w"), (None, "a b c d e", "n")]
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**64, 2000, dtype=np.uint64)
