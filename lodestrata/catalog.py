@@ -5,7 +5,11 @@ Documents stand for advisories (CVE-2024-<id>), benchmark items for techniques (
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +19,7 @@ from .functions import lexicon as L
 from .functions.dialect import DUCK, SPARK
 from .operators import boolean, expand, index, lsa, rank, topics
 from .plans.engine import Engine
-from .sources import nvd
+from .sources import files, nvd
 
 #: Terms with a useful document frequency in the driver's invented texts.
 QUERY, WEIGHTED = "thtion erble attion", {"thtion": 1.0, "erbl": 0.6, "attion": 0.4}
@@ -54,6 +58,9 @@ def _engine(spark: SparkSession, sf: str) -> Engine:
     """The index of a folder is built once a session and shared by its queries."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _cache:
+        for x in _cache.values():
+            if isinstance(x, Engine):
+                x.index.release()
         _cache.clear()
         c = corpus(spark, sf)
         _cache[key] = Engine(spark, index.Index.build(c))
@@ -121,6 +128,73 @@ def _html(s, d):
     return _read(s, d, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.lit("nvd").alias("source"), F.col("html").alias("text"))
 
 
+# --- files: written from the driver's tables to a shared folder, and read again ------------------------
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder below the session's shared one; only without one (tests) a local folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="files-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+    return f"{at}/files-{uuid.uuid4().hex}"
+
+
+def _feeds(s, d):
+    """Feeds of 500 documents: the older layout for even ids, the newer one, compressed, for odd ones."""
+    at = _folder(s)
+    doc = _read(s, d, "documents").withColumn("id", F.concat(F.lit("cve-2024-"), F.col("doc_id").cast("string"))).withColumn("feed", F.floor(F.col("doc_id") / 1000))
+    lang = lambda *x: F.array(*(F.struct(F.lit(k).alias("lang"), (v if not isinstance(v, str) else F.lit(v)).alias("value")) for k, v in x))
+    refs = F.array(F.struct(F.concat(F.lit("http://x.test/"), "doc_id").alias("name"), F.array(F.lit("Patch")).alias("tags")), F.struct(F.lit("Vendor Bulletin").alias("name"), F.array(F.lit("Exploit")).alias("tags")))
+    one = F.struct(F.struct(F.col("id").alias("ID")).alias("CVE_data_meta"), F.struct(lang(("en", F.col("text")), ("fr", "non")).alias("description_data")).alias("description"),
+                   F.struct(F.array(F.struct(lang(("en", "CWE-79")).alias("description"))).alias("problemtype_data")).alias("problemtype"), F.struct(refs.alias("reference_data")).alias("references"))
+    two = F.struct("id", lang(("en", F.col("text")), ("es", "no")).alias("descriptions"), F.array(F.struct(lang(("es", "CWE-1"), ("en", "CWE-2")).alias("description"))).alias("weaknesses"))
+    for even, cve, name, how in ((0, one, "CVE_Items", "none"), (1, two, "vulnerabilities", "gzip")):
+        items = doc.where(F.col("doc_id") % 2 == even).groupBy("feed").agg(F.collect_list(F.struct(cve.alias("cve"))).alias(name))
+        items.select(name).write.mode("append").option("maxRecordsPerFile", 1).option("compression", how).json(at)
+    return index.dedup(nvd.read_nvd(s, at)).select("doc_id", "source", "text")
+
+
+def _bundle(s, d):
+    """A bundle of the benchmark's items: some are revoked, deprecated, or no techniques."""
+    at, b, i = _folder(s), _read(s, d, "benchmark").join(tactics(s, d).withColumn("item_id", F.expr("cast(substring(tid, 2) as long) - 1000")), "item_id"), F.col("item_id")
+    refs = F.array(F.struct(F.lit("other").alias("source_name"), F.lit(None).cast("string").alias("external_id"), F.lit("note").alias("description")), F.struct(F.lit("mitre-attack").alias("source_name"), F.lower("tid").alias("external_id"), F.lit(None).cast("string").alias("description")))
+    o = F.struct(F.when(i % 11 == 0, "malware").otherwise("attack-pattern").alias("type"), (i % 5 == 0).alias("revoked"), (i % 7 == 0).alias("x_mitre_deprecated"), F.substring("text", 1, 40).alias("name"), F.col("text").alias("description"), refs.alias("external_references"),
+                 F.lit("watch").alias("x_mitre_detection"), F.array(F.lit("Windows")).alias("x_mitre_platforms"), F.array(F.lit("Logs")).alias("x_mitre_data_sources"), F.array(F.struct(F.lower(F.replace("tactic", F.lit(" "), F.lit("-"))).alias("phase_name"))).alias("kill_chain_phases"))
+    b.agg(F.collect_list(o).alias("objects")).coalesce(1).write.json(at)
+    return nvd.read_stix(s, at)
+
+
+def _corpus_files(s, d):
+    at = _folder(s)
+    files.write_corpus_text(analyzer.token_arrays(corpus(s, d)), at)
+    return files.read_corpus_text(s, at)
+
+
+def _postings_files(s, d):
+    e, at = _engine(s, d), _folder(s)
+    files.postings_lines(e.index.postings, index.dictionary(e.index.stats)).write.text(at)
+    return files.parse_postings(s.read.text(at)).select("word_code", "term", "doc_id", "tf", "source")
+
+
+def _map_file(s, d):
+    at = _folder(s)
+    files.write_technique_map(_pairs(s, d), at)
+    return files.read_technique_map(s, at)
+
+
+def _saved(s, d):
+    at = _folder(s)
+    _expandable(s, d).save(at)
+    return Engine.load(s, at)
+
+
+def _shares(n: int = N_TOPICS):
+    """A made-up topic distribution of a document, with ties."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: ((F.col("doc_id") * 7 + i * 13) % 29).cast("double") / 29)
+
+
 def _codes(s, d):
     return index.dictionary(_engine(s, d).index.stats)
 
@@ -172,6 +246,16 @@ QUERIES = {
     "tactic_titles": lambda s, d: tactics(s, d).select("tid", nvd.tactic_title(F.lower(F.replace("tactic", F.lit(" "), F.lit("-")))).alias("title")),
     "lsa_weights": lambda s, d: lsa.weights(_engine(s, d).index).select("term", "doc_id", F.round("value", 6).alias("value")),
     "vector_top10": _vector,
+    "source_feeds": _feeds,
+    "source_bundle": lambda s, d: nvd.attack_corpus(_bundle(s, d)),
+    "source_tactics": lambda s, d: nvd.technique_tactics(_bundle(s, d)),
+    "corpus_files": _corpus_files,
+    "postings_files": _postings_files,
+    "technique_map_file": _map_file,
+    "map_totals": lambda s, d: expand.map_totals(_pairs(s, d)),
+    "saved_bm25": lambda s, d: _saved(s, d).search(QUERY, expanded=False),
+    "saved_bm25_expanded": lambda s, d: _saved(s, d).search(QUERY),
+    "dominant_topic": lambda s, d: _read(s, d, "documents").select("doc_id", topics.dominant(_shares()).alias("dominant_topic"), F.round(F.array_max(_shares()), 6).alias("confidence")),
     "lsa_top10": lambda s, d: _lsa_engine(s, d).search(QUERY, scorer="lsa", expanded=False),
     "lda_topics": lambda s, d: topics.topic_terms(_topics(s, d)),
     "lda_doc_topics": lambda s, d: _topics(s, d).doc_topics,
@@ -288,6 +372,16 @@ def sql() -> dict[str, str]:
         "tactic_topic_distinct": _heat(True),
         "tactic_titles": f"select tid, tactic as title from ({_TACTIC})",
         "lsa_weights": _with("select term, doc_id, round(tf * ln((n - df + 0.5) / (df + 0.5) + 1), 6) as value from post join stat using (term), coll"),
+        "source_feeds": "select 'CVE-2024-' || doc_id as doc_id, 'nvd' as source, coalesce(text, '') || case when doc_id % 2 = 0 then ' CWE-79 Patch Vendor Bulletin Exploit' else ' CWE-1' end as text from documents",
+        "source_bundle": "select 'T' || (1000 + item_id) as doc_id, 'attack' as source, text[1:40] || ' note  ' || replace(text, chr(10), ' ') || ' watch Windows Logs ' || phase as text from (select *, replace(lower(tactic), ' ', '-') as phase from benchmark join (" + _TACTIC + ") on tid = 'T' || (1000 + item_id)) where item_id % 5 <> 0 and item_id % 7 <> 0 and item_id % 11 <> 0",
+        "source_tactics": f"select tid, tactic from ({_TACTIC}) where (substr(tid, 2)::bigint - 1000) % 11 <> 0",
+        "corpus_files": f"select doc_id, source, tokens as text from ({_tokens('index')})",
+        "postings_files": _with("select word_code, term, doc_id, tf, source from post join (select term, (row_number() over (order by term) - 1)::int as word_code from stat) using (term)"),
+        "technique_map_file": _with("select tid, cve_id from pair where overlap >= 3", _PAIRS),
+        "map_totals": _with("select count(distinct tid) as n_techniques, count(*) as n_pairs from pair where overlap >= 3", _PAIRS),
+        "saved_bm25": _with(_top(_scores(_Q3))),
+        "saved_bm25_expanded": _with(_top(_scores_of("select term, weight from e")), _PAIRS, _KWC, _EXP),
+        "dominant_topic": f"select doc_id, (list_position(p, list_max(p)) - 1)::int as dominant_topic, round(list_max(p), 6) as confidence from (select doc_id, list_transform(range({N_TOPICS}), lambda i: ((doc_id * 7 + i * 13) % 29)::double / 29) as p from documents)",
         "vector_top10": "select v.vec_id, round(list_inner_product(v.embedding::double[], q.embedding::double[]), 6) as score from embeddings v, embeddings q where q.vec_id = 0 order by score desc, v.vec_id limit 10",
     }
 

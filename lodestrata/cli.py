@@ -1,4 +1,4 @@
-"""Command line: build, search, boolean, expand, topics, heatmap."""
+"""Command line: build, build-map, search, boolean, expand, topics with the heat map."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import boolean, rank, topics
+from .functions import lexicon as L
+from .operators import boolean, expand, rank, topics
+from .operators.index import dedup
 from .plans.engine import Engine
 from .sources import files, nvd
 
@@ -38,7 +40,10 @@ def main(argv: list[str] | None = None) -> None:
     t.add_argument("--passes", type=int, default=5)
     t.add_argument("--top-words", type=int, default=15)
     t.add_argument("--min-doc-len", type=int, default=topics.MIN_TOKENS)
-    for x in (b, s, q, e, t):
+    m = sub.add_parser("build-map")
+    m.add_argument("--attack", required=True)
+    m.add_argument("--min-overlap", type=int, default=L.MIN_OVERLAP)
+    for x in (b, s, q, e, t, m):
         x.add_argument("--index", required=True)
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
@@ -47,15 +52,22 @@ def main(argv: list[str] | None = None) -> None:
         engine.save(a.index)
         return
     if a.do == "topics":
-        corpus = nvd.read_nvd(spark, a.nvd).select("doc_id", "source", "text").dropDuplicates(["doc_id"])
+        corpus = nvd.read_nvd(spark, a.nvd).transform(dedup).select("doc_id", "source", "text")
         tokens = topics.topic_corpus(corpus, a.min_doc_len).persist()
         got = topics.train(tokens, a.topics, a.passes)
-        topics.save(got, f"{a.index}/topics", a.top_words)
-        topics.coherence(topics.topic_terms(got, a.top_words), tokens).show()
+        coherent = topics.coherence(topics.topic_terms(got, a.top_words), tokens).persist()
+        topics.save(got, f"{a.index}/topics", a.top_words, coherent)
+        coherent.show()
         if files.exists(spark, f"{a.index}/technique_cve"):
             topics.tactic_topic(spark.read.parquet(f"{a.index}/technique_cve"), nvd.technique_tactics(nvd.read_stix(spark, a.attack)), got.doc_topics, a.topics).show(100)
         return
     engine = Engine.load(spark, a.index)
+    if a.do == "build-map":
+        pairs = expand.technique_cve(engine.index.postings, nvd.techniques(nvd.read_stix(spark, a.attack)), a.min_overlap)
+        pairs.write.mode("overwrite").parquet(f"{a.index}/technique_cve")
+        files.write_technique_map(spark.read.parquet(f"{a.index}/technique_cve"), f"{a.index}/technique_map")
+        expand.map_totals(spark.read.parquet(f"{a.index}/technique_cve")).show()
+        return
     if a.do == "expand":
         engine.explain_expansion(a.query).orderBy(F.desc("weight"), "term").show(100, False)
     elif a.do == "boolean" and a.no_rank:

@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import LDA, LDAModel
+from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -140,7 +140,24 @@ def word_cloud(terms: DataFrame, n: int = 40) -> DataFrame:
     return terms.select("topic_id", F.explode(F.slice("terms", 1, n)).alias("t")).select("topic_id", "t.word", "t.weight")
 
 
-def save(topics: Topics, path: str, n: int = 15) -> None:
+def save(topics: Topics, path: str, n: int = 15, coherent: DataFrame | None = None) -> None:
+    """Model, vocabulary, topic words and dominant topics; coherent (see coherence()) too if given."""
     topics.model.write().overwrite().save(f"{path}/model")
+    topics.doc_topics.sparkSession.createDataFrame(list(enumerate(topics.words)), "code int, word string").write.mode("overwrite").parquet(f"{path}/words")
     topic_terms(topics, n).write.mode("overwrite").parquet(f"{path}/topic_terms")
     topics.doc_topics.write.mode("overwrite").parquet(f"{path}/doc_topics")
+    if coherent is not None:
+        coherent.coalesce(1).write.mode("overwrite").json(f"{path}/coherence")
+
+
+def load(spark: SparkSession, path: str) -> Topics:
+    words = [r["word"] for r in spark.read.parquet(f"{path}/words").orderBy("code").collect()]
+    return Topics(LocalLDAModel.load(f"{path}/model"), words, load_doc_topics(spark, path))
+
+
+def load_topic_terms(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/topic_terms")
+
+
+def load_doc_topics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/doc_topics")

@@ -10,8 +10,9 @@ SHARD_DOCUMENTS = 10_000
 
 
 def source_of_file(path: Column) -> Column:
-    """attack if the file's name holds that word."""
-    return F.when(F.element_at(F.split(path, "/"), -1).contains("attack"), "attack").otherwise("nvd")
+    """attack if the file's name holds that word, or its folder is that source's; else nvd."""
+    p = F.split(path, "/")
+    return F.when(F.element_at(p, -1).contains("attack") | (F.element_at(p, -2) == "source=attack"), "attack").otherwise("nvd")
 
 
 def write_corpus(corpus: DataFrame, path: str, shard_documents: int = SHARD_DOCUMENTS) -> None:
@@ -55,6 +56,12 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_technique_map(pairs: DataFrame, path: str) -> None:
+    """One JSON object of technique to its sorted advisories, as one line: for export, a map is one row."""
+    g = pairs.groupBy("tid").agg(F.array_sort(F.collect_set("cve_id")).alias("cves"))
+    g.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tid", "cves"))))).alias("value")).where("value is not null").coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_technique_map(spark: SparkSession, path: str) -> DataFrame:
     """tid, cve_id without repeats, from a JSON object of id to list."""
     raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("tid", "cves"))

@@ -32,8 +32,8 @@ def _english(x: Column) -> Column:
 
 
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
-    """Feed files of a folder (.json and .json.gz): the layouts' arrays, with feed (its path)."""
-    return (spark.read.schema(FEED).option("multiLine", True).option("pathGlobFilter", "*.json*").option("mode", "PERMISSIVE").json(path)
+    """Feed files of a folder (.json and .json.gz): the layouts' arrays, with feed (its path). A file that is no JSON fails."""
+    return (spark.read.schema(FEED).option("multiLine", True).option("pathGlobFilter", "{*.json,*.json.gz}").option("mode", "FAILFAST").json(path)
             .withColumn("feed", F.input_file_name()))
 
 

@@ -258,3 +258,27 @@ def test_text_layouts(spark, micro, tmp_path):
     assert sorted((r.doc_id, r.text) for r in files.read_corpus_text(spark, str(tmp_path / "c")).collect()) == [("C1", ""), ("T1", "a b")]
     (tmp_path / "m.json").write_text('{"t1": ["C1", "C2", "C1"]}')
     assert sorted(map(tuple, files.read_technique_map(spark, str(tmp_path / "m.json")).collect())) == [("T1", "C1"), ("T1", "C2")]
+
+
+def test_map_file_and_broken_feeds(spark, feeds, tmp_path):
+    p = spark.createDataFrame([("T1", "C2"), ("T1", "C1"), ("T2", "C1"), ("T1", "C1")], "tid string, cve_id string")
+    files.write_technique_map(p, str(tmp_path / "m"))
+    assert sorted(map(tuple, files.read_technique_map(spark, str(tmp_path / "m")).collect())) == [("T1", "C1"), ("T1", "C2"), ("T2", "C1")]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/a.json").write_text('{"CVE_Items": [')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        nvd.read_nvd(spark, str(tmp_path / "bad")).collect()
+    (tmp_path / "bad/a.json").rename(tmp_path / "bad/a.json.bak")
+    assert nvd.read_nvd(spark, str(tmp_path / "bad")).count() == 0
+
+
+def test_saved_topics(spark, tmp_path):
+    rng = random.Random(3)
+    t = spark.createDataFrame([(str(k), [rng.choice(["heap", "stack", "smb", "window"] if k % 2 else ["cloud", "token", "bucket", "role"]) for _ in range(12)]) for k in range(60)], "doc_id string, tokens array<string>")
+    got = topics.train(t, 2, passes=3, no_above=1.0)
+    topics.save(got, str(tmp_path / "t"), 4, topics.coherence(topics.topic_terms(got, 4), t))
+    back = topics.load(spark, str(tmp_path / "t"))
+    words = lambda x: [[w.word for w in r.terms] for r in x.orderBy("topic_id").collect()]
+    assert words(topics.topic_terms(back, 4)) == words(topics.load_topic_terms(spark, str(tmp_path / "t"))) == words(topics.topic_terms(got, 4))
+    assert {r.doc_id: r.dominant_topic for r in back.doc_topics.collect()} == {r.doc_id: r.dominant_topic for r in got.doc_topics.collect()}
+    assert 0 <= spark.read.json(str(tmp_path / "t/coherence")).first().c_v <= 1
