@@ -46,7 +46,7 @@ class Topics:
 def train(tokens: DataFrame, n_topics: int = 20, passes: int = 5, seed: int = 42, chunk: int = 2000, no_below: int = NO_BELOW, no_above: float = NO_ABOVE) -> Topics:
     """Online variational topics; one pass is as many steps as there are chunks of documents."""
     n = max(1, tokens.count())
-    cv = CountVectorizer(inputCol="tokens", outputCol="features", minDF=no_below, maxDF=no_above, vocabSize=KEEP).fit(tokens)
+    cv = CountVectorizer(inputCol="tokens", outputCol="features", minDF=no_below, maxDF=no_above if no_above < 1 else 2.0**62, vocabSize=KEEP).fit(tokens)
     bags = cv.transform(tokens).select("doc_id", "features").persist()
     lda = LDA(k=n_topics, optimizer="online", seed=seed, maxIter=max(1, passes * math.ceil(n / chunk)), subsamplingRate=min(1.0, chunk / n), docConcentration=[1.0 / n_topics], optimizeDocConcentration=False)
     model = lda.fit(bags)
