@@ -226,9 +226,8 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, size: int =
     def small(batches):
         p = load(proto.value)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                ts = texts[lo:lo + 256]
+            for lo in range(0, b.num_rows, 128):
+                ts = b.column(1).slice(lo, 128).to_pylist()
                 ids = p.lib.encode([t or "" for t in ts], num_threads=1)
                 back = p.lib.decode(ids)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(ts)), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([x == (t or "") for x, t in zip(back, ts)], pa.bool_())],

@@ -64,3 +64,33 @@ def test_empty(spark):
     d = docs(spark, [])
     assert M.mix_sources(d).count() == 0
     assert M.mixed_documents(d).count() == 0
+
+
+def test_mix_against_brute_force(spark):
+    """Slots walked one by one over streams of single words."""
+    block = 16
+    rows = [(i, "w " * (i * 37 % 90), f"s{i % 4}" if i % 7 else None) for i in range(90)] + [(400, "one two", "tiny"), (400, "one two", "tiny"), (401, None, "s1"), (None, "x y z", "s2")]
+    d = M._measured(docs(spark, rows))
+    n = M._sizes(d)
+    sizes = {r["source"]: r["size"] for r in n}
+    goal = M.targets(sizes)
+    placed = M.place(d, n).select("doc_id", "source", "size", "at").collect()
+    slots = sorted(M.slots_of(spark, sizes, goal, block).collect(), key=lambda s: (s.source or "~", s.slot))
+    stream = {s: [None] * size for s, size in sizes.items()}
+    for k, r in enumerate(placed):
+        for w in range(r.at, r.at + r["size"]):
+            assert stream[r.source][w] is None
+            stream[r.source][w] = k
+    taken, given, seen = Counter(), Counter(), {}
+    for s in slots:
+        blocks, need = -(-sizes[s.source] // block), min(round(goal[s.source]), 3 * sizes[s.source])
+        assert s.turn == s.slot // blocks and s.block not in seen.setdefault((s.source, s.turn), set())
+        seen[s.source, s.turn].add(s.block)
+        words = stream[s.source][s.block * block:(s.block + 1) * block]
+        words = words[:need - given[s.source]]
+        assert s.words == len(words) > 0
+        given[s.source] += len(words)
+        taken.update(words)
+    assert given == Counter({s: min(round(goal[s]), 3 * z) for s, z in sizes.items() if z})
+    want = Counter((r.doc_id, r.source, r["size"], taken[k]) for k, r in enumerate(placed))
+    assert Counter((r.doc_id, r.source, r["size"], r.taken) for r in M.mix_sources(docs(spark, rows), block=block).collect()) == want
