@@ -177,22 +177,37 @@ def chunks(n: int, size: int) -> list[tuple[int, int]]:
     return [(a, min(n, a + size)) for a in range(0, n, size)] or [(0, 0)]
 
 
+def product(a: list[tuple], b: list[tuple]) -> list[tuple]:
+    """The max-plus product of two neighbouring chunks' matrices; finite entries are all 0, so it tells which states meet."""
+    onward: dict = {}
+    for i0, i1, o0, o1 in b:
+        onward.setdefault((i0, i1), []).append((o0, o1))
+    return list(dict.fromkeys((i0, i1, *o) for i0, i1, m0, m1 in a for o in onward.get((m0, m1), ())))
+
+
 def scan(matrices: list[list[tuple]]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
     """Border states of each chunk on the only finite path, from the chunks' matrices in order.
 
-    Forward sets, as products of a start vector with the matrices, then backward from the end.
+    Products of neighbours are multiplied in pairs, as a tree; from its root the border between the two
+    halves of each node is the state that its start reaches and from which its end is reached.
     """
-    forward, have = [], {(0, RESET)}
-    for m in matrices:
-        forward.append(have)
-        have = {(x[2], x[3]) for x in m if (x[0], x[1]) in have}
-    end = next(iter({s for s in have if s[0] == 0}))
-    out = []
-    for m, have in zip(reversed(matrices), reversed(forward)):
-        start = next((x[0], x[1]) for x in m if (x[2], x[3]) == end and (x[0], x[1]) in have)
-        out.append((start, end))
-        end = start
-    return out[::-1]
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        x = levels[-1]
+        levels.append([product(x[k], x[k + 1]) if k + 1 < len(x) else x[k] for k in range(0, len(x), 2)])
+    first = (0, RESET)
+    borders = [(first, next((o0, o1) for i0, i1, o0, o1 in levels[-1][0] if (i0, i1) == first and o0 == 0))]
+    for x in reversed(levels[:-1]):
+        halves = []
+        for k, (start, end) in enumerate(borders):
+            if 2 * k + 1 == len(x):
+                halves.append((start, end))
+                continue
+            reached = {(o0, o1) for i0, i1, o0, o1 in x[2 * k] if (i0, i1) == start}
+            middle = next((i0, i1) for i0, i1, o0, o1 in x[2 * k + 1] if (o0, o1) == end and (i0, i1) in reached)
+            halves += [(start, middle), (middle, end)]
+        borders = halves
+    return borders
 
 
 def marked(text: str) -> str:

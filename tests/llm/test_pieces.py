@@ -32,3 +32,12 @@ def test_distributed(spark, lib):
         assert all(texts[i] == (t or "") for i, t, *_ in rows if "▁" not in (t or ""))
         e.unpersist()
     assert P.encode(d.limit(0)).count() == 0
+
+
+def test_products_are_associative():
+    rng = random.Random(9)
+    some = lambda: [tuple(rng.randrange(3) for _ in range(4)) for _ in range(rng.randrange(12))]
+    for _ in range(200):
+        a, b, c = some(), some(), some()
+        assert set(P.product(P.product(a, b), c)) == set(P.product(a, P.product(b, c)))
+        assert set(P.product(a, b)) == {(*x[:2], *y[2:]) for x in a for y in b if x[2:] == y[:2]}
