@@ -16,7 +16,9 @@ COSINE = 0.95
 #: Chance to miss a pair at just COSINE, over all tables.
 MISS = 1e-4
 #: Distinct vectors that a signature gathers on average, without structure.
-PER_BUCKET = 8
+PER_BUCKET = 512
+#: Sign bits that travel to a bucket with each vector, whatever the number of tables; a multiple of 64.
+FILTER_BITS = 384
 #: Vectors of a bucket that one task compares with each other.
 CHUNK = 1024
 SEED = 20_240_611
@@ -44,94 +46,126 @@ def most_different(bits: int) -> int:
 
 
 def _signed(bits: int, tables: int):
-    """For each vector the sign bits of all tables, packed, and each table's bits as a long."""
+    """For each vector FILTER_BITS sign bits, packed, and each table's bits as a long."""
     def run(batches):
         weight = 1 << np.arange(bits, dtype=np.int64)
+        count = max(bits * tables, FILTER_BITS)
         planes: dict = {}
         for b in batches:
             for g in (b.slice(i, 2048) for i in range(0, b.num_rows, 2048)):
                 vectors = g.column(1).to_pylist()
-                signs = np.zeros((len(vectors), -(-bits * tables // 64) * 64), bool)
+                signs = np.zeros((len(vectors), count), bool)
                 dims = np.array([len(v) for v in vectors])
                 for d in np.unique(dims):
-                    p = planes.setdefault(int(d), hyperplanes(int(d), bits * tables))
+                    p = planes.setdefault(int(d), hyperplanes(int(d), count))
                     at = np.flatnonzero(dims == d)
-                    signs[at, :bits * tables] = (np.array([vectors[k] for k in at], float) @ p) > 0
+                    signs[at] = (np.array([vectors[k] for k in at], float) @ p) > 0
                 sigs = signs[:, :bits * tables].reshape(len(vectors), tables, bits) @ weight
                 offsets = np.arange(0, sigs.size + 1, tables, dtype=np.int32)
-                packed = pa.array([x.tobytes() for x in np.packbits(signs, axis=1)], pa.binary())
+                packed = pa.array([x.tobytes() for x in np.packbits(signs[:, :FILTER_BITS], axis=1)], pa.binary())
                 yield pa.RecordBatch.from_arrays([g.column(0), pa.array(dims, pa.int32()), packed, pa.ListArray.from_arrays(offsets, sigs.ravel())], names=["node", "dim", "signs", "sigs"])
     return run
 
 
-def _parts(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Row numbers of the two chunks of a group that are compared, and whether they are one chunk."""
-    part, i, j = g["part"].to_numpy(), g["i"].iat[0], g["j"].iat[0]
+def _groups(x: pd.DataFrame, by: list[str]) -> list[np.ndarray]:
+    """Row numbers of each group."""
+    ids = x.groupby(by, sort=False).ngroup().to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(ids[order])) + 1)
+
+
+def _parts(x: pd.DataFrame, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Positions in rows of the two chunks of a group that are compared, and whether they are one chunk."""
+    part, i, j = x["part"].to_numpy()[rows], x["i"].iat[rows[0]], x["j"].iat[rows[0]]
     a = np.flatnonzero(part == i)
     return (a, a, True) if i == j else (a, np.flatnonzero(part == j), False)
 
 
-def _candidates(most: int):
-    """A spanning forest of the pairs in each bucket that differ in at most `most` sign bits."""
+def _joined(up: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """up, each row's least known row of its component, with the pairs r, c joined."""
+    while True:
+        a, b = up[r], up[c]
+        low, new = np.minimum(a, b), up.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == up).all():
+            return up
+        up = new
+
+
+def _edges(node: np.ndarray, up: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An edge, greater node first, from each row to the first one of its component."""
+    k = np.flatnonzero(up != np.arange(len(up)))
+    return np.maximum(node[k], node[up[k]]), np.minimum(node[k], node[up[k]])
+
+
+def _hamming(signs: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of a bucket that differ in at most `most` sign bits."""
+    up = np.arange(len(node))
+    for lo in range(0, len(a), 128):
+        k, q = a[lo:lo + 128], b[lo:] if same else b
+        apart = np.zeros((len(k), len(q)), np.uint16)
+        for w in range(signs.shape[1]):
+            apart += np.bitwise_count(signs[k, w][:, None] ^ signs[q, w][None])
+        r, c = np.nonzero(apart <= most)
+        r, c = k[r], q[c]
+        up = _joined(up, r[r != c], c[r != c])
+    return _edges(node, up)
+
+
+def _unpacked(signs: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(signs), np.uint64).reshape(len(signs), -1)
+
+
+def _of_bucket(most: int):
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        k = np.arange(len(x))
+        u, v = _hamming(_unpacked(x["signs"]), x["node"].to_numpy(), k, k, True, most)
+        return pd.DataFrame({"u": u, "v": v})
+    return run
+
+
+def _of_chunks(most: int):
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in x.groupby(["t", "bucket", "dim", "i", "j"], sort=False):
-            a, b, same = _parts(g)
-            signs, node = np.frombuffer(b"".join(g["signs"]), np.uint64).reshape(len(g), -1), g["node"].to_numpy()
-            for lo in range(0, len(a), 128):
-                k = a[lo:lo + 128]
-                r, c = np.nonzero(np.bitwise_count(signs[k][:, None] ^ signs[b][None]).sum(2, dtype=np.int64) <= most)
-                r, c = k[r], b[c]
-                if same:
-                    r, c = r[r < c], c[r < c]
-                out += [(max(node[s], node[t]), min(node[s], node[t])) for s, t in _forest(r, c)]
-        return pd.DataFrame(list(dict.fromkeys(out)), columns=["u", "v"], dtype="int64")
+        signs, node = _unpacked(x["signs"]), x["node"].to_numpy()
+        out = [_hamming(signs[g], node[g], *_parts(x, g), most) for g in _groups(x, ["t", "bucket", "dim", "i", "j"])]
+        return pd.DataFrame({"u": np.concatenate([e[0] for e in out]), "v": np.concatenate([e[1] for e in out])})
     return run
 
 
 def _compared(x: pd.DataFrame) -> pd.DataFrame:
     """Links within families, summed by node, and the edges of spanning forests of them.
 
-    Both ends of a link count the other end's copies. Edges are at most as many as rows in each
-    slab of 256 rows; their column v is set.
+    Both ends of a link count the other end's copies. Edges are fewer than a group's rows; their
+    column v is set.
     """
     nodes, links, edges = [], [], []
-    for _, g in x.groupby(["family", "dim", "i", "j"], sort=False):
-        a, b, same = _parts(g)
-        v = np.array(g["v"].tolist(), float)
+    ids, weight, vectors = x["node"].to_numpy(), x["copies"].to_numpy(), x["v"].to_numpy()
+    for g in _groups(x, ["family", "dim", "i", "j"]):
+        a, b, same = _parts(x, g)
+        v = np.array(vectors[g].tolist(), float)
         v /= np.sqrt((v * v).sum(1))[:, None]
-        node, copies = g["node"].to_numpy(), g["copies"].to_numpy()
+        node, copies = ids[g], weight[g]
+        up, count = np.arange(len(g)), np.zeros(len(g), np.int64)
         for lo in range(0, len(a), 256):
-            k = a[lo:lo + 256]
-            r, c = np.nonzero(v[k] @ v[b].T >= COSINE)
-            r, c = k[r], b[c]
+            k, q = a[lo:lo + 256], b[lo:] if same else b
+            r, c = np.nonzero(v[k] @ v[q].T >= COSINE)
+            r, c = k[r], q[c]
             if same:
                 r, c = r[r < c], c[r < c]
-            nodes += [node[r], node[c]]
-            links += [copies[c], copies[r]]
-            edges += [(max(node[s], node[t]), min(node[s], node[t])) for s, t in _forest(r, c)]
+            np.add.at(count, r, copies[c])
+            np.add.at(count, c, copies[r])
+            up = _joined(up, r, c)
+        at = np.flatnonzero(count)
+        nodes.append(node[at])
+        links.append(count[at])
+        edges.append(_edges(node, up))
+    u, v = np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
     n, inverse = np.unique(np.concatenate(nodes), return_inverse=True)
-    count = np.zeros(len(n), np.int64)
-    np.add.at(count, inverse, np.concatenate(links))
-    return pd.DataFrame({"node": np.concatenate([n, np.array([e[0] for e in edges], np.int64)]), "links": np.concatenate([count, np.zeros(len(edges), np.int64)]),
-                         "v": pd.array([pd.NA] * len(n) + [e[1] for e in edges], dtype="Int64")})
-
-
-def _forest(r: np.ndarray, c: np.ndarray):
-    up: dict = {}
-    for s, t in zip(r.tolist(), c.tolist()):
-        a, b = s, t
-        while a in up:
-            a = up[a]
-        while b in up:
-            b = up[b]
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            yield s, t
-        for x in (s, t):
-            top = min(a, b)
-            while x != top and x in up:
-                up[x], x = top, up[x]
+    total = np.zeros(len(n), np.int64)
+    np.add.at(total, inverse, np.concatenate(links))
+    return pd.DataFrame({"node": np.concatenate([n, u]), "links": np.concatenate([total, np.zeros(len(u), np.int64)]), "v": pd.array([*[pd.NA] * len(n), *v.tolist()], dtype="Int64")})
 
 
 def _chunked(rows: DataFrame) -> DataFrame:
@@ -141,12 +175,31 @@ def _chunked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
 
 
+def _families(signed: DataFrame, n: int, tables: int) -> DataFrame:
+    """node, component of the nodes that differ from others of a bucket in few of the sign bits.
+
+    Rows of a bucket meet once: a bucket of at most CHUNK rows is compared where it was counted.
+    Larger ones are dealt to tasks by pairs of chunks; the few largest stay where they are until then.
+    """
+    key = ["t", "bucket", "dim"]
+    b = signed.select("node", "dim", "signs", F.posexplode("sigs").alias("t", "bucket"))
+    sizes = C.cut(b.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"))
+    often = (F.col("n") > CHUNK) & (F.col("n") * 1000 > n * tables)
+    hot = F.broadcast(sizes.where(often))
+    rest = b.join(hot.select(key), key, "left_anti").join(sizes.where(~often), key)
+    large = _chunked(b.join(hot, key).unionByName(rest.where(F.col("n") > CHUNK)))
+    large = large.withColumn("task", F.pmod(F.xxhash64(*key, "i", "j"), F.lit(max(1, n * tables // (4 * CHUNK)))))
+    most, pair = most_different(FILTER_BITS), "u long, v long"
+    near = rest.where(F.col("n") <= CHUNK).groupBy(key).applyInPandas(_of_bucket(most), pair)
+    return C.components(near.union(large.groupBy("task").applyInPandas(_of_chunks(most), pair)))
+
+
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for each vector (vec_id long, embedding array).
 
     Equal vectors are one node, by their smallest id and with their number as weight, so copies are
-    never expanded. Nodes meet in a bucket for each table's signature, with their packed sign bits
-    only; pairs that differ in few of all those bits join families, by distributed components. So a
+    never expanded. Nodes meet in a bucket for each table's signature, with FILTER_BITS sign bits
+    only; pairs that differ in few of those bits join families, by distributed components. So a
     vector travels once, to its family, where cosines are taken in double precision. Buckets and
     families are compared in chunks of CHUNK rows, links are summed per node and edges are kept as
     spanning forests at once, so no list of pairs is made.
@@ -156,34 +209,44 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     component and kept true. Rows that repeat an id count as one vector, the least of them; it gets
     one row. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
+    spark, spilled = vectors.sparkSession, []
+
+    def spill(df, **observed):
+        df, at, seen = C.spill(df, **observed)
+        spilled.append(at)
+        return df, seen
+
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     none = v.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    v = v.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
+    v = v.where("vec_id is not null")
+    # vectors travel to be told apart by id only if an id repeats at all
+    if not v.groupBy("vec_id").count().where("count > 1").isEmpty():
+        v = spill(v.groupBy("vec_id").agg(F.min("v").alias("v")))[0]
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    v = v.withColumn("fine", fine)
     # a key for equal vectors: the array itself would do, but is wide; adding 0 makes -0 the same as 0
-    v = C.cut(v.withColumn("h", F.when(F.col("fine"), F.sha2(F.array_join(F.transform("v", lambda x: (x + 0.0).cast("string")), ","), 256))))
-    nodes = C.cut(v.where("fine").groupBy("h").agg(F.min("vec_id").alias("node"), F.first("v").alias("v"), F.count("*").alias("copies")))
-    n, total = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    h = F.unhex(F.sha2(F.array_join(F.transform("v", lambda x: (x + 0.0).cast("string")), ","), 256))
+    v = v.withColumn("fine", fine).withColumn("h", F.when(F.col("fine"), h))
+    keys = C.cut(v.select("vec_id", "fine", "h"))
+    nodes, seen = spill(v.where("fine").groupBy("h").agg(F.min("vec_id").alias("node"), F.first("v").alias("v"), F.count("*").alias("copies")), total=F.coalesce(F.sum("copies"), F.lit(0)))
+    n, total = seen["n"], seen["total"]
     bits, tables = plan_tables(n)
-    signed = C.cut(nodes.select("node", "v").mapInArrow(_signed(bits, tables), "node long, dim int, signs binary, sigs array<long>"))
-    b = signed.select("node", "dim", "signs", F.posexplode("sigs").alias("t", "bucket"))
-    sizes = b.groupBy("t", "bucket", "dim").agg(F.count("*").alias("n")).where("n > 1")
-    b = _chunked(b.join(sizes, ["t", "bucket", "dim"]))
-    b = b.withColumn("task", F.pmod(F.xxhash64("t", "bucket", "dim", "i", "j"), F.lit(max(1, n * tables // (4 * CHUNK)))))
-    families = C.components(b.groupBy("task").applyInPandas(_candidates(most_different(bits * tables)), "u long, v long"))
-    f = families.select("node", F.col("component").alias("family")).join(nodes.drop("h"), "node").withColumn("dim", F.size("v"))
-    sizes = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("n"))
-    f = _chunked(f.join(sizes, "family"))
-    f = f.withColumn("task", F.pmod(F.xxhash64("family", "i", "j"), F.lit(max(1, families.count() // CHUNK))))
+    signed = spill(nodes.select("node", "v").mapInArrow(_signed(bits, tables), "node long, dim int, signs binary, sigs array<long>"))[0]
+    families = _families(signed, n, tables).withColumnRenamed("component", "family")
+    sizes = C.cut(families.groupBy("family").agg(F.count("*").alias("n")))
+    members = families.count()
+    # chunks are dealt with ids alone; the vectors come last
+    f = _chunked(C.looked_up(families, sizes.withColumn("often", F.col("n")), "family", "often", members))
+    f = f.withColumn("task", F.pmod(F.xxhash64("family", "i", "j"), F.lit(max(1, members // CHUNK))))
+    f = f.select("node", "family", "part", "i", "j", "task").join(nodes.drop("h"), "node").withColumn("dim", F.size("v"))
     got = C.cut(f.groupBy("task").applyInPandas(_compared, "node long, links long, v long"))
     counts = got.where("v is null").groupBy("node").agg(F.sum("links").alias("links"))
     comps = C.components(got.where("v is not null").select(F.col("node").alias("u"), "v"))
     out = nodes.select("node", "copies", "h").join(counts, "node", "left").join(comps, "node", "left")
-    out = out.select("h", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    linked = C.looked_up(v.where("fine").select("vec_id", "h"), out, "h", "copies", total)
-    alone = v.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = C.cut(out.select("h", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
+    for at in spilled:
+        C.drop(spark, at)
+    linked = C.looked_up(keys.where("fine").select("vec_id", "h"), out, "h", "copies", total)
+    alone = keys.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     done = linked.select("vec_id", "n_links", "component_id").unionByName(alone)
     return done.withColumn("kept", F.col("vec_id") == F.col("component_id")).unionByName(none)
 
