@@ -102,15 +102,16 @@ def _edges(node: np.ndarray, up: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _hamming(signs: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool, most: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs of a bucket that differ in at most `most` sign bits."""
+    first = most_different(128)
     up = np.arange(len(node))
     for lo in range(0, len(a), 128):
         k, q = a[lo:lo + 128], b[lo:] if same else b
-        apart = np.zeros((len(k), len(q)), np.uint16)
-        for w in range(signs.shape[1]):
-            apart += np.bitwise_count(signs[k, w][:, None] ^ signs[q, w][None])
-        r, c = np.nonzero(apart <= most)
+        # two words of bits rule out nearly all pairs, the others are looked at whole
+        apart = np.bitwise_count(signs[k, 0][:, None] ^ signs[q, 0][None]) + np.bitwise_count(signs[k, 1][:, None] ^ signs[q, 1][None])
+        r, c = np.nonzero(apart <= first)
         r, c = k[r], q[c]
-        up = _joined(up, r[r != c], c[r != c])
+        close = (r != c) & (np.bitwise_count(signs[r] ^ signs[c]).sum(1, dtype=np.int64) <= most)
+        up = _joined(up, r[close], c[close])
     return _edges(node, up)
 
 
@@ -180,15 +181,16 @@ def _families(signed: DataFrame, n: int, tables: int) -> DataFrame:
 
     Rows of a bucket meet once: a bucket of at most CHUNK rows is compared where it was counted.
     Larger ones are dealt to tasks by pairs of chunks; the few largest stay where they are until then.
+    The merge join lets both read one exchange.
     """
     key = ["t", "bucket", "dim"]
     b = signed.select("node", "dim", "signs", F.posexplode("sigs").alias("t", "bucket"))
     sizes = C.cut(b.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"))
     often = (F.col("n") > CHUNK) & (F.col("n") * 1000 > n * tables)
     hot = F.broadcast(sizes.where(often))
-    rest = b.join(hot.select(key), key, "left_anti").join(sizes.where(~often), key)
+    rest = b.join(hot.select(key), key, "left_anti").join(sizes.where(~often).hint("merge"), key)
     large = _chunked(b.join(hot, key).unionByName(rest.where(F.col("n") > CHUNK)))
-    large = large.withColumn("task", F.pmod(F.xxhash64(*key, "i", "j"), F.lit(max(1, n * tables // (4 * CHUNK)))))
+    large = large.withColumn("task", F.pmod(F.xxhash64(*key, "i", "j"), F.lit(max(1, n * tables // CHUNK))))
     most, pair = most_different(FILTER_BITS), "u long, v long"
     near = rest.where(F.col("n") <= CHUNK).groupBy(key).applyInPandas(_of_bucket(most), pair)
     return C.components(near.union(large.groupBy("task").applyInPandas(_of_chunks(most), pair)))
@@ -223,8 +225,10 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     if not v.groupBy("vec_id").count().where("count > 1").isEmpty():
         v = spill(v.groupBy("vec_id").agg(F.min("v").alias("v")))[0]
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    # a key for equal vectors: the array itself would do, but is wide; adding 0 makes -0 the same as 0
-    h = F.unhex(F.sha2(F.array_join(F.transform("v", lambda x: (x + 0.0).cast("string")), ","), 256))
+    # a key for equal vectors: the array itself would do, but is wide; adding 0 makes -0 the same as 0.
+    # 128 bits: two of a billion vectors share one by chance with probability 1e-21
+    plain = F.transform("v", lambda x: x + 0.0)
+    h = F.struct(F.xxhash64(F.lit(1), plain).alias("a"), F.xxhash64(F.lit(2), plain).alias("b"))
     v = v.withColumn("fine", fine).withColumn("h", F.when(F.col("fine"), h))
     keys = C.cut(v.select("vec_id", "fine", "h"))
     nodes, seen = spill(v.where("fine").groupBy("h").agg(F.min("vec_id").alias("node"), F.first("v").alias("v"), F.count("*").alias("copies")), total=F.coalesce(F.sum("copies"), F.lit(0)))
