@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The frame, computed and written to the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(True)
+    out = df.checkpoint(True)
+    trim(df.sparkSession)
+    return out
 
 
 def spill(df: DataFrame, **observed) -> tuple[DataFrame, str, dict]:
@@ -76,6 +79,7 @@ def spill(df: DataFrame, **observed) -> tuple[DataFrame, str, dict]:
     at = f"{checkpoint_dir(spark)}/spill-{uuid.uuid4().hex}"
     seen = Observation()
     (df.observe(seen, F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in observed.items()))).write.parquet(at)
+    trim(spark)
     return spark.read.schema(df.schema).parquet(at), at, seen.get
 
 
@@ -91,6 +95,30 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> str | None:
+    """Let the driver's JVM give memory back that it holds but does not use; what it says, None if it cannot.
+
+    Compiled plans and blocks leave freed native memory behind, which the C library keeps, some 200 MB after
+    hundreds of stages; a heap grown past half its limit shrinks only when it is collected whole.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    heap = jvm.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        jvm.System.gc()
+    named = jvm.java.lang.Class.forName
+    try:
+        # the server's own class is not exported, so its method is taken from the interface
+        kinds, args = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = named(kind)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke = named("javax.management.MBeanServer").getMethod("invoke", kinds)
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:  # a JVM before 17.0.9, or another C library
+        return None
 
 
 def looked_up(left: DataFrame, right: DataFrame, on: str, often: str, total: int, how: str = "inner", hot: int = 1000) -> DataFrame:

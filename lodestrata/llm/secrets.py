@@ -184,6 +184,7 @@ _forests: dict = {}
 
 def forest(spark: SparkSession, words: list[tuple[str, int]]) -> list:
     """The forest over labelled_findings(): their few thousand rows are on the driver anyway."""
+    C.trim(spark)
     key = TREES, DEPTH, SEED, tuple(words)
     if key not in _forests:
         _forests.clear()
