@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with a QUERIES table: name -> (query, SQL or None).
-MODULES = ("chat", "urls", "mixing", "minhash", "embeddings", "quality", "toxicity", "secrets", "pieces", "html", "licenses", "whitening")
+MODULES = ("chat", "urls", "mixing", "minhash", "embeddings", "quality", "toxicity", "secrets", "pieces", "html", "licenses", "whitening", "repair")
 
 
 def _all() -> dict:
