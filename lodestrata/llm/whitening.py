@@ -12,8 +12,9 @@ from . import _common as C
 
 #: Components that are returned, and the share of the largest eigenvalue below which there is no direction to whiten.
 COMPONENTS, NEGLIGIBLE = 8, 1e-12
-#: Sums of one aggregation. 90 dimensions have fewer pairs; wider vectors take another pass for each PAIRS of them.
-PAIRS = 4096
+#: Dimensions of a tile. A row gives a record for each pair of tiles in the upper triangle, and TILE * TILE sums take them
+#: all: some 2,000 sums of their own are more than a generated class can hold, and are then interpreted.
+TILE = 8
 #: Largest amount of an entry that becomes a whole number without loss.
 LARGEST = 2.0**52
 
@@ -49,19 +50,24 @@ class Fit:
         return self.values / trace if trace > 0 else self.values * 0
 
 
-def _centred(i: int, middle: list[int]) -> Column:
-    return F.col(f"x{i}") - F.lit(middle[i])
+def _products(x: DataFrame, width: int, middle: list[int], kind: str) -> list:
+    """Rows (a, b, p0_0, p0_1, ...): sums of products of centred entries for each pair a <= b of tiles; null beyond the width."""
+    tiles = range(-(-width // TILE))
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in tiles for b in tiles if a <= b))
+    d = x.select(F.array(*((F.col(f"x{i}") - F.lit(m)).cast(kind) for i, m in enumerate(middle))).alias("v"), F.explode(pairs).alias("t"))
+    d = d.select("t.a", "t.b", *(F.get("v", F.col(f"t.{t}") * TILE + k).alias(f"{t}{k}") for t in "ab" for k in range(TILE)))
+    return d.groupBy("a", "b").agg(*(F.sum(F.col(f"a{i}") * F.col(f"b{j}")).alias(f"p{i}_{j}") for i in range(TILE) for j in range(TILE))).collect()
 
 
 def covariance(x: DataFrame, width: int) -> tuple[int, list[int], np.ndarray]:
     """n, sums and covariance (divisor n) of x0, x1, ...
 
     A pass over the rows gives n, each dimension's sum, least and largest entry; the next one adds up the
-    products of all pairs of dimensions in the upper triangle, all in one aggregation. Entries are centred
+    products of all pairs of dimensions in the upper triangle, in one aggregation by tile. Entries are centred
     by the whole number next to their mean, which keeps sums of whole numbers exact; what is missing to the
     mean, at most a half, is taken off exactly. So the covariance depends on no order of rows. Where a
     sum could leave a long (values some 1e9 times as large as their number allows), doubles are added up.
-    Tasks combine their rows first; the driver gets one row.
+    Tasks combine their rows first; the driver gets the sums, of which there are as many as pairs of dimensions.
     """
     if not width:
         return x.count(), [], np.zeros((0, 0))
@@ -72,16 +78,15 @@ def covariance(x: DataFrame, width: int) -> tuple[int, list[int], np.ndarray]:
     sums = [int(one[f"s{i}"]) for i in range(width)]
     middle = [(2 * s + n) // (2 * n) for s in sums]
     reach = max(max(one[f"z{i}"] - m, m - one[f"a{i}"]) for i, m in enumerate(middle))
-    part = _centred if n * reach * reach < 2**63 else lambda i, m: _centred(i, m).cast("double")
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    kind = "long" if n * reach * reach < 2**63 else "double"
     cov = np.zeros((width, width))
-    for lo in range(0, len(pairs), PAIRS):
-        row = x.agg(*(F.sum(part(i, middle) * part(j, middle)).alias(f"p{i}_{j}") for i, j in pairs[lo:lo + PAIRS])).first()
-        for i, j in pairs[lo:lo + PAIRS]:
-            rest = (sums[i] - n * middle[i]) * (sums[j] - n * middle[j])
-            p = row[f"p{i}_{j}"]
-            # whole numbers of any size, one rounding at the end
-            cov[i, j] = cov[j, i] = (p * n - rest) / (n * n) if isinstance(p, int) else p / n - rest / n / n
+    for row in _products(x, width, middle, kind):
+        for i in range(row["a"] * TILE, min(width, (row["a"] + 1) * TILE)):
+            for j in range(max(i, row["b"] * TILE), min(width, (row["b"] + 1) * TILE)):
+                p = row[f"p{i % TILE}_{j % TILE}"]
+                rest = (sums[i] - n * middle[i]) * (sums[j] - n * middle[j])
+                # whole numbers of any size, one rounding at the end
+                cov[i, j] = cov[j, i] = (p * n - rest) / (n * n) if kind == "long" else p / n - rest / n / n
     return n, sums, cov
 
 

@@ -68,7 +68,7 @@ def test_without_variance(spark, tmp_path):
 
 @pytest.mark.parametrize("size", [1, 1e6, 1e11])
 def test_sums_stay_exact_or_become_doubles(spark, tmp_path, size, monkeypatch):
-    monkeypatch.setattr(W, "PAIRS", 4)
+    monkeypatch.setattr(W, "TILE", 3)
     rng = random.Random(9)
     rows = [(i, [float(np.float32(rng.gauss(3, 1) * size)) for _ in range(5)]) for i in range(60)]
     got = query(spark, tmp_path, [(i, v, "", 1) for i, v in rows], "vec_id long, embedding array<double>, x0 string, n int").collect()
