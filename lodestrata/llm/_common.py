@@ -29,6 +29,11 @@ def words(text):
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+", -1), "")
 
 
+def let(value, body):
+    """body(x) for x = value, which is computed once a row, however often a lambda inside body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def count_words(text):
     """Number of words; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -74,9 +74,11 @@ def features(v: Column, before: Column, after: Column, words: list[tuple[str, in
     word = lambda ws: r"(?<![a-z0-9])(" + "|".join(ws) + r")(?![a-z])"
     flag = lambda x: x.cast("double")
     longest = F.array_max(F.transform(F.split(low, "[^a-z]+"), lambda w: F.length(w)))
-    code = lambda i: F.when(F.substring(low, i, F.lit(1)).between("a", "z"), F.ascii(F.substring(low, i, F.lit(1))) - 97).otherwise(LETTERS - 1)
+    code = lambda c: F.coalesce(F.when(c.between("a", "z"), F.ascii(c) - 97), F.lit(LETTERS - 1))
     table = F.array(*map(F.lit, transitions(words)))
-    likely = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda s, i: s + F.get(table, (code(i) * LETTERS + code(i + 1)).cast("int")))
+    # letters are split off once: a substring at each place would walk there from the beginning
+    pairs = C.let(F.transform(F.split(low, ""), code), lambda cs: F.zip_with(F.slice(cs, 1, n - 1), F.slice(cs, 2, n - 1), lambda a, b: F.coalesce(a, F.lit(LETTERS - 1)) * LETTERS + F.coalesce(b, F.lit(LETTERS - 1))))
+    likely = F.aggregate(pairs, F.lit(0.0), lambda s, k: s + F.get(table, k))
     parts = F.transform(F.regexp_extract_all(v, F.lit("[A-Z]?[a-z]+|[A-Z]+"), F.lit(0)), F.lower)
     known = [w for w, _ in words] or [""]
     covered = F.aggregate(F.filter(parts, lambda w: w.isin(known)), F.lit(0), lambda s, w: s + F.length(w))

@@ -1,4 +1,5 @@
 import random
+import time
 import re
 
 import pytest
@@ -133,3 +134,12 @@ def test_context_and_order_against_plain_search(spark):
 def test_dictionary(spark):
     d = docs(spark, [(1, "Some some words, SOME other"), (2, "other or words"), (3, None), (4, "zebra apple")])
     assert S.dictionary(d, 4) == [("some", 3), ("other", 2), ("words", 2), ("apple", 1)] and S.dictionary(d.limit(0)) == []
+
+
+def test_time_grows_with_a_candidate(spark):
+    rng = random.Random(5)
+    run = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    d = docs(spark, [(1, f"data:image/png;base64,{run}")])
+    began = time.time()
+    assert [r.chars for r in S.judged(d, WORDS, [0.5]).selectExpr("inline(transform(found, f -> named_struct('chars', length(f.value))))").collect()] == [len(run)]
+    assert time.time() - began < 20
