@@ -42,7 +42,8 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 def grams(text: Column, n: int = ORDER) -> Column:
     """All windows of n characters over n - 1 start marks, the text and an end mark."""
     t = F.concat(F.lit("\x02" * (n - 1)), text, F.lit("\x03"))
-    return F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
+    # characters are split off once: a substring at each place would walk there from the beginning
+    return C.let(F.split(t, ""), lambda cs: F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.array_join(F.slice(cs, i, n), "")))
 
 
 def interpolated(full: DataFrame, order: int = ORDER) -> DataFrame:

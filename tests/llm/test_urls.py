@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -116,3 +117,14 @@ def test_score_of_new_windows_against_brute_force(spark):
         ws = [t[i:i + 3] for i in range(len(t) - 2)]
         assert abs(got[x] - sum(want[w] for w in ws) / len(ws)) < 1e-9, x
     assert got["c.net/es"] > 0 > got["xa.com/fr/2"]
+
+
+def test_windows_of_a_long_url(spark):
+    url = "http://a.com/" + "".join(chr(97 + i * 7 % 26) for i in range(500_000)) + "é😀"
+    d = spark.createDataFrame([(url,), ("",), ("x",)], "url string")
+    began = time.time()
+    got = d.select("url", U.grams(d.url, 4).alias("g")).collect()
+    assert time.time() - began < 20
+    for r in got:
+        t = "\x02" * 3 + r.url + "\x03"
+        assert r.g == [t[i:i + 4] for i in range(len(t) - 3)]
