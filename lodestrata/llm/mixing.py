@@ -213,7 +213,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, seed:
     out = out.withColumn("__runs", F.expr("filter(runs, r -> r.turn = __turn)"))
     taken = F.aggregate("__runs", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"])
     text = F.col("__row.text")
-    part = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(C.words(text), (r["first"] + 1).cast("int"), (r["last"] - r["first"]).cast("int")))), " ")
+    part = F.array_join(C.let(C.words(text), lambda ws: F.flatten(F.transform("__runs", lambda r: F.slice(ws, (r["first"] + 1).cast("int"), (r["last"] - r["first"]).cast("int"))))), " ")
     out = out.withColumn("__text", F.when(taken == F.col("size"), text).otherwise(part))
     new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
     return out.select(*(F.col(c) if c in ("doc_id", "source") else new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns))

@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -94,3 +95,15 @@ def test_mix_against_brute_force(spark):
     assert given == Counter({s: min(round(goal[s]), 3 * z) for s, z in sizes.items() if z})
     want = Counter((r.doc_id, r.source, r["size"], taken[k]) for k, r in enumerate(placed))
     assert Counter((r.doc_id, r.source, r["size"], r.taken) for r in M.mix_sources(docs(spark, rows), block=block).collect()) == want
+
+
+def test_time_grows_with_a_text(spark):
+    text = " ".join(f"w{i}" for i in range(1_000_000))
+    began = time.time()
+    got = M.mixed_documents(docs(spark, [(1, text, "a"), (2, "x " * 40_000, "b"), (3, "y " * 100_000, "c")])).select("doc_id", "text").collect()
+    assert time.time() - began < 60
+    whole, have = text.split(), Counter()
+    for r in got:
+        if r.doc_id == 1:
+            have.update(r.text.split())
+    assert have and max(have.values()) <= 3 and set(have) <= set(whole)
