@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from html import unescape
 
@@ -26,14 +27,12 @@ LISTS = frozenset("ul ol menu dir".split())
 #: A tag, comment or declaration; what else begins with < is text.
 _MARK = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?:!|\?)[^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-#: Open elements at most; characters to which a column, or a cell over several ones, is padded at most; columns that a
-#: cell spans at most, and up to which rows that are spanned count.
+#: Open elements that lay text out, and among which tags look for the one that they end; characters to which a column, or a
+#: cell over several ones, is padded at most; columns that a cell spans at most, and up to which rows that are spanned count.
 DEPTH, COLUMN, SPANNED, COLUMNS = 512, 80, 240, 256
-_DISPLAY = re.compile(r"display\s*:\s*([a-z-]+)", re.I)
-_STYLE = re.compile(r"<style(?=[\s>])[^>]*>(.*?)(?:</style|\Z)", re.S | re.I)
+_DISPLAY = re.compile(r"display\s*:\s*([a-z-]+)(\s*!\s*important)?", re.I)
+_STYLE = re.compile(r"<style(?=[\s>])[^>]*(?:>|\Z)(.*?)(?:</style|\Z)", re.S | re.I)
 _NOTE = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
-_AT = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?", re.I)
 _VISIBLE = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f]+")
@@ -77,13 +76,17 @@ class Flow:
 
     def _close(self, even_empty: bool = False) -> None:
         if self.parts or even_empty:
-            lead = "".join(self.indent)
+            lead = self.margin()
             if self.bullet:
                 lead, self.bullet = lead[:len(lead) - len(self.bullet)] + self.bullet, ""
             self.lines.append((lead + "".join(self.parts)).rstrip(" ") if self.parts else "")
             self.parts = []
         self.space = False
 
+    def margin(self) -> str:
+        """The innermost indents, of COLUMN characters at most."""
+        return "".join(self.indent[-COLUMN:])[-COLUMN:]
+
     def end_line(self, ends: int = 1) -> None:
         self._close()
         self.gap = max(self.gap, ends)
@@ -96,7 +99,7 @@ class Flow:
         self.end_line(2)
         if lines and self.lines and self.lines[-1]:
             self.lines.append("")
-        lead = "".join(self.indent)
+        lead = self.margin()
         self.lines += [(lead + x).rstrip() for x in lines]
         self.gap = 2
 
@@ -114,7 +117,8 @@ def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
 
     A cell that spans rows keeps later cells out of its columns. Columns of more than COLUMN characters,
     and cells over several columns of more than SPANNED, push what stands right of them in their row;
-    others are not padded that far, so a table's text grows with its page.
+    others are not padded that far, and a column in which no cell begins takes no room. So a table's text
+    grows with its page, and memory with its cells.
     """
     placed, taken = [], {}  # taken: column to the last row that a cell from above fills
     for r, row in enumerate(rows):
@@ -133,21 +137,22 @@ def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
         for at, lines, span in cells:
             if span == 1:
                 width[at] = min(COLUMN, max([width.get(at, 0), *map(len, lines)]))
-    # where a column begins; columns without a cell of their own take no room but the gap
-    starts, x = {}, 0
-    for c in range(max([at + span for cells in placed for at, _, span in cells], default=0) + 1):
-        starts[c] = x
-        x += width.get(c, 0) + 2
+    # where columns begin in which a cell does, and the end of the last one
+    begins = sorted({at for cells in placed for at, _, _ in cells})
+    places = [0]
+    for c in begins:
+        places.append(places[-1] + width.get(c, 0) + 2)
+    start = lambda c: places[bisect_left(begins, c)]
     out = []
     for cells in placed:
         for k in range(max([1, *(len(lines) for _, lines, _ in cells)])):
             line, last = "", 0
             for at, lines, span in cells:
                 # as far as the last cell's columns reach, but not beyond the limit for what lies between
-                gap = min(starts[at] - starts[last], SPANNED + 2) if last < at else 0
+                gap = min(start(at) - start(last), SPANNED + 2) if last < at else 0
                 line += " " * gap
                 text = lines[k] if k < len(lines) else ""
-                line += text.ljust(min(starts[at + span] - starts[at] - 2, SPANNED)) + "  "
+                line += text.ljust(min(start(at + span) - start(at) - 2, SPANNED)) + "  "
                 last = at + span
             out.append(line.rstrip())
     while out and not out[-1]:
@@ -155,24 +160,53 @@ def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     return out
 
 
-def hiding(html: str) -> dict[str, bool]:
-    """Simple selectors (tag, .class, #id, tag.class, tag#id) of a page's style elements to whether they hide.
-
-    The last rule for a selector counts; at-rules and other selectors are left aside.
+def css_rules(css: str):
+    """(selectors, declarations) of a style sheet's rules outside at-rules, in one pass; nested and unfinished ones are left aside."""
+    depth = deepest = start = 0
+    head = body = ""
+    for m in re.finditer("[{};]", css):
+        if m[0] == "{":
+            if not depth:
+                head, start, deepest = css[start:m.start()].strip(), m.end(), 0
+            depth += 1
+            deepest = max(deepest, depth)
+        elif m[0] == "}":
+            if depth == 1 and deepest == 1 and not head.startswith("@"):
+                body = css[start:m.start()]
+                yield head, body
+            depth = max(0, depth - 1)
+            if not depth:
+                start = m.end()
+        elif not depth and css[start:start + 64].lstrip().startswith("@"):
+            start = m.end()
+
+
+def hiding(html: str) -> dict[str, tuple[bool, bool]]:
+    """Simple selectors (tag, .class, #id, tag.class, tag#id) of a page's style elements to whether they hide, and whether that is important.
+
+    The last rule for a selector counts, the last important one before others; at-rules and other
+    selectors are left aside.
     """
-    out: dict[str, bool] = {}
+    out: dict[str, tuple[bool, bool]] = {}
     if "<style" in html or "<STYLE" in html or re.search("<style", html, re.I):
         for m in _STYLE.finditer(html):
-            for r in _RULE.finditer(_AT.sub("", _NOTE.sub("", m[1]))):
-                shown = _DISPLAY.findall(r[2])
-                if shown:
-                    for x in r[1].split(","):
-                        if (x := x.strip()) and _SIMPLE.fullmatch(x):
-                            tag, rest = _SIMPLE.fullmatch(x).groups()
-                            out[(tag or "").lower() + (rest or "")] = shown[-1].lower() == "none"
+            for selectors, body in css_rules(_NOTE.sub("", m[1])):
+                if shown := _shown(body):
+                    for x in selectors.split(","):
+                        if (x := x.strip()) and (simple := _SIMPLE.fullmatch(x)):
+                            tag, rest = simple.groups()
+                            name = (tag or "").lower() + (rest or "")
+                            if shown[1] or not out.get(name, shown)[1]:
+                                out[name] = shown
     return out
 
 
+def _shown(declarations: str) -> tuple[bool, bool] | None:
+    """Whether declarations hide and whether that is important; None if they do not say."""
+    found = [(v.lower() == "none", bool(i)) for v, i in _DISPLAY.findall(declarations)]
+    return next((x for x in reversed(found) if x[1]), found[-1] if found else None)
+
+
 class Element:
     __slots__ = ("tag", "shown", "visible", "count", "rows", "flow", "span", "down", "opened", "summary", "bullet")
 
@@ -184,7 +218,7 @@ class Element:
 class Page:
     """Builds the tree as a stack of open elements and renders each part as it closes."""
 
-    def __init__(self, hides: dict[str, bool] | None = None):
+    def __init__(self, hides: dict[str, tuple[bool, bool]] | None = None):
         self.stack = [Element("#root", True, True)]
         self.flows = [Flow()]
         self.hides = hides or {}
@@ -199,10 +233,10 @@ class Page:
         return e.shown and e.visible
 
     def open_at(self, tags, stop=frozenset(["table", "td", "th", "caption", "#root"])) -> int:
-        """Place of the nearest open element of some tags, not beyond a stop; -1 without."""
+        """Place of the nearest open element of some tags, not beyond a stop or DEPTH elements; -1 without."""
         if not any(self.open[t] for t in tags):
             return -1
-        for k in range(len(self.stack) - 1, 0, -1):
+        for k in range(len(self.stack) - 1, max(0, len(self.stack) - 1 - DEPTH), -1):
             if self.stack[k].tag in tags:
                 return k
             if self.stack[k].tag in stop:
@@ -234,8 +268,6 @@ class Page:
                 self.push("tr", {})
 
     def push(self, tag: str, attrs: dict) -> None:
-        if len(self.stack) > DEPTH:
-            self.pop()
         up = self.stack[-1]
         style = attrs.get("style") or ""
         shown = up.shown and tag not in UNSEEN and ("hidden" not in attrs or attrs["hidden"] == "until-found") and not self.hidden(tag, attrs, style)
@@ -253,12 +285,14 @@ class Page:
             if tag in BLOCK:
                 nested = tag in LISTS and self.open_at(LISTS) > 0
                 self.flow.end_line(2 if tag in SPACED and not nested else 1)
-            if tag in ("dd", "blockquote"):
+            if len(self.stack) > DEPTH:  # hides and shows as others do, but lays nothing out
+                pass
+            elif tag in ("dd", "blockquote"):
                 e.bullet = "  "
                 self.flow.indent.append("  ")
-            if tag == "ol":
+            elif tag == "ol":
                 e.count = int(attrs["start"]) - 1 if re.fullmatch(r"-?\d{1,9}", attrs.get("start") or "") else 0
-            if tag == "li":
+            elif tag == "li":
                 owner = next((x for x in reversed(self.stack) if x.tag in LISTS), None)
                 if owner is not None and owner.tag == "ol":
                     owner.count = int(attrs["value"]) if re.fullmatch(r"-?\d{1,9}", attrs.get("value") or "") else owner.count + 1
@@ -267,7 +301,7 @@ class Page:
                     e.bullet = "* "
                 self.flow.indent.append(" " * len(e.bullet))
                 self.flow.bullet = e.bullet
-            if tag == "table":
+            elif tag == "table":
                 e.rows = []
             elif tag == "tr" and (k := self.open_at(["table"], ())) > 0 and self.stack[k].rows is not None:
                 self.stack[k].rows.append([])
@@ -281,16 +315,17 @@ class Page:
         self.open[tag] += 1
 
     def hidden(self, tag: str, attrs: dict, style: str) -> bool:
-        """Whether display is none: by the style attribute, else by the most specific rule of a style element."""
-        own = _DISPLAY.findall(style) if style else ()
-        if own:
-            return own[-1].lower() == "none"
-        gone = False
+        """Whether display is none: by an important rule, the style attribute, or the most specific rule of a style element."""
+        own = _shown(style) if style else None
+        if own and own[1]:
+            return own[0]
+        gone = (False, False)
         if self.hides:
             classes = (attrs.get("class") or "").split()
             for x in (tag, *(f"{t}.{c}" for t in ("", tag) for c in classes), *(f"{t}#{attrs['id']}" for t in ("", tag) if attrs.get("id"))):
-                gone = self.hides.get(x, gone)
-        return gone
+                if x in self.hides and (self.hides[x][1] or not gone[1]):
+                    gone = self.hides[x]
+        return own[0] if own and not gone[1] else gone[0]
 
     def pop(self) -> None:
         e = self.stack.pop()
@@ -377,7 +412,8 @@ class Page:
 def render(html: str | None) -> str:
     """Visible text of a page: blocks on lines of their own, blank lines around paragraphs, list marks
     with indents, tables with aligned columns. Null or empty gives an empty string. Time and text grow
-    with the page: of elements nested deeper than DEPTH a new one takes the innermost one's place."""
+    with the page: elements nested deeper than DEPTH hide and show text as others do, but lay nothing out,
+    and a tag ends none that is more than DEPTH elements away."""
     h, at = html or "", 0
     page = Page(hiding(h))
     while (m := _MARK.search(h, at)) is not None:

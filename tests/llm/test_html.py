@@ -1,5 +1,6 @@
 import re
 import time
+import tracemalloc
 from html import unescape
 
 import pytest
@@ -46,6 +47,27 @@ def test_time_and_text_grow_with_the_page():
     assert time.time() - began < 20
 
 
+@pytest.mark.parametrize("page", [
+    "<style>" + "a" * 500_000, "<style>" + "@" * 500_000, "<style>" + "@media{" * 80_000, "<style>" + "{;}" * 200_000, "<style>.x{background:url(data:" + "a;" * 250_000, "<style " * 80_000,
+    "<table><tr>" + "<td colspan=256>" * 60_000, "<table><tr>" + "<td colspan=256>a" * 40_000, "<table>" + "<tr><td colspan=256>a" * 40_000, "<div><table><tr><td>" * 20_000 + "x", "<blockquote>a" * 60_000, "<ul><li>" * 60_000 + "a", "<b><p>" * 60_000])
+def test_a_megabyte_of_markup_takes_linear_time_and_memory(page):
+    tracemalloc.start()
+    began = time.time()
+    text = render(page)
+    took, peak = time.time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert took < 30 and peak < 200e6 and len(text) < 20 * len(page) + 512 * 1024
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<div>" * 511 + "<div hidden><b>SECRET", ""), ("<div>" * 600 + "<div hidden><b>SECRET</b>NO</div>yes", "yes"), ("<div hidden>" + "<div>" * 2000 + "SECRET", ""), ("<b>" * 700 + "<script>SECRET</script>yes", "yes"),
+    ("<style>.x{display:none !important}</style><p class=x style='display:block'>no</p>yes", "yes"), ("<style>.x{display:none!important}p.x{display:block}</style><p class=x>no</p>yes", "yes"),
+    ("<style>.x{display:none}</style><p class=x style='display:block'>yes</p>", "yes"), ("<style>.x{display:none!important}</style><p class=x style='display:block!important'>yes</p>", "yes"),
+    ("<style>@import 'a'; .x{display:none} @font-face{a:b} .y{display:none} @media x{.z{display:none} .z{}} .w{a{b:c}} i{display:none</style><p class=x>no</p><p class=y>no</p><i class=z>yes</i>", "yes")])
+def test_depth_and_important_rules(html, text):
+    assert render(html) == text
+
+
 def test_long_and_deep():
     assert render("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
     assert render("<p>a" * 30_000).count("a") == 30_000
