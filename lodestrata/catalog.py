@@ -114,6 +114,17 @@ def _rule_topics(s, d):
     return _read(s, d, "documents").select(F.concat(F.lit("CVE-2024-"), F.col("doc_id").cast("string")).alias("doc_id"), (F.col("doc_id") % N_TOPICS).cast("int").alias("dominant_topic"))
 
 
+def _rule_weights(s, d):
+    """topic_id, word, weight: shares of words in the documents that a rule gives each topic."""
+    t = topics.topic_corpus(corpus(s, d)).select((F.substring_index("doc_id", "-", -1).cast("long") % N_TOPICS).cast("int").alias("topic_id"), F.explode("tokens").alias("word"))
+    n = t.groupBy("topic_id", "word").agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(n.groupBy("topic_id").agg(F.sum("n").alias("all"))), "topic_id").select("topic_id", "word", (F.col("n") / F.col("all")).alias("weight"))
+
+
+def _windows(s, d):
+    return topics.window_counts(topics.top_terms(_rule_weights(s, d), 5), topics.topic_corpus(corpus(s, d)), 10)
+
+
 def _pairs(s, d):
     return _expandable(s, d).pairs
 
@@ -256,6 +267,9 @@ QUERIES = {
     "saved_bm25": lambda s, d: _saved(s, d).search(QUERY, expanded=False),
     "saved_bm25_expanded": lambda s, d: _saved(s, d).search(QUERY),
     "dominant_topic": lambda s, d: _read(s, d, "documents").select("doc_id", topics.dominant(_shares()).alias("dominant_topic"), F.round(F.array_max(_shares()), 6).alias("confidence")),
+    "topic_top_terms": lambda s, d: topics.word_cloud(topics.top_terms(_rule_weights(s, d))).select("topic_id", "word", F.round("weight", 9).alias("weight")),
+    "topic_top_labels": lambda s, d: topics.topic_labels(topics.top_terms(_rule_weights(s, d))),
+    "coherence_windows": _windows,
     "lsa_top10": lambda s, d: _lsa_engine(s, d).search(QUERY, scorer="lsa", expanded=False),
     "lda_topics": lambda s, d: topics.topic_terms(_topics(s, d)),
     "lda_doc_topics": lambda s, d: _topics(s, d).doc_topics,
@@ -311,6 +325,8 @@ _EXP = ("x as materialized (select t as term, 1.0::double as weight, 'query' as
         f"e as materialized (select term, max(weight) as weight, arg_max(origin, weight) as origin from (select * from x union all select tid, {L.TECHNIQUE_WEIGHT}, 'technique' from h union all select distinct cve_id, {L.CVE_WEIGHT}, 'advisory' from pair semi join h using (tid) where overlap >= 3) group by 1)")
 _TOPIC = f"select doc_id, source, {analyzer.topic_array(DUCK, 'coalesce(text, chr(32))')} as tokens from ({_CORPUS})"
 _TCORP = f"select doc_id, tokens from ({_TOPIC}) where source <> 'attack' and len(tokens) >= 5"
+_RULE_WEIGHTS = (f"tc as materialized ({_TCORP}), tw as (select (split_part(doc_id, '-', 3)::bigint % {N_TOPICS})::int as topic_id, unnest(tokens) as word from tc), wt as (select topic_id, word, count(*) as n from tw group by all), "
+                 "wl as (select *, row_number() over (partition by topic_id order by n desc, word) as k, n / sum(n) over (partition by topic_id) as weight from wt)")
 _TACTIC = "select 'T' || (1000 + item_id) as tid, [" + ", ".join(f"'{t}'" for t in TACTICS) + "][item_id % 7 + 1] as tactic from benchmark"
 
 
@@ -382,6 +398,15 @@ def sql() -> dict[str, str]:
         "saved_bm25": _with(_top(_scores(_Q3))),
         "saved_bm25_expanded": _with(_top(_scores_of("select term, weight from e")), _PAIRS, _KWC, _EXP),
         "dominant_topic": f"select doc_id, (list_position(p, list_max(p)) - 1)::int as dominant_topic, round(list_max(p), 6) as confidence from (select doc_id, list_transform(range({N_TOPICS}), lambda i: ((doc_id * 7 + i * 13) % 29)::double / 29) as p from documents)",
+        "topic_top_terms": f"with {_RULE_WEIGHTS} select topic_id, word, round(weight, 9) as weight from wl where k <= 15",
+        "topic_top_labels": f"with {_RULE_WEIGHTS} select topic_id, 'T' || lpad(topic_id::varchar, 2, '0') || ': ' || string_agg(word, ', ' order by k) as label from wl where k <= 3 group by 1",
+        # windows are listed one by one here
+        "coherence_windows": f"""with {_RULE_WEIGHTS}, top as (select topic_id, word from wl where k <= 5), used as (select distinct word from top),
+            pos as (select doc_id, greatest(len(tokens) - 10, 0) as last, unnest(tokens) as word, unnest(range(len(tokens))) as p from tc),
+            held as materialized (select distinct doc_id, word, unnest(range(greatest(0, p - 9), least(p, last) + 1)) as w from pos semi join used using (word)),
+            near as (select distinct x.word as a, y.word as b from top x join top y using (topic_id) where x.word < y.word)
+            select '' as a, '' as b, sum(greatest(len(tokens) - 10, 0) + 1)::bigint as n from tc union all select word, word, count(*) from held group by 1
+            union all select x.word, y.word, count(*) from held x join near on near.a = x.word join held y on y.word = near.b and y.doc_id = x.doc_id and y.w = x.w group by 1, 2""",
         "vector_top10": "select v.vec_id, round(list_inner_product(v.embedding::double[], q.embedding::double[]), 6) as score from embeddings v, embeddings q where q.vec_id = 0 order by score desc, v.vec_id limit 10",
     }
 

@@ -5,17 +5,15 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import analyzer
+from . import lda
 
 MIN_TOKENS, NO_BELOW, NO_ABOVE, KEEP = 5, 10, 0.4, 100_000
 
@@ -38,21 +36,28 @@ def vocabulary(tokens: DataFrame, no_below: int = NO_BELOW, no_above: float = NO
 
 @dataclass
 class Topics:
-    model: LDAModel
+    model: lda.Model
     words: list[str]
     doc_topics: DataFrame  # doc_id, dominant_topic, confidence
 
 
-def train(tokens: DataFrame, n_topics: int = 20, passes: int = 5, seed: int = 42, chunk: int = 2000, no_below: int = NO_BELOW, no_above: float = NO_ABOVE) -> Topics:
-    """Online variational topics; one pass is as many steps as there are chunks of documents."""
-    n = max(1, tokens.count())
-    cv = CountVectorizer(inputCol="tokens", outputCol="features", minDF=no_below, maxDF=no_above if no_above < 1 else 2.0**62, vocabSize=KEEP).fit(tokens)
-    bags = cv.transform(tokens).select("doc_id", "features").persist()
-    lda = LDA(k=n_topics, optimizer="online", seed=seed, maxIter=max(1, passes * math.ceil(n / chunk)), subsamplingRate=min(1.0, chunk / n), docConcentration=[1.0 / n_topics], optimizeDocConcentration=False)
-    model = lda.fit(bags)
-    p = vector_to_array("topicDistribution")
-    d = model.transform(bags).select("doc_id", p.alias("p"))
-    return Topics(model, list(cv.vocabulary), d.select("doc_id", dominant(F.col("p")).alias("dominant_topic"), F.array_max("p").alias("confidence")))
+def train(tokens: DataFrame, n_topics: int = 20, passes: int = 5, seed: int = 42, chunk: int = 2000, no_below: int = NO_BELOW, no_above: float = NO_ABOVE, learn: bool = True) -> Topics:
+    """Topics of tokens (doc_id, tokens) by lda.fit(), with a learned prior for each word unless learn is off.
+
+    One pass is a step for each chunk of documents; a corpus of more than lda.STEPS chunks takes that many
+    larger steps, so the number of jobs does not grow with it. The vocabulary (at most KEEP words) is the
+    driver's.
+    """
+    spark = tokens.sparkSession
+    words = [r["term"] for r in vocabulary(tokens, no_below, no_above).orderBy("term").collect()]
+    batches = max(1, min(lda.STEPS, math.ceil(tokens.count() / chunk)))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bags = lda.bags(tokens.select("doc_id", "tokens").repartition(parts), words, batches, seed).persist()
+    model = lda.fit(bags, len(words), n_topics, passes, batches, seed, learn)
+    d = lda.document_topics(bags, model).select("doc_id", dominant(F.col("p")).alias("dominant_topic"), F.array_max("p").alias("confidence")).persist()
+    d.count()
+    bags.unpersist()
+    return Topics(model, words, d)
 
 
 def dominant(p):
@@ -61,15 +66,21 @@ def dominant(p):
 
 
 def topic_terms(topics: Topics, n: int = 15) -> DataFrame:
-    """topic_id, terms: array of (word, weight)."""
-    spark = SparkSession.active()
-    words = F.array(*map(F.lit, topics.words)) if len(topics.words) <= 1000 else None
-    d = topics.model.describeTopics(n)
-    if words is not None:
-        name = lambda i: F.get(words, i)
-        return d.select(F.col("topic").alias("topic_id"), F.zip_with("termIndices", "termWeights", lambda i, w: F.struct(name(i).alias("word"), w.alias("weight"))).alias("terms"))
-    rows = [(r["topic"], [(topics.words[i], float(w)) for i, w in zip(r["termIndices"], r["termWeights"])]) for r in d.collect()]
-    return spark.createDataFrame(rows, "topic_id int, terms array<struct<word:string,weight:double>>")
+    """topic_id, terms: array of (word, weight), the n words of the largest shares; ties by word."""
+    rows = []
+    for k, p in enumerate(topics.model.shares):
+        # words are sorted, so a stable order breaks ties
+        first = np.argsort(-p, kind="stable")[:n].tolist()
+        rows.append((k, [(topics.words[i], float(p[i])) for i in first]))
+    return SparkSession.active().createDataFrame(rows, "topic_id int, terms array<struct<word:string,weight:double>>")
+
+
+def top_terms(weights: DataFrame, n: int = 15) -> DataFrame:
+    """The same from a table topic_id, word, weight: what save() writes."""
+    rank = F.row_number().over(W.partitionBy("topic_id").orderBy(F.desc("weight"), "word"))
+    few = weights.select("topic_id", "word", "weight", rank.alias("rank")).where(F.col("rank") <= n)
+    terms = F.sort_array(F.collect_list(F.struct("rank", "word", "weight")))
+    return few.groupBy("topic_id").agg(F.transform(terms, lambda t: F.struct(t["word"].alias("word"), t["weight"].alias("weight"))).alias("terms"))
 
 
 def topic_labels(terms: DataFrame, n: int = 3) -> DataFrame:
@@ -77,36 +88,84 @@ def topic_labels(terms: DataFrame, n: int = 3) -> DataFrame:
     return terms.select("topic_id", F.concat(F.format_string("T%02d: ", "topic_id"), F.array_join(F.slice(F.col("terms.word"), 1, n), ", ")).alias("label"))
 
 
-def coherence(terms: DataFrame, tokens: DataFrame, sample: int = 20_000, window: int = 110, seed: int = 42) -> DataFrame:
-    """c_v, n_topics, n_docs: Röder et al. 2015, on a sample by hash that is the same each time.
-
-    Windows are counted in tasks for the topics' words only; the driver gets the counts of word pairs
-    within a topic.
+def _covered(places: list[int], window: int, last: int) -> list[tuple[int, int]]:
+    """Starts of the windows that hold a word, as separate ranges, from its places in order; last is the last start."""
+    out: list[tuple[int, int]] = []
+    for p in places:
+        lo, hi = max(0, p - window + 1), min(p, last)
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = out[-1][0], hi
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _common(x: list[tuple[int, int]], y: list[tuple[int, int]]) -> int:
+    """Numbers that are in a range of both lists, by one sweep over them."""
+    n = i = j = 0
+    while i < len(x) and j < len(y):
+        n += max(0, min(x[i][1], y[j][1]) - max(x[i][0], y[j][0]) + 1)
+        if x[i][1] < y[j][1]:
+            i += 1
+        else:
+            j += 1
+    return n
+
+
+def window_counts(terms: DataFrame, tokens: DataFrame, window: int = 110) -> DataFrame:
+    """a, b, n: windows of so many neighbouring tokens that hold both words, for each two words a < b of a topic.
+
+    Rows with a = b count the windows of one word, the row of two empty words all windows; a document of at most
+    window tokens is one window. Windows are never listed: a word's places give the ranges of starts whose windows
+    hold it, and two words' ranges are intersected by a sweep. So a document takes time in proportion to its
+    tokens and the places of its topic words. Each task adds up its documents' counts, of which there are as
+    many as pairs of words within topics. A null list of tokens is a document without any.
     """
-    spark = tokens.sparkSession
-    topics = [[x["word"] for x in r["terms"]] for r in terms.orderBy("topic_id").collect()]
-    used = {w for t in topics for w in t}
-    near = {frozenset(p) for t in topics for p in combinations(t, 2)}
-    docs = tokens.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).select("tokens")
+    topics = [sorted({x["word"] for x in r["terms"]}) for r in terms.select("terms").collect()]
+    partners: dict[str, set[str]] = {}
+    for t in topics:
+        for k, a in enumerate(t):
+            partners.setdefault(a, set()).update(t[k + 1:])
 
     def count(batches):
         c: Counter = Counter()
         for b in batches:
-            for ts in b["tokens"]:
-                ts = list(ts)
-                for lo in range(max(1, len(ts) - window + 1)):
-                    have = used.intersection(ts[lo:lo + window])
-                    c[""] += 1
-                    c.update(have)
-                    c.update(k for p in combinations(sorted(have), 2) if frozenset(p) in near and (k := "\t".join(p)))
-        yield pd.DataFrame({"k": list(c), "n": list(c.values())})
-
-    got = {r["k"]: r["n"] for r in docs.mapInPandas(count, "k string, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    total, eps = max(1, got.get("", 0)), 1e-12
+            for k in range(0, b.num_rows, 256):
+                for ts in b.column(0).slice(k, 256).to_pylist():
+                    places: dict[str, list[int]] = {}
+                    for i, w in enumerate(ts or ()):
+                        if w in partners:
+                            places.setdefault(w, []).append(i)
+                    last = max(0, len(ts or ()) - window)
+                    c["", ""] += last + 1
+                    held = {w: _covered(p, window, last) for w, p in places.items()}
+                    for a, x in held.items():
+                        c[a, a] += sum(hi - lo + 1 for lo, hi in x)
+                        for w in partners[a] & held.keys():
+                            if n := _common(x, held[w]):
+                                c[a, w] += n
+        if c:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in c]), pa.array([w for _, w in c]), pa.array(list(c.values()), pa.int64())], names=["a", "b", "n"])
+
+    return tokens.select("tokens").mapInArrow(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def coherence(terms: DataFrame, tokens: DataFrame, sample: int | None = None, window: int = 110, seed: int = 42) -> DataFrame:
+    """c_v, n_topics, n_docs: Röder et al. 2015, over all documents, or over a sample by hash that is the same each time.
+
+    The driver gets window_counts(), whose number depends on the topics only.
+    """
+    spark = tokens.sparkSession
+    topics = [[x["word"] for x in r["terms"]] for r in terms.orderBy("topic_id").collect()]
+    if sample is not None:
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        tokens = tokens.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).repartition(parts)
+    got = {(r["a"], r["b"]): r["n"] for r in window_counts(terms, tokens, window).collect()}
+    total, eps = max(1, got.get(("", ""), 0)), 1e-12
 
     def npmi(a, b):
-        pa, pb = got.get(a, 0) / total, got.get(b, 0) / total
-        pab = pa if a == b else got.get("\t".join(sorted((a, b))), 0) / total
+        pa, pb = got.get((a, a), 0) / total, got.get((b, b), 0) / total
+        pab = got.get((min(a, b), max(a, b)), 0) / total
         if not pa or not pb:
             return 0.0
         return math.log((pab + eps) / (pa * pb)) / -math.log(pab + eps)
@@ -118,7 +177,7 @@ def coherence(terms: DataFrame, tokens: DataFrame, sample: int = 20_000, window:
         n = np.linalg.norm(m, axis=1) * np.linalg.norm(whole)
         scores.append(float(np.mean(np.divide(m @ whole, n, out=np.zeros(len(t)), where=n > 0))))
     value = float(np.mean(scores)) if scores else 0.0
-    return spark.createDataFrame([(value, len(topics), docs.count())], "c_v double, n_topics int, n_docs long")
+    return spark.createDataFrame([(value, len(topics), tokens.count())], "c_v double, n_topics int, n_docs long")
 
 
 def tactic_topic(pairs: DataFrame, tactics: DataFrame, doc_topics: DataFrame, n_topics: int, distinct: bool = False) -> DataFrame:
@@ -142,8 +201,10 @@ def word_cloud(terms: DataFrame, n: int = 40) -> DataFrame:
 
 def save(topics: Topics, path: str, n: int = 15, coherent: DataFrame | None = None) -> None:
     """Model, vocabulary, topic words and dominant topics; coherent (see coherence()) too if given."""
-    topics.model.write().overwrite().save(f"{path}/model")
-    topics.doc_topics.sparkSession.createDataFrame(list(enumerate(topics.words)), "code int, word string").write.mode("overwrite").parquet(f"{path}/words")
+    spark, m = topics.doc_topics.sparkSession, topics.model
+    rows = [(k, m.topic_prior, w.tolist()) for k, w in enumerate(m.weights)]
+    spark.createDataFrame(rows, "topic_id int, topic_prior double, weights array<double>").write.mode("overwrite").parquet(f"{path}/model")
+    spark.createDataFrame([(k, w, float(e)) for k, (w, e) in enumerate(zip(topics.words, m.word_prior))], "code int, word string, prior double").write.mode("overwrite").parquet(f"{path}/words")
     topic_terms(topics, n).write.mode("overwrite").parquet(f"{path}/topic_terms")
     topics.doc_topics.write.mode("overwrite").parquet(f"{path}/doc_topics")
     if coherent is not None:
@@ -151,8 +212,10 @@ def save(topics: Topics, path: str, n: int = 15, coherent: DataFrame | None = No
 
 
 def load(spark: SparkSession, path: str) -> Topics:
-    words = [r["word"] for r in spark.read.parquet(f"{path}/words").orderBy("code").collect()]
-    return Topics(LocalLDAModel.load(f"{path}/model"), words, load_doc_topics(spark, path))
+    words = spark.read.parquet(f"{path}/words").orderBy("code").collect()
+    rows = spark.read.parquet(f"{path}/model").orderBy("topic_id").collect()
+    model = lda.Model(np.array([r["weights"] for r in rows]), rows[0]["topic_prior"], np.array([r["prior"] for r in words]))
+    return Topics(model, [r["word"] for r in words], load_doc_topics(spark, path))
 
 
 def load_topic_terms(spark: SparkSession, path: str) -> DataFrame:
