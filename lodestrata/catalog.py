@@ -5,16 +5,12 @@ Documents stand for advisories (CVE-2024-<id>), benchmark items for techniques (
 
 from __future__ import annotations
 
-import atexit
 import functools
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import analyzer
+from .functions import analyzer, scratch
 from .functions import lexicon as L
 from .functions.dialect import DUCK, SPARK
 from .operators import boolean, expand, index, lsa, rank, topics
@@ -141,20 +137,9 @@ def _html(s, d):
 
 # --- files: written from the driver's tables to a shared folder, and read again ------------------------
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below the session's shared one; only without one (tests) a local folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="files-")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-    return f"{at}/files-{uuid.uuid4().hex}"
-
-
 def _feeds(s, d):
     """Feeds of 500 documents: the older layout for even ids, the newer one, compressed, for odd ones."""
-    at = _folder(s)
+    at = scratch.folder(s)
     doc = _read(s, d, "documents").withColumn("id", F.concat(F.lit("cve-2024-"), F.col("doc_id").cast("string"))).withColumn("feed", F.floor(F.col("doc_id") / 1000))
     lang = lambda *x: F.array(*(F.struct(F.lit(k).alias("lang"), (v if not isinstance(v, str) else F.lit(v)).alias("value")) for k, v in x))
     refs = F.array(F.struct(F.concat(F.lit("http://x.test/"), "doc_id").alias("name"), F.array(F.lit("Patch")).alias("tags")), F.struct(F.lit("Vendor Bulletin").alias("name"), F.array(F.lit("Exploit")).alias("tags")))
@@ -169,7 +154,7 @@ def _feeds(s, d):
 
 def _bundle(s, d):
     """A bundle of the benchmark's items: some are revoked, deprecated, or no techniques."""
-    at, b, i = _folder(s), _read(s, d, "benchmark").join(tactics(s, d).withColumn("item_id", F.expr("cast(substring(tid, 2) as long) - 1000")), "item_id"), F.col("item_id")
+    at, b, i = scratch.folder(s), _read(s, d, "benchmark").join(tactics(s, d).withColumn("item_id", F.expr("cast(substring(tid, 2) as long) - 1000")), "item_id"), F.col("item_id")
     refs = F.array(F.struct(F.lit("other").alias("source_name"), F.lit(None).cast("string").alias("external_id"), F.lit("note").alias("description")), F.struct(F.lit("mitre-attack").alias("source_name"), F.lower("tid").alias("external_id"), F.lit(None).cast("string").alias("description")))
     o = F.struct(F.when(i % 11 == 0, "malware").otherwise("attack-pattern").alias("type"), (i % 5 == 0).alias("revoked"), (i % 7 == 0).alias("x_mitre_deprecated"), F.substring("text", 1, 40).alias("name"), F.col("text").alias("description"), refs.alias("external_references"),
                  F.lit("watch").alias("x_mitre_detection"), F.array(F.lit("Windows")).alias("x_mitre_platforms"), F.array(F.lit("Logs")).alias("x_mitre_data_sources"), F.array(F.struct(F.lower(F.replace("tactic", F.lit(" "), F.lit("-"))).alias("phase_name"))).alias("kill_chain_phases"))
@@ -178,25 +163,25 @@ def _bundle(s, d):
 
 
 def _corpus_files(s, d):
-    at = _folder(s)
+    at = scratch.folder(s)
     files.write_corpus_text(analyzer.token_arrays(corpus(s, d)), at)
     return files.read_corpus_text(s, at)
 
 
 def _postings_files(s, d):
-    e, at = _engine(s, d), _folder(s)
+    e, at = _engine(s, d), scratch.folder(s)
     files.postings_lines(e.index.postings, index.dictionary(e.index.stats)).write.text(at)
     return files.parse_postings(s.read.text(at)).select("word_code", "term", "doc_id", "tf", "source")
 
 
 def _map_file(s, d):
-    at = _folder(s)
+    at = scratch.folder(s)
     files.write_technique_map(_pairs(s, d), at)
     return files.read_technique_map(s, at)
 
 
 def _saved(s, d):
-    at = _folder(s)
+    at = scratch.folder(s)
     _expandable(s, d).save(at)
     return Engine.load(s, at)
 
