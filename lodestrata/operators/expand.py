@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import analyzer
 from ..functions import lexicon as L
 
-#: Terms of techniques up to which they are broadcast: some 40 MB.
+#: Terms of techniques up to which the driver and each task hold them: some 40 MB.
 BROADCAST_TERMS = 1_000_000
 
 
@@ -27,22 +29,74 @@ def technique_terms(techniques: DataFrame) -> DataFrame:
     return t.select(F.col("doc_id").alias("tid"), "term").distinct()
 
 
+def _prefixes(sets: DataFrame, key: str, common: DataFrame, min_overlap: int) -> DataFrame:
+    """key, term: each set's terms but its min_overlap - 1 most frequent ones; sets with fewer terms than min_overlap have none.
+
+    common: term, n (how many sets of the other side hold it), which orders all sets alike. Two sets that share
+    min_overlap terms share the least frequent of those, and it is among these terms of both.
+    """
+    s = sets.join(common, "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "term"))).alias("ts"))
+    first = F.slice("ts", F.lit(1), F.size("ts") - (min_overlap - 1))
+    return s.where(F.size("ts") >= min_overlap).select(key, F.explode(first).alias("t")).select(key, "t.term")
+
+
+def overlaps(left: DataFrame, right: DataFrame, min_overlap: int) -> DataFrame:
+    """a, b, overlap of each two sets of left (a, term) and right (b, term) that share at least min_overlap terms.
+
+    For sides of any size. Terms that only one side has are left out first, which shortens the sets. Then
+    prefixes only are joined (see _prefixes), so the most frequent terms, whose pairs are most, join
+    little or nothing; pairs found are verified on all terms.
+    """
+    common = left.groupBy("term").agg(F.count("*").alias("x")).join(right.groupBy("term").agg(F.count("*").alias("y")), "term").select("term", (F.col("x") * F.col("y")).alias("n"))
+    pairs = _prefixes(left, "a", common, min_overlap).join(_prefixes(right, "b", common, min_overlap), "term").select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= min_overlap)
+
+
+def _counted(sets: DataFrame, known: list[tuple[str, str]], min_overlap: int) -> DataFrame:
+    """The same for right sets known as a list of (b, term), which each task holds: a, b, overlap.
+
+    A set of the left side meets in one row the codes of its terms that are known at all; a task counts how often each
+    b has one of them. So no row is made for a pair that shares too few.
+    """
+    spark = sets.sparkSession
+    names, terms = sorted({b for b, _ in known}), sorted({t for _, t in known})
+    place, code = {b: k for k, b in enumerate(names)}, {t: k for k, t in enumerate(terms)}
+    of = np.array(sorted((code[t], place[b]) for b, t in known), np.int64).reshape(-1, 2)
+    shared = spark.sparkContext.broadcast((names, np.searchsorted(of[:, 0], np.arange(len(terms) + 1)), of[:, 1]))
+    codes = F.broadcast(spark.createDataFrame(list(code.items()), "term string, code int"))
+    held = sets.join(codes, "term").groupBy("a").agg(F.collect_list("code").alias("codes")).where(F.size("codes") >= min_overlap)
+
+    def run(batches):
+        names, starts, others = shared.value
+        together = max(1, 2_000_000 // max(1, len(names)))
+        for b in (b.slice(k, together) for b in batches for k in range(0, b.num_rows, together)):
+            ends = b.column(1).offsets.to_numpy()
+            c = b.column(1).values.to_numpy()[ends[0]:ends[-1]]
+            n = starts[c + 1] - starts[c]
+            # of each code of each set all its others: places in a list of all
+            at = np.repeat(starts[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            row = np.repeat(np.repeat(np.arange(b.num_rows), np.diff(ends)), n)
+            count = np.bincount(row * len(names) + others[at], minlength=b.num_rows * len(names))
+            hit = np.flatnonzero(count >= min_overlap)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit // len(names))), pa.array([names[k] for k in hit % len(names)], pa.string()), pa.array(count[hit], pa.int64())], names=["a", "b", "overlap"])
+
+    return held.mapInArrow(run, "a string, b string, overlap long")
+
+
 def technique_cve(postings: DataFrame, techniques: DataFrame, min_overlap: int = L.MIN_OVERLAP) -> DataFrame:
     """tid, cve_id, overlap: advisories that share at least min_overlap terms with a technique.
 
-    The overlap is an equi-join on the term and a count, not a comparison of all pairs: only pairs
-    with a common term meet, and counts are combined before the shuffle. Techniques are a taxonomy;
-    their terms are broadcast while there are at most BROADCAST_TERMS of them, else dealt by term.
-    A technique with fewer terms than min_overlap meets nothing and is left out before the join.
+    Techniques are a taxonomy: while they have at most BROADCAST_TERMS terms, tasks hold them and count (see
+    _counted); beyond that both sides are joined by prefixes of their terms (see overlaps).
     """
     t = technique_terms(techniques)
-    enough = t.groupBy("tid").agg(F.collect_list("term").alias("terms")).where(F.size("terms") >= min_overlap)
-    t = enough.select("tid", F.explode("terms").alias("term"))
-    if t.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        t = F.broadcast(t)
-    p = postings.where(F.col("doc_id").rlike(r"(?i)^CVE-\d{4}-\d+$")).select("term", F.upper("doc_id").alias("cve_id"))
-    hits = p.join(t, "term").groupBy("tid", "cve_id").agg(F.count("*").alias("overlap"))
-    return hits.where(F.col("overlap") >= min_overlap)
+    p = postings.where(F.col("doc_id").rlike(r"(?i)^CVE-\d{4}-\d+$")).select(F.upper("doc_id").alias("a"), "term")
+    known = t.limit(BROADCAST_TERMS + 1).collect()
+    if len(known) <= BROADCAST_TERMS:
+        hits = _counted(p, [(r["tid"], r["term"]) for r in known], min_overlap)
+    else:
+        hits = overlaps(p, t.withColumnRenamed("tid", "b"), min_overlap)
+    return hits.select(F.col("b").alias("tid"), F.col("a").alias("cve_id"), "overlap")
 
 
 def technique_map(pairs: DataFrame) -> DataFrame:
