@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import analyzer, scratch
 from .functions import lexicon as L
 from .functions.dialect import DUCK, SPARK
-from .operators import boolean, expand, index, lsa, rank, topics
+from .operators import blocks, boolean, expand, index, lsa, rank, topics
 from .plans.engine import Engine
 from .sources import files, nvd
 
@@ -56,13 +56,20 @@ def _engine(spark: SparkSession, sf: str) -> Engine:
     if key not in _cache:
         for x in _cache.values():
             if isinstance(x, Engine):
-                x.index.release()
+                x.release()
         _cache.clear()
         c = corpus(spark, sf)
         _cache[key] = Engine(spark, index.Index.build(c))
     return _cache[key]
 
 
+def _blocked(spark: SparkSession, sf: str) -> Engine:
+    e = _engine(spark, sf)
+    if e.blocks is None:
+        e.blocks = blocks.build(e.index)
+    return e
+
+
 def _expandable(spark: SparkSession, sf: str) -> Engine:
     e = _engine(spark, sf)
     if e.keywords is None:
@@ -77,7 +84,15 @@ def _tagged(spark, sf):
 
 
 def _bool(query: str):
-    return lambda s, d: _engine(s, d).boolean(query)
+    return lambda s, d: _blocked(s, d).boolean(query)
+
+
+def _skipping(weights: dict[str, float], **how):
+    return lambda s, d: blocks.search(_blocked(s, d).blocks, _engine(s, d).index, weights, **how)[0]
+
+
+def _posting_blocks(s, d):
+    return _blocked(s, d).blocks.lists.select("term", "block", "n", *(F.round(x, 6).alias(x) for x in ("bm25", "tfidf", "bm25_weighted")))
 
 
 def _search(query: str, **how):
@@ -217,6 +232,10 @@ QUERIES = {
     "tfidf_top10": _search(QUERY, scorer="tfidf"),
     "bm25_weighted": _weighted,
     "bm25_scores": lambda s, d: rank.score(_engine(s, d).index, dict.fromkeys(("thtion", "erbl", "attion"), 1.0)).select("doc_id", "source", F.round("score", 6).alias("score")),
+    "bm25_skipping": _skipping(dict.fromkeys(WEIGHTED, 1.0)),
+    "bm25_weighted_skipping": _skipping(WEIGHTED),
+    "tfidf_skipping": _skipping(dict.fromkeys(WEIGHTED, 1.0), scorer="tfidf"),
+    "posting_blocks": _posting_blocks,
     "bool_and": _bool("thtion AND erble"),
     "bool_or": _bool("erth OR oned"),
     "bool_not": _bool("NOT thing"),
@@ -224,7 +243,7 @@ QUERIES = {
     "bool_paren": _bool("(thtion OR erth) AND (oned OR NOT eror) AND NOT thing"),
     "bool_words": _bool("thtion erble OR eran eror"),
     "bool_stop_operand": _bool("NOT the"),
-    "bool_unranked": lambda s, d: boolean.first(_engine(s, d).boolean("thtion AND erble"), 10),
+    "bool_unranked": lambda s, d: boolean.first(_blocked(s, d).boolean("thtion AND erble"), 10),
     "bool_then_bm25": _search("thtion AND erble"),
     "bool_overfetch": _search("thtion AND erble", rerank="overfetch"),
     "kw_technique": lambda s, d: expand.kw_technique(techniques(s, d)),
@@ -349,6 +368,12 @@ def sql() -> dict[str, str]:
         "tfidf_top10": _with(_top(_scores(_Q3, "tfidf"))),
         "bm25_weighted": _with(_top(_scores(WEIGHTED))),
         "bm25_scores": _with(_scores(_Q3)),
+        "bm25_skipping": _with(_top(_scores(_Q3))),
+        "bm25_weighted_skipping": _with(_top(_scores(WEIGHTED))),
+        "tfidf_skipping": _with(_top(_scores(_Q3, "tfidf"))),
+        "posting_blocks": _with(f"select term, block, count(*)::int as n, round(max(b), 6) as bm25, round(max(1 + ln(tf)), 6) as tfidf, round(max(b * w), 6) as bm25_weighted from ("
+                                f"select term, tf, code // 64 as block, case when source = 'attack' then {L.ATTACK_WEIGHT} else 1 end as w, tf * ({L.K1} + 1) / (tf + {L.K1} * (1 - {L.B} + {L.B} * dl / greatest(a, 1))) as b from post join num using (doc_id, source), coll) group by 1, 2",
+                                "num as materialized (select doc_id, source, dl, (row_number() over (order by source, dl, doc_id) - 1)::int as code from docs)"),
         "bool_and": _with(_flags("<thtion> and <erbl>")),
         "bool_or": _with(_flags("<erth> or <one>")),
         "bool_not": _with(_flags("not <thing>")),

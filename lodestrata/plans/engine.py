@@ -8,20 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import analyzer
-from ..operators import boolean, expand, lsa, rank
+from ..operators import blocks, boolean, expand, lsa, rank
 from ..operators.index import Index, dedup
 from ..sources import files, nvd
 
 
 @dataclass
 class Engine:
-    """Tables that queries read. keywords and pairs serve expansion, semantic serves the lsa scorer."""
+    """Tables that queries read. keywords and pairs serve expansion, semantic serves the lsa scorer.
+
+    With blocks, Boolean queries are answered on bits, and ranked ones without a Boolean part skip postings.
+    """
 
     spark: SparkSession
     index: Index
     keywords: DataFrame | None = None
     pairs: DataFrame | None = None
     semantic: lsa.Lsa | None = None
+    blocks: blocks.Blocks | None = None
 
     @classmethod
     def build(cls, corpus: DataFrame, techniques: DataFrame | None = None, components: int | None = None) -> Engine:
@@ -47,13 +51,21 @@ class Engine:
             self.pairs.write.mode("overwrite").parquet(f"{path}/technique_cve")
         if self.semantic is not None:
             lsa.save(self.semantic, f"{path}/lsa")
+        (self.blocks or blocks.build(self.index)).save(f"{path}/blocks")
+
+    def release(self) -> None:
+        """Let go of what the index and its blocks keep."""
+        self.index.release()
+        if self.blocks is not None:
+            self.blocks.release()
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Engine:
         if not files.exists(spark, f"{path}/index"):
             raise FileNotFoundError(f"no index in {path}")
         have = lambda n: spark.read.parquet(f"{path}/{n}") if files.exists(spark, f"{path}/{n}") else None
-        return cls(spark, Index.load(spark, f"{path}/index"), have("kw_technique"), have("technique_cve"), lsa.load(spark, f"{path}/lsa") if files.exists(spark, f"{path}/lsa") else None)
+        return cls(spark, Index.load(spark, f"{path}/index"), have("kw_technique"), have("technique_cve"), lsa.load(spark, f"{path}/lsa") if files.exists(spark, f"{path}/lsa") else None,
+                   blocks.Blocks.load(spark, f"{path}/blocks") if files.exists(spark, f"{path}/blocks") else None)
 
     def terms(self, query: str, acronyms: bool = False) -> list[str]:
         """Terms of a query, in order, repeats kept; acronyms as in documents only if asked for. No Spark job."""
@@ -68,7 +80,8 @@ class Engine:
         return expand.expand(self.terms(query), self.keywords, self.pairs)
 
     def boolean(self, query: str) -> DataFrame:
-        return boolean.execute(self.index, boolean.parse(query, self.terms))
+        tree = boolean.parse(query, self.terms)
+        return blocks.fits(self.blocks, tree) if self.blocks is not None else boolean.execute(self.index, tree)
 
     def search(self, query: str, scorer: str = "bm25", top_n: int = 10, expanded: bool = True, source_weight: bool = True, mode: str = "auto", rerank: str = "candidates", acronyms: bool = False) -> DataFrame:
         """rank, doc_id, source, score.
@@ -97,4 +110,6 @@ class Engine:
             w = self.weights(terms) if expanded and self.keywords is not None else None
             hits = lsa.search(self.semantic, terms, top_n, w)
             return rank.top(hits.join(wanted, "doc_id", "left_semi") if wanted is not None else hits, top_n)
+        if self.blocks is not None and wanted is None:
+            return blocks.search(self.blocks, self.index, self.weights(terms, expanded), top_n, scorer, source_weight)[0]
         return rank.top(rank.score(self.index, self.weights(terms, expanded), scorer, source_weight, wanted), top_n)
