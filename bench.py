@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from lodestrata import catalog
 
-HEADLINE = ["tf", "df", "doc_lengths", "dictionary", "bm25_top10", "tfidf_top10", "bool_paren", "bool_then_bm25", "kw_technique", "technique_cve", "bm25_expanded", "topic_vocab", "tactic_topic_heatmap", "lsa_weights", "vector_top10", "lsa_top10"]
+HEADLINE = ["tf", "df", "doc_lengths", "dictionary", "bm25_top10", "bm25_skipping", "tfidf_top10", "bool_paren", "bool_then_bm25", "kw_technique", "technique_cve", "bm25_expanded", "topic_vocab", "tactic_topic_heatmap", "lsa_weights", "vector_top10", "lsa_top10"]
 
 
 def main() -> None:
@@ -21,6 +21,9 @@ def main() -> None:
     began, times = time.time(), {}
     catalog._engine(spark, sf)
     times["build_index"] = round(time.time() - began, 3)
+    began = time.time()
+    catalog._blocked(spark, sf).blocks.lists.count()
+    times["build_blocks"] = round(time.time() - began, 3)
     for name in HEADLINE:
         began = time.time()
         catalog.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()

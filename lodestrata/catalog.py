@@ -96,7 +96,7 @@ def _posting_blocks(s, d):
 
 
 def _search(query: str, **how):
-    return lambda s, d: (_expandable if how.get("expanded") else _engine)(s, d).search(query, **{"expanded": False, **how})
+    return lambda s, d: (_expandable if how.get("expanded") else _engine)(s, d).search(query, **{"expanded": False, "skip": False, **how})
 
 
 def _weighted(s, d):
@@ -146,6 +146,19 @@ def _vector(s, d):
     return lsa.nearest(v, "vec_id", "embedding", [float(x) for x in q], 10)
 
 
+def _vectors_many(s, d):
+    """Every 50th vector as a query, against all."""
+    v = _read(s, d, "embeddings").select("vec_id", "embedding")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return lsa.nearest_many(v, "vec_id", "embedding", q, 5)
+
+
+def _lsa_many(s, d):
+    """Every 50th document's first words as a query."""
+    q = _read(s, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
+    return lsa.search_many(_lsa_engine(s, d).semantic, q, 5)
+
+
 def _html(s, d):
     return _read(s, d, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.lit("nvd").alias("source"), F.col("html").alias("text"))
 
@@ -274,6 +287,8 @@ QUERIES = {
     "topic_top_terms": lambda s, d: topics.word_cloud(topics.top_terms(_rule_weights(s, d))).select("topic_id", "word", F.round("weight", 9).alias("weight")),
     "topic_top_labels": lambda s, d: topics.topic_labels(topics.top_terms(_rule_weights(s, d))),
     "coherence_windows": _windows,
+    "vector_many_top5": _vectors_many,
+    "lsa_many_top5": _lsa_many,
     "lsa_top10": lambda s, d: _lsa_engine(s, d).search(QUERY, scorer="lsa", expanded=False),
     "lda_topics": lambda s, d: topics.topic_terms(_topics(s, d)),
     "lda_doc_topics": lambda s, d: _topics(s, d).doc_topics,
@@ -417,6 +432,7 @@ def sql() -> dict[str, str]:
             near as (select distinct x.word as a, y.word as b from top x join top y using (topic_id) where x.word < y.word)
             select '' as a, '' as b, sum(greatest(len(tokens) - 10, 0) + 1)::bigint as n from tc union all select word, word, count(*) from held group by 1
             union all select x.word, y.word, count(*) from held x join near on near.a = x.word join held y on y.word = near.b and y.doc_id = x.doc_id and y.w = x.w group by 1, 2""",
+        "vector_many_top5": "select query_id, vec_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from (select q.vec_id as query_id, v.vec_id, round(list_inner_product(v.embedding::double[], q.embedding::double[]), 6) as score from embeddings v, embeddings q where q.vec_id % 50 = 0)) where rank <= 5",
         "vector_top10": "select v.vec_id, round(list_inner_product(v.embedding::double[], q.embedding::double[]), 6) as score from embeddings v, embeddings q where q.vec_id = 0 order by score desc, v.vec_id limit 10",
     }
 

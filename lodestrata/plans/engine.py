@@ -83,13 +83,14 @@ class Engine:
         tree = boolean.parse(query, self.terms)
         return blocks.fits(self.blocks, tree) if self.blocks is not None else boolean.execute(self.index, tree)
 
-    def search(self, query: str, scorer: str = "bm25", top_n: int = 10, expanded: bool = True, source_weight: bool = True, mode: str = "auto", rerank: str = "candidates", acronyms: bool = False) -> DataFrame:
+    def search(self, query: str, scorer: str = "bm25", top_n: int = 10, expanded: bool = True, source_weight: bool = True, mode: str = "auto", rerank: str = "candidates", acronyms: bool = False, skip: bool = True) -> DataFrame:
         """rank, doc_id, source, score.
 
         mode auto takes a query with AND, OR or NOT as Boolean; ranked and boolean force either.
         A Boolean query restricts the documents before the limit; with rerank 'overfetch' ten times
         top_n are ranked by BM25 without expansion and then restricted, and where none is left the
-        first documents that fit are given. The lsa scorer always restricts after its limit.
+        first documents that fit are given. The lsa scorer always restricts after its limit. With skip, blocks (if there
+        are any) spare a ranked query most postings; it pays on large indexes, as it takes some more jobs.
         """
         if scorer not in (*rank.SCORERS, "lsa"):
             raise ValueError(f"unknown scorer {scorer!r}")
@@ -110,6 +111,6 @@ class Engine:
             w = self.weights(terms) if expanded and self.keywords is not None else None
             hits = lsa.search(self.semantic, terms, top_n, w)
             return rank.top(hits.join(wanted, "doc_id", "left_semi") if wanted is not None else hits, top_n)
-        if self.blocks is not None and wanted is None:
+        if skip and self.blocks is not None and wanted is None:
             return blocks.search(self.blocks, self.index, self.weights(terms, expanded), top_n, scorer, source_weight)[0]
         return rank.top(rank.score(self.index, self.weights(terms, expanded), scorer, source_weight, wanted), top_n)

@@ -1,22 +1,21 @@
-"""Vulnerability feeds in both JSON layouts, and technique bundles, as DataFrames."""
+"""Vulnerability feeds in both JSON layouts, and technique bundles, as DataFrames of their items."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .items import read_items
+
 _LANG = "array<struct<lang:string,value:string>>"
-#: A file may hold either or both of the layouts.
-FEED = f"""CVE_Items array<struct<cve:struct<CVE_data_meta:struct<ID:string>,description:struct<description_data:{_LANG}>,
-  problemtype:struct<problemtype_data:array<struct<description:{_LANG}>>>,references:struct<reference_data:array<struct<name:string,tags:array<string>>>>>>>,
-  vulnerabilities array<struct<cve:struct<id:string,descriptions:{_LANG},weaknesses:array<struct<description:{_LANG}>>>>>"""
-_OBJECT = """type:string,revoked:boolean,x_mitre_deprecated:boolean,name:string,description:string,
-  external_references:array<struct<source_name:string,external_id:string,description:string>>,x_mitre_detection:string,
-  x_mitre_platforms:array<string>,x_mitre_data_sources:array<string>,kill_chain_phases:array<struct<phase_name:string>>"""
-#: A bundle, or a bare list of objects, whose elements become rows.
-BUNDLE = f"objects array<struct<{_OBJECT}>>, " + _OBJECT.replace(":string,", " string,").replace("revoked:boolean", "revoked boolean").replace("x_mitre_deprecated:boolean", "x_mitre_deprecated boolean").replace(
-    "external_references:", "external_references ").replace("x_mitre_platforms:", "x_mitre_platforms ").replace("x_mitre_data_sources:", "x_mitre_data_sources ").replace("kill_chain_phases:", "kill_chain_phases ").replace(
-    "<source_name string,external_id string,", "<source_name:string,external_id:string,")
+#: Items of both layouts; a file may hold either or both.
+V1 = f"""cve struct<CVE_data_meta:struct<ID:string>,description:struct<description_data:{_LANG}>,
+  problemtype:struct<problemtype_data:array<struct<description:{_LANG}>>>,references:struct<reference_data:array<struct<name:string,tags:array<string>>>>>"""
+V2 = f"cve struct<id:string,descriptions:{_LANG},weaknesses:array<struct<description:{_LANG}>>>"
+#: An object of a bundle, or of a bare list.
+OBJECT = """type string,revoked boolean,x_mitre_deprecated boolean,name string,description string,
+  external_references array<struct<source_name:string,external_id:string,description:string>>,x_mitre_detection string,
+  x_mitre_platforms array<string>,x_mitre_data_sources array<string>,kill_chain_phases array<struct<phase_name:string>>"""
 
 
 def _text(x: Column) -> Column:
@@ -32,46 +31,44 @@ def _english(x: Column) -> Column:
 
 
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
-    """Feed files of a folder (.json and .json.gz): the layouts' arrays, with feed (its path). A file that is no JSON fails."""
-    return (spark.read.schema(FEED).option("multiLine", True).option("pathGlobFilter", "{*.json,*.json.gz}").option("mode", "FAILFAST").json(path)
-            .withColumn("feed", F.input_file_name()))
+    """Items of the feed files of a folder: feed (the file's path), key (the layout's name), place, item (its text).
+
+    Undecodable bytes are replaced, a folder without feeds is empty, and a file that is no JSON fails.
+    """
+    return read_items(spark, path, ("CVE_Items", "vulnerabilities")).withColumnRenamed("file", "feed")
 
 
-def flatten_v1(feeds: DataFrame) -> DataFrame:
-    """doc_id, source, text, feed, place: items of the older layout.
+def _text_v1(c: Column) -> tuple[Column, Column]:
+    """doc_id, text of an item of the older layout.
 
     Text: English descriptions, English problem types, then for each reference its name, unless
     that is empty or a link, and its tags.
     """
-    i = feeds.select("feed", F.posexplode("CVE_Items").alias("place", "item"))
-    c = F.col("item.cve")
     problems = F.flatten(F.transform(_list(c["problemtype"]["problemtype_data"], f"array<struct<description:{_LANG}>>"), lambda p: _english(p["description"])))
     refs = F.flatten(F.transform(_list(c["references"]["reference_data"], "array<struct<name:string,tags:array<string>>>"), lambda r: F.concat(
         F.filter(F.array(_text(r["name"])), lambda n: (n != "") & ~n.startswith("http")), _list(r["tags"]))))
-    text = F.array_join(F.concat(_english(c["description"]["description_data"]), problems, refs), " ")
-    return i.select(F.upper(_text(c["CVE_data_meta"]["ID"])).alias("doc_id"), F.lit("nvd").alias("source"), text.alias("text"), "feed", F.col("place").cast("long").alias("place")).where("doc_id <> ''")
+    return F.upper(_text(c["CVE_data_meta"]["ID"])), F.array_join(F.concat(_english(c["description"]["description_data"]), problems, refs), " ")
 
 
-def flatten_v2(feeds: DataFrame) -> DataFrame:
+def _text_v2(c: Column) -> tuple[Column, Column]:
     """The same for the newer layout: English descriptions, then the first description of each weakness."""
-    i = feeds.select("feed", F.posexplode("vulnerabilities").alias("place", "item"))
-    c = F.col("item.cve")
     weak = F.filter(F.transform(_list(c["weaknesses"], f"array<struct<description:{_LANG}>>"), lambda w: F.get(w["description"], F.lit(0))["value"]), lambda v: v.isNotNull())
-    text = F.concat(F.array_join(_english(c["descriptions"]), " "), F.lit(" "), F.array_join(weak, " "))
-    return i.select(F.upper(_text(c["id"])).alias("doc_id"), F.lit("nvd").alias("source"), text.alias("text"), "feed", (F.col("place") + (1 << 40)).cast("long").alias("place")).where("doc_id <> ''")
+    return F.upper(_text(c["id"])), F.concat(F.array_join(_english(c["descriptions"]), " "), F.lit(" "), F.array_join(weak, " "))
 
 
 def read_nvd(spark: SparkSession, path: str) -> DataFrame:
-    """All items of the feeds in a folder, of both layouts; doc_id may repeat."""
+    """All items of the feeds in a folder, of both layouts; doc_id may repeat. Files are read once."""
     feeds = read_feeds(spark, path)
-    return flatten_v1(feeds).unionByName(flatten_v2(feeds))
+    both = feeds.select("feed", "key", "place", F.when(F.col("key") == "CVE_Items", F.from_json("item", V1, {"mode": "FAILFAST"})).alias("one"), F.when(F.col("key") == "vulnerabilities", F.from_json("item", V2, {"mode": "FAILFAST"})).alias("two"))
+    one, two = _text_v1(F.col("one.cve")), _text_v2(F.col("two.cve"))
+    old = F.col("key") == "CVE_Items"
+    out = both.select(F.when(old, one[0]).otherwise(two[0]).alias("doc_id"), F.lit("nvd").alias("source"), F.when(old, one[1]).otherwise(two[1]).alias("text"), "feed", (F.col("place") + F.when(old, 0).otherwise(F.lit(1 << 40))).cast("long").alias("place"))
+    return out.where("doc_id <> ''")
 
 
 def read_stix(spark: SparkSession, path: str) -> DataFrame:
     """Objects of a bundle or of a bare list, with tid (null if there is none) and live."""
-    raw = spark.read.schema(BUNDLE).option("multiLine", True).json(path)
-    inner = raw.where("objects is not null").select(F.explode("objects").alias("o")).select("o.*")
-    o = inner.unionByName(raw.where("objects is null").drop("objects"))
+    o = read_items(spark, path, ("objects",), "*").select("place", F.from_json("item", OBJECT, {"mode": "FAILFAST"}).alias("o")).select("o.*", "place")
     tid = F.upper(F.get(F.filter(_list(F.col("external_references"), "array<struct<source_name:string,external_id:string,description:string>>"), lambda r: r["source_name"] == "mitre-attack"), F.lit(0))["external_id"])
     live = (F.col("type") == "attack-pattern") & ~F.coalesce("revoked", F.lit(False)) & ~F.coalesce("x_mitre_deprecated", F.lit(False)) & (_text(F.col("tid")) != "")
     return o.withColumn("tid", tid).withColumn("live", F.coalesce(live, F.lit(False)))
@@ -94,8 +91,8 @@ def attack_corpus(stix: DataFrame) -> DataFrame:
 
 def technique_tactics(stix: DataFrame) -> DataFrame:
     """tid, tactic of all techniques, also of revoked ones; the last object of an id counts."""
-    t = stix.where((F.col("type") == "attack-pattern") & (_text(F.col("tid")) != "")).withColumn("k", F.monotonically_increasing_id())
-    last = t.groupBy("tid").agg(F.max_by("kill_chain_phases", "k").alias("phases"))
+    t = stix.where((F.col("type") == "attack-pattern") & (_text(F.col("tid")) != ""))
+    last = t.groupBy("tid").agg(F.max_by("kill_chain_phases", "place").alias("phases"))
     return last.select("tid", F.explode("phases.phase_name").alias("phase")).select("tid", tactic_title(F.col("phase")).alias("tactic"))
 
 

@@ -4,12 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.functions import analyzer
 from lodestrata.operators import index, lsa
 
 
-def made(spark, n_docs, n_terms, per, seed=6):
+def made(spark, n_docs, n_terms, per, seed=6, name="w{}".format):
     rng = random.Random(seed)
-    p = [(f"w{t}", f"CVE-2024-{100 + d}", "nvd", rng.randrange(1, 4)) for d in range(n_docs) for t in rng.sample(range(n_terms), per)]
+    p = [(name(t), f"CVE-2024-{100 + d}", "nvd", rng.randrange(1, 4)) for d in range(n_docs) for t in rng.sample(range(n_terms), per)]
     post = spark.createDataFrame(p, "term string, doc_id string, source string, tf int").persist()
     docs = post.groupBy("doc_id", "source").agg(F.sum("tf").cast("int").alias("dl")).persist()
     return index.Index(docs, post, index.term_stats(post).persist(), n_docs, 30.0)
@@ -56,3 +57,35 @@ def test_a_task_holds_one_block(spark, monkeypatch):
     monkeypatch.setattr(lsa, "_products", watched)
     lsa.build(made(spark, 60, 200, 9), 5, iterations=1)
     assert len(seen) == 2 and all(size <= 5_000 and blocks > 3 and most < blocks and row * 15 * 8 < 5_000 for size, blocks, most, row in seen)
+
+
+def test_many_queries_equal_single_ones(spark):
+    words = [w for a in "bdfgk" for b in "aou" for c in "bdgkmn" if analyzer.analyze(w := f"{a}{b}{c}zork", "query") == [w]]
+    assert len(words) >= 80
+    m = lsa.build(made(spark, 60, 80, 12, name=words.__getitem__), 8)
+    rng = random.Random(7)
+    texts = {k: " ".join(rng.choice([*words[:80], "unknownword"]) for _ in range(rng.randrange(5))) for k in range(100)}
+    got = {}
+    for r in lsa.search_many(m, spark.createDataFrame(list(texts.items()), "query_id long, text string"), 5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.doc_id, r.source, r.score)
+    assert len(got) > 60
+    for k, text in list(texts.items())[::7]:
+        want = lsa.search(m, text.split(), 5).collect()
+        assert [got.get(k, {}).get(i + 1) for i in range(len(want))] == [tuple(r) for r in want] and (k in got) == bool(want)
+
+
+def test_nearest_many_against_nearest(spark):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.standard_normal((500, 6)), 1)
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(500, None), (501, [1.0]), (502, [])]
+    d = spark.createDataFrame(rows, "vec_id long, e array<float>").repartition(7)
+    q = spark.createDataFrame([(k, v[k % 3].tolist()) for k in range(40)] + [(40, None), (41, [2.0])], "query_id int, vec array<double>")
+    got = {}
+    for r in lsa.nearest_many(d, "vec_id", "e", q, 9).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(40)) | {41} and got[41] == [(1, 501, 2.0)]
+    x = v.astype(np.float32).astype(float)
+    for k in range(40):
+        s = np.round(x @ v[k % 3], 6)
+        want = sorted(range(500), key=lambda i: (-s[i], i))[:9]
+        assert sorted(got[k]) == [(i + 1, w, s[w]) for i, w in enumerate(want)]
