@@ -282,6 +282,8 @@ QUERIES = {
     "technique_map_file": _map_file,
     "map_totals": lambda s, d: expand.map_totals(_pairs(s, d)),
     "saved_bm25": lambda s, d: _saved(s, d).search(QUERY, expanded=False),
+    "saved_dictionary": lambda s, d: _saved(s, d).index.dictionary(),
+    "saved_postings": lambda s, d: _saved(s, d).index.of_terms(["thtion", "erbl", "the", "nosuchterm"]),
     "saved_bm25_expanded": lambda s, d: _saved(s, d).search(QUERY),
     "dominant_topic": lambda s, d: _read(s, d, "documents").select("doc_id", topics.dominant(_shares()).alias("dominant_topic"), F.round(F.array_max(_shares()), 6).alias("confidence")),
     "topic_top_terms": lambda s, d: topics.word_cloud(topics.top_terms(_rule_weights(s, d))).select("topic_id", "word", F.round("weight", 9).alias("weight")),
@@ -421,6 +423,8 @@ def sql() -> dict[str, str]:
         "technique_map_file": _with("select tid, cve_id from pair where overlap >= 3", _PAIRS),
         "map_totals": _with("select count(distinct tid) as n_techniques, count(*) as n_pairs from pair where overlap >= 3", _PAIRS),
         "saved_bm25": _with(_top(_scores(_Q3))),
+        "saved_dictionary": _with("select term, (row_number() over (order by term) - 1)::int as word_code from stat"),
+        "saved_postings": _with("select term, doc_id, source, tf from post where term in ('thtion', 'erbl', 'the', 'nosuchterm')"),
         "saved_bm25_expanded": _with(_top(_scores_of("select term, weight from e")), _PAIRS, _KWC, _EXP),
         "dominant_topic": f"select doc_id, (list_position(p, list_max(p)) - 1)::int as dominant_topic, round(list_max(p), 6) as confidence from (select doc_id, list_transform(range({N_TOPICS}), lambda i: ((doc_id * 7 + i * 13) % 29)::double / 29) as p from documents)",
         "topic_top_terms": f"with {_RULE_WEIGHTS} select topic_id, word, round(weight, 9) as weight from wl where k <= 15",

@@ -1,4 +1,4 @@
-"""Command line: build, build-map, search, boolean, expand, topics with the heat map."""
+"""Command line: build, lsa, build-map, search, boolean, expand, topics with the heat map."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import lexicon as L
-from .operators import boolean, expand, rank, topics
+from .operators import boolean, expand, lsa, rank, topics
 from .operators.index import dedup
 from .plans.engine import Engine
 from .sources import files, nvd
@@ -21,6 +21,11 @@ def main(argv: list[str] | None = None) -> None:
     b.add_argument("--nvd", required=True)
     b.add_argument("--attack", required=True)
     b.add_argument("--components", type=int)
+    b.add_argument("--skip-ingest", action="store_true", help="take the corpus of the last build")
+    b.add_argument("--skip-index", action="store_true", help="write the corpus only")
+    b.add_argument("--shard-size", type=int, default=files.SHARD_DOCUMENTS)
+    v = sub.add_parser("lsa")
+    v.add_argument("--components", type=int, default=300)
     s = sub.add_parser("search")
     s.add_argument("query")
     s.add_argument("--top", type=int, default=10)
@@ -43,13 +48,18 @@ def main(argv: list[str] | None = None) -> None:
     m = sub.add_parser("build-map")
     m.add_argument("--attack", required=True)
     m.add_argument("--min-overlap", type=int, default=L.MIN_OVERLAP)
-    for x in (b, s, q, e, t, m):
+    for x in (b, s, q, e, t, m, v):
         x.add_argument("--index", required=True)
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if a.do == "build":
-        engine = Engine.ingest(spark, a.nvd, a.attack, a.components)
-        engine.save(a.index)
+        at = f"{a.index}/corpus"
+        if a.skip_ingest and not files.exists(spark, at):
+            raise FileNotFoundError(f"no corpus in {at}")
+        if not a.skip_ingest:
+            files.write_corpus(Engine.corpus(spark, a.nvd, a.attack), at, a.shard_size)
+        if not a.skip_index:
+            Engine.build(files.read_corpus(spark, at), nvd.techniques(nvd.read_stix(spark, a.attack)), a.components).save(a.index)
         return
     if a.do == "topics":
         corpus = nvd.read_nvd(spark, a.nvd).transform(dedup).select("doc_id", "source", "text")
@@ -59,9 +69,14 @@ def main(argv: list[str] | None = None) -> None:
         topics.save(got, f"{a.index}/topics", a.top_words, coherent)
         coherent.show()
         if files.exists(spark, f"{a.index}/technique_cve"):
-            topics.tactic_topic(spark.read.parquet(f"{a.index}/technique_cve"), nvd.technique_tactics(nvd.read_stix(spark, a.attack)), got.doc_topics, a.topics).show(100)
+            m = topics.heat_map(spark.read.parquet(f"{a.index}/technique_cve"), nvd.technique_tactics(nvd.read_stix(spark, a.attack)), got.doc_topics, a.topics)
+            if m is not None:
+                m.show(100)
         return
     engine = Engine.load(spark, a.index)
+    if a.do == "lsa":
+        lsa.save(lsa.build(engine.index, a.components), f"{a.index}/lsa")
+        return
     if a.do == "build-map":
         pairs = expand.technique_cve(engine.index.postings, nvd.techniques(nvd.read_stix(spark, a.attack)), a.min_overlap)
         pairs.write.mode("overwrite").parquet(f"{a.index}/technique_cve")

@@ -74,13 +74,19 @@ def merge(*parts: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """The tables of an index. corpus and terms are computed once and read by all others."""
+    """The tables of an index. corpus and terms are computed once and read by all others.
+
+    An index that was loaded has its dictionary (term, word_code, df) and its postings by code (word_code,
+    doc_id, source, tf): a query's terms are looked up by range in the one and their codes by range in the other.
+    """
 
     docs: DataFrame
     postings: DataFrame
     stats: DataFrame
     n_docs: int
     avg_dl: float
+    codes: DataFrame | None = None
+    coded: DataFrame | None = None
 
     @classmethod
     def build(cls, corpus: DataFrame, persist: bool = True) -> Index:
@@ -99,19 +105,32 @@ class Index:
         for x in (self.docs, self.postings, self.stats):
             x.unpersist()
 
+    def dictionary(self) -> DataFrame:
+        """term, word_code: the stored one, or see dictionary()."""
+        return self.codes.select("term", "word_code") if self.codes is not None else dictionary(self.stats)
+
     def save(self, path: str) -> None:
-        """Parquet; postings in term order, so a query's term filter skips row groups."""
+        """Parquet: the dictionary by term and the postings by code, in ranges, so that a query's filters skip files and row groups."""
         parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.postings.repartitionByRange(parts, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        codes = self.codes if self.codes is not None else self.stats.join(dictionary(self.stats), "term").select("term", "word_code", "df")
+        codes.repartitionByRange(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")
+        codes = self.docs.sparkSession.read.parquet(f"{path}/dictionary")
+        coded = self.coded if self.coded is not None else self.postings.join(codes.select("term", "word_code"), "term")
+        coded = coded.select("word_code", "doc_id", "source", "tf").repartitionByRange(parts, "word_code", "doc_id").sortWithinPartitions("word_code", "doc_id")
+        coded.write.mode("overwrite").parquet(f"{path}/postings")
         self.docs.write.mode("overwrite").partitionBy("source").parquet(f"{path}/docs")
-        self.stats.repartitionByRange(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        d = spark.read.parquet(f"{path}/docs")
+        d, codes, coded = (spark.read.parquet(f"{path}/{x}") for x in ("docs", "dictionary", "postings"))
         s = collection_stats(d).first()
-        return cls(d, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/term_stats"), s["n_docs"], float(s["avg_dl"]))
+        post = coded.join(codes.select("term", "word_code"), "word_code").select("term", "doc_id", "source", "tf")
+        return cls(d, post, codes.select("term", "df"), s["n_docs"], float(s["avg_dl"]), codes, coded)
 
     def of_terms(self, terms) -> DataFrame:
-        """Postings of some terms; the filter reaches the Parquet scan."""
-        return self.postings.where(F.col("term").isin(list(terms)))
+        """Postings of some terms; the filter, on terms or on their codes, reaches the Parquet scan."""
+        if self.coded is None:
+            return self.postings.where(F.col("term").isin(list(terms)))
+        known = {r["word_code"]: r["term"] for r in self.codes.where(F.col("term").isin(list(terms))).select("term", "word_code").collect()}
+        name = F.broadcast(self.docs.sparkSession.createDataFrame(list(known.items()), "word_code int, term string"))
+        return self.coded.where(F.col("word_code").isin(list(known))).join(name, "word_code").select("term", "doc_id", "source", "tf")

@@ -35,8 +35,10 @@ def score(index: Index, weights: dict[str, float] | DataFrame, scorer: str = "bm
     """
     spark = index.docs.sparkSession
     if isinstance(weights, DataFrame):
-        q, p, s = weights.select("term", "weight"), index.postings, index.stats
-        p = p.join(s.join(q, "term"), "term")
+        q = weights.select("term", "weight")
+        # by code where the index has codes: strings are looked up in the dictionary only
+        p, s = (index.coded, index.codes) if index.coded is not None else (index.postings, index.stats)
+        p = p.join(s.join(q, "term"), "word_code" if index.coded is not None else "term")
     else:
         if not weights:
             return spark.createDataFrame([], "doc_id string, source string, score double")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -194,6 +196,18 @@ def tactic_topic(pairs: DataFrame, tactics: DataFrame, doc_topics: DataFrame, n_
     return axis.join(cells, "tactic", "left").na.fill(0).orderBy("tactic")
 
 
+def heat_map(pairs: DataFrame, tactics: DataFrame, doc_topics: DataFrame, n_topics: int, distinct: bool = False) -> DataFrame | None:
+    """tactic_topic(), or None, with a warning, where there is nothing to draw: no tactic, or no advisory under any of them."""
+    if tactics.isEmpty():
+        warnings.warn("no tactics: no heat map", stacklevel=2)
+        return None
+    m = tactic_topic(pairs, tactics, doc_topics, n_topics, distinct)
+    if m.where(reduce(Column.__or__, (F.col(f"topic_{i}") > 0 for i in range(n_topics)), F.lit(False))).isEmpty():
+        warnings.warn("no advisory of any technique has a topic: the heat map is empty", stacklevel=2)
+        return None
+    return m
+
+
 def word_cloud(terms: DataFrame, n: int = 40) -> DataFrame:
     """topic_id, word, weight of each topic's first words: what a cloud draws."""
     return terms.select("topic_id", F.explode(F.slice("terms", 1, n)).alias("t")).select("topic_id", "t.word", "t.weight")

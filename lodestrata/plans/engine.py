@@ -35,14 +35,19 @@ class Engine:
         p = expand.technique_cve(i.postings, techniques).persist() if techniques is not None else None
         return cls(corpus.sparkSession, i, k, p, lsa.build(i, components) if components else None)
 
-    @classmethod
-    def ingest(cls, spark: SparkSession, nvd_dir: str, attack_path: str, components: int | None = None) -> Engine:
+    @staticmethod
+    def corpus(spark: SparkSession, nvd_dir: str, attack_path: str) -> DataFrame:
+        """doc_id, source, text of feeds and bundle, without repeated ids."""
         for p in (nvd_dir, attack_path):
             if not files.exists(spark, p):
                 raise FileNotFoundError(p)
-        stix = nvd.read_stix(spark, attack_path)
-        corpus = dedup(nvd.read_nvd(spark, nvd_dir)).select("doc_id", "source", "text").unionByName(dedup(nvd.attack_corpus(stix)).select("doc_id", "source", "text"))
-        return cls.build(corpus.persist(), nvd.techniques(stix), components)
+        parts = (nvd.read_nvd(spark, nvd_dir), nvd.attack_corpus(nvd.read_stix(spark, attack_path)))
+        one, two = (dedup(x).select("doc_id", "source", "text") for x in parts)
+        return one.unionByName(two)
+
+    @classmethod
+    def ingest(cls, spark: SparkSession, nvd_dir: str, attack_path: str, components: int | None = None) -> Engine:
+        return cls.build(cls.corpus(spark, nvd_dir, attack_path).persist(), nvd.techniques(nvd.read_stix(spark, attack_path)), components)
 
     def save(self, path: str) -> None:
         self.index.save(f"{path}/index")
