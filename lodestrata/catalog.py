@@ -389,7 +389,7 @@ def sql() -> dict[str, str]:
         "bm25_weighted_skipping": _with(_top(_scores(WEIGHTED))),
         "tfidf_skipping": _with(_top(_scores(_Q3, "tfidf"))),
         "posting_blocks": _with(f"select term, block, count(*)::int as n, round(max(b), 6) as bm25, round(max(1 + ln(tf)), 6) as tfidf, round(max(b * w), 6) as bm25_weighted from ("
-                                f"select term, tf, code // 64 as block, case when source = 'attack' then {L.ATTACK_WEIGHT} else 1 end as w, tf * ({L.K1} + 1) / (tf + {L.K1} * (1 - {L.B} + {L.B} * dl / greatest(a, 1))) as b from post join num using (doc_id, source), coll) group by 1, 2",
+                                f"select term, tf, code // {blocks.SIZE} as block, case when source = 'attack' then {L.ATTACK_WEIGHT} else 1 end as w, tf * ({L.K1} + 1) / (tf + {L.K1} * (1 - {L.B} + {L.B} * dl / greatest(a, 1))) as b from post join num using (doc_id, source), coll) group by 1, 2",
                                 "num as materialized (select doc_id, source, dl, (row_number() over (order by source, dl, doc_id) - 1)::int as code from docs)"),
         "bool_and": _with(_flags("<thtion> and <erbl>")),
         "bool_or": _with(_flags("<erth> or <one>")),

@@ -13,8 +13,9 @@ from . import boolean
 from .index import Index, numbered
 from .rank import SCORERS, idf, top
 
-#: Documents of a block, the bits of a long; blocks that are scored first for a threshold.
-SIZE, PROBED = 64, 8
+#: Documents of a block: the fewer, the closer its bounds (64 at most, the bits of a long); blocks that are scored first
+#: for a threshold, and terms of a query up to which bounds are those of single documents.
+SIZE, PROBED, CLOSE = 16, 16, 16
 #: Scores are compared to so many digits.
 DIGITS = 6
 
@@ -107,13 +108,29 @@ def _scored(lists: DataFrame, scorer: str, avg_dl: float, source_weight: bool) -
     return x.groupBy((F.col("block") * SIZE + F.col("slot")).alias("code")).agg(F.sum(one).alias("score"))
 
 
+def _bounds(mine: DataFrame, few: list[str] | None, bound: str) -> DataFrame:
+    """block, n (postings of the query's terms), most: what a document of the block scores at most.
+
+    Bits tell which terms a document has, so a bound is the largest of its documents' sums of those terms' largest parts. Of a
+    query of more than CLOSE terms it is the sum for all terms that the block has.
+    """
+    part = F.col(bound) * F.col("factor")
+    if few is None or len(few) > CLOSE:
+        return mine.groupBy("block").agg(F.sum("n").alias("n"), F.sum(part).alias("most"))
+    of = lambda x, i: F.max(F.when(F.col("term") == few[i], x))
+    x = mine.groupBy("block").agg(F.sum("n").alias("n"), *(of(part, i).alias(f"w{i}") for i in range(len(few))), *(of(F.col("bits"), i).alias(f"b{i}") for i in range(len(few))))
+    has = lambda i, k: F.coalesce(F.col(f"b{i}"), F.lit(0).cast("long")).bitwiseAND(F.lit(1 << k).cast("long")) != 0
+    sums = [reduce(Column.__add__, (F.when(has(i, k), F.col(f"w{i}")).otherwise(0.0) for i in range(len(few)))) for k in range(SIZE)]
+    return x.select("block", "n", F.greatest(*sums).alias("most"))
+
+
 def search(blocks: Blocks, index: Index, weights: dict[str, float] | DataFrame, n: int = 10, scorer: str = "bm25", source_weight: bool = True) -> tuple[DataFrame, Read]:
     """rank.top() of rank.score(), from fewer postings: rank, doc_id, source, score, and what was read.
 
-    A block's documents score at most the sum of its terms' largest parts. The PROBED blocks of the largest
-    sums are scored first; the n-th best score there is a threshold that every result reaches. So
-    blocks whose sum is below it are never scored, and all others are, whole: the result is exact. Sums come from
-    a few columns of one row for each term and block; lists are read for the blocks that are left.
+    Blocks of the largest bounds (see _bounds) are scored first, PROBED or as many as results are wanted; the n-th best score
+    there is a threshold that every result reaches. So blocks whose bound is below it are never scored, and all
+    others are, whole: the result is exact. Bounds come from a few columns of one row for each term and
+    block; lists are read for the blocks that are left.
     """
     if scorer not in SCORERS:
         raise ValueError(f"unknown scorer {scorer!r}")
@@ -122,15 +139,15 @@ def search(blocks: Blocks, index: Index, weights: dict[str, float] | DataFrame,
     q, few = _weighed(index, weights)
     lists = blocks.lists.where(F.col("term").isin(few)) if few is not None else blocks.lists
     mine = lists.join(q, "term")
-    sums = mine.groupBy("block").agg(F.sum(F.col(f"{scorer}{'_weighted' if source_weight else ''}") * F.col("factor")).alias("most"), F.sum("n").alias("n"))
-    first = sums.orderBy(F.desc("most"), "block").limit(PROBED)
+    most = _bounds(mine, few, f"{scorer}{'_weighted' if source_weight else ''}")
+    first = most.orderBy(F.desc("most"), "block").limit(max(PROBED, n))
     seen = _scored(mine.join(F.broadcast(first.select("block")), "block", "left_semi"), scorer, index.avg_dl, source_weight)
     best = seen.orderBy(F.desc("score")).limit(n).collect()
     # what rounds to the same score may still win by its id
     least = best[-1]["score"] - 10.0**-DIGITS if len(best) == n else float("-inf")
     left = F.col("most") >= least
-    c = sums.agg(F.coalesce(F.sum(F.when(left, F.col("n"))), F.lit(0)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("of_p"), F.count_if(left).alias("b"), F.count("*").alias("of_b")).first()
-    found = _scored(mine.join(sums.where(left).select("block"), "block", "left_semi"), scorer, index.avg_dl, source_weight)
+    c = most.agg(F.coalesce(F.sum(F.when(left, F.col("n"))), F.lit(0)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("of_p"), F.count_if(left).alias("b"), F.count("*").alias("of_b")).first()
+    found = _scored(mine.join(most.where(left).select("block"), "block", "left_semi"), scorer, index.avg_dl, source_weight)
     # ids are needed to break ties, so those of all documents that reach the threshold are looked up
     found = found.where(F.col("score") >= least).join(blocks.docs.select("code", "doc_id", "source"), "code").select("doc_id", "source", "score")
     return top(found, n, DIGITS), Read(c["p"], c["of_p"], c["b"], c["of_b"])

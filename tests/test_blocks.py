@@ -32,7 +32,7 @@ def test_blocks_hold_all_postings(made):
         assert r.n == len(r.list) == bin(r.bits & (2**64 - 1)).count("1") <= blocks.SIZE
         for x in r.list:
             assert r.bits >> x.slot & 1
-            got[r.term, docs[r.block * 64 + x.slot].doc_id] = x.tf
+            got[r.term, docs[r.block * blocks.SIZE + x.slot].doc_id] = x.tf
     assert got == {(w, d): n for d, (_, t, _) in rows.items() for w, n in t.items()}
 
 
@@ -95,4 +95,8 @@ def test_corpus_skips_most(spark):
     w = dict.fromkeys(e.terms(catalog.QUERY), 1.0)
     got, read = blocks.search(e.blocks, e.index, w)
     assert list(map(tuple, got.collect())) == list(map(tuple, rank.top(rank.score(e.index, w)).collect()))
-    assert read.postings < read.of_postings
+    assert 2 * read.postings < read.of_postings
+    # more terms than CLOSE: looser bounds, the same result
+    many = {t.term: 1.0 for t in e.index.stats.where("df > 3").orderBy("term").limit(blocks.CLOSE + 4).collect()}
+    got, read = blocks.search(e.blocks, e.index, many, 5)
+    assert len(many) > blocks.CLOSE and list(map(tuple, got.collect())) == list(map(tuple, rank.top(rank.score(e.index, many), 5).collect()))
