@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_written: set[Written] = set()
 
 
 def folder(spark: SparkSession) -> str:
@@ -32,12 +33,25 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 class Written:
-    """A frame written as a table, so that a lost executor costs no more than the step at hand; drop() removes it."""
+    """A frame written as a table, so that a lost executor costs no more than the step at hand; drop() removes it, or else the program's end."""
 
     def __init__(self, df: DataFrame):
         self._spark, self._at = df.sparkSession, folder(df.sparkSession)
         df.write.parquet(self._at)
         self.df = self._spark.read.schema(df.schema).parquet(self._at)
 
+        _written.add(self)
+
     def drop(self) -> None:
+        _written.discard(self)
         drop(self._spark, self._at)
+
+
+@atexit.register
+def _forget() -> None:
+    """Remove what no one has dropped, if the session can still do so."""
+    for x in list(_written):
+        try:
+            x.drop()
+        except Exception:  # noqa: BLE001  the session may be gone with all that it could reach
+            pass

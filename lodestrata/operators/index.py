@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import analyzer
+from ..functions.scratch import Written
+
 
 def dedup(corpus: DataFrame) -> DataFrame:
     """One row a doc_id: that of the last feed, by file order and place where those are given, else the greatest of the rest."""
@@ -33,11 +35,13 @@ def numbered(values: DataFrame, to: str) -> DataFrame:
 
     Values are dealt by ranges and sorted within them; a range's first number is how many values
     those before it have. So the only window without a partition holds a row for each range, and no
-    beginning that many values share makes a task larger than the others.
+    beginning that many values share makes a task larger than the others. The ranges are written to a table: they are
+    found by sampling, so a lost one could not be computed again with the same numbers.
     """
     name = values.columns[0]
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = values.distinct().repartitionByRange(parts, name).sortWithinPartitions(name).select(name, F.monotonically_increasing_id().alias("at")).persist()
+    s = values.distinct().repartitionByRange(parts, name).sortWithinPartitions(name).select(name, F.monotonically_increasing_id().alias("at"))
+    s = Written(s).df
     part = F.shiftright("at", 33)
     sizes = s.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     first = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
