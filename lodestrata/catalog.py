@@ -14,6 +14,7 @@ from .functions import analyzer, scratch
 from .functions import lexicon as L
 from .functions.dialect import DUCK, SPARK
 from .operators import blocks, boolean, expand, index, lsa, rank, topics
+from .operators.generations import Generations
 from .plans.engine import Engine
 from .sources import files, nvd
 
@@ -214,6 +215,24 @@ def _saved(s, d):
     return Engine.load(s, at)
 
 
+def _generations(s, d):
+    """All documents and items as batch 0; in batch 1 each third document comes again, tagged, and of the others each seventh goes."""
+    key = "generations", s.sparkContext.applicationId, d
+    if key not in _cache:
+        n, c = int(s.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id")
+        g, doc, name = Generations.open(s, scratch.folder(s), n), _read(s, d, "documents"), F.concat(F.lit("CVE-2024-"), c.cast("string")).alias("doc_id")
+        g.append(corpus(s, d), 0)
+        g.append(doc.where(c % 3 == 1).select(name, F.lit("nvd").alias("source"), F.expr(f"{TAGGED} as text")), 1, doc.where(c % 7 == 0).select(name))
+        _cache[key] = g
+    return _cache[key]
+
+
+def _compacted(s, d):
+    g = _generations(s, d)
+    g.compact()
+    return g.summary()
+
+
 def _shares(n: int = N_TOPICS):
     """A made-up topic distribution of a document, with ties."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: ((F.col("doc_id") * 7 + i * 13) % 29).cast("double") / 29)
@@ -239,6 +258,11 @@ QUERIES = {
     "index_summary": lambda s, d: index.summary(_engine(s, d).index.stats),
     "postings_nested": lambda s, d: index.nested(_engine(s, d).index.postings).select("term", "df", F.array_join(F.transform("list", lambda x: F.concat(x["doc_id"], F.lit(","), x["tf"].cast("string"))), " ").alias("list")),
     "index_merge": lambda s, d: index.merge(*(index.postings(analyzer.terms(corpus(s, d).where(F.col("source") == x))) for x in ("nvd", "attack"))),
+    "generations_postings": lambda s, d: _generations(s, d).postings().select("term", "doc_id", "source", "tf"),
+    "generations_docs": lambda s, d: _generations(s, d).docs().select("doc_id", "source", "dl"),
+    "generations_bm25": lambda s, d: Engine(s, _generations(s, d).index()).search(QUERY, expanded=False),
+    "generations_bool": lambda s, d: Engine(s, _generations(s, d).index()).boolean("(thtion OR erth) AND NOT CVE-2021-1"),
+    "generations_compacted": _compacted,
     "term_postings": lambda s, d: _engine(s, d).index.of_terms(["thtion"]).select("doc_id", "tf", "source"),
     "bm25_top10": _search(QUERY),
     "bm25_no_source_weight": _search(QUERY, source_weight=False),
@@ -302,13 +326,14 @@ QUERIES = {
 # --- the same for DuckDB -------------------------------------------------------------------------
 
 _CORPUS = "select 'CVE-2024-' || doc_id as doc_id, 'nvd' as source, text from documents union all select 'T' || (1000 + item_id), 'attack', text from benchmark"
+_LATER = f"select 'CVE-2024-' || doc_id as doc_id, 'nvd' as source, case when doc_id % 3 = 1 then {TAGGED} else text end as text from documents where doc_id % 3 = 1 or doc_id % 7 <> 0 union all select 'T' || (1000 + item_id), 'attack', text from benchmark"
 _TECH = "select 'T' || (1000 + item_id) as tid, text[1:40] as name, text[1:40] || ' ' || text || '  Windows ' as full_text from benchmark"
 _TTERMS = analyzer.terms_sql("select 'T' || (1000 + item_id) as doc_id, text[1:40] || ' ' || text[1:500] || '  Windows' as text from benchmark", "query", "doc_id")
 _TAGGED = f"select doc_id::varchar as doc_id, 'nvd' as source, {TAGGED} as text from documents"
 
 
-def _with(body: str, *more: str) -> str:
-    parts = [f"corpus as materialized ({_CORPUS})", f"tok as materialized ({analyzer.terms_sql('select * from corpus')})",
+def _with(body: str, *more: str, docs: str = _CORPUS) -> str:
+    parts = [f"corpus as materialized ({docs})", f"tok as materialized ({analyzer.terms_sql('select * from corpus')})",
              "post as materialized (select term, doc_id, source, count(*)::int as tf from tok group by all)", "stat as materialized (select term, count(*) as df from post group by 1)",
              "docs as materialized (select c.doc_id, c.source, coalesce(n, 0)::int as dl from corpus c left join (select doc_id, count(*) as n from tok group by 1) using (doc_id))",
              "coll as (select count(*) as n, avg(dl) as a from docs)", *more]
@@ -379,6 +404,11 @@ def sql() -> dict[str, str]:
         "index_summary": _with("select count(*) as vocabulary, sum(df)::bigint as postings from stat"),
         "postings_nested": _with("select term, count(*) as df, string_agg(doc_id || ',' || tf, ' ' order by doc_id, tf) as list from post group by 1"),
         "index_merge": _with("select term, doc_id, source, tf from post"),
+        "generations_postings": _with("select term, doc_id, source, tf from post", docs=_LATER),
+        "generations_docs": _with("select * from docs", docs=_LATER),
+        "generations_bm25": _with(_top(_scores(_Q3)), docs=_LATER),
+        "generations_bool": _with("select doc_id from post group by 1 having (bool_or(term = 'thtion') or bool_or(term = 'erth')) and not bool_or(term = 'CVE-2021-1')", docs=_LATER),
+        "generations_compacted": _with("select 1 as generations, count(*) as vocabulary, sum(df)::bigint as postings from stat", docs=_LATER),
         "term_postings": _with("select doc_id, tf, source from post where term = 'thtion'"),
         "bm25_top10": _with(_top(_scores(_Q3))),
         "bm25_no_source_weight": _with(_top(_scores(_Q3, boost=False))),

@@ -1,25 +1,25 @@
-"""Keep an index's postings up to date from a stream of documents. An extension, not part of the batch engine."""
+"""Keep an index up to date from a stream of documents. An extension, not part of the batch engine."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import analyzer
-from ..operators.index import postings
+from ..operators.generations import Generations
+from ..operators.index import dedup
 
 
 def document_stream(spark: SparkSession, path: str, schema: str = "doc_id string, source string, text string") -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def index_stream(docs: DataFrame, out: str, checkpoint: str):
-    """Append each micro-batch's postings and lengths; a batch that is run again replaces its own folder."""
+def index_stream(docs: DataFrame, out: str, checkpoint: str, compact_every: int = 0):
+    """Each micro-batch is a generation of the index at out: documents of known ids are replaced, a batch that is run
+    again replaces itself. With compact_every, so many batches are merged into one."""
 
     def write(batch: DataFrame, number: int) -> None:
-        p = postings(analyzer.terms(batch)).persist()
-        p.write.mode("overwrite").parquet(f"{out}/postings/batch={number}")
-        n = p.groupBy("doc_id").agg({"tf": "sum"}).withColumnRenamed("sum(tf)", "dl")
-        batch.select("doc_id", "source").join(n, "doc_id", "left").na.fill(0).write.mode("overwrite").parquet(f"{out}/docs/batch={number}")
-        p.unpersist()
+        g = Generations.open(batch.sparkSession, out)
+        g.append(dedup(batch), number)
+        if compact_every and len(g.committed()) > compact_every:
+            g.compact()
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,7 +5,6 @@ import pytest
 
 from lodestrata import cli
 from lodestrata.operators import topics
-from lodestrata.streaming import incremental
 
 
 @pytest.fixture(scope="module")
@@ -44,13 +43,3 @@ def test_nothing_to_draw(spark):
     with pytest.warns(UserWarning, match="empty"):
         assert topics.heat_map(pairs.limit(0), tac, d, 2) is None
     assert [tuple(r) for r in topics.heat_map(pairs, tac, d, 2).collect()] == [("Impact", 1, 0)]
-
-
-def test_postings_from_a_stream(spark, tmp_path):
-    rows = [("CVE-1", "nvd", "heap heap smb"), ("CVE-2", "nvd", None), ("T1", "attack", "smb")]
-    for k, part in enumerate((rows[:2], rows[2:])):
-        spark.createDataFrame(part, "doc_id string, source string, text string").write.mode("append").parquet(str(tmp_path / "in"))
-        incremental.index_stream(incremental.document_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    got = sorted((r.term, r.doc_id, r.tf) for r in spark.read.parquet(str(tmp_path / "out/postings")).collect())
-    assert got == [("heap", "CVE-1", 2), ("smb", "CVE-1", 1), ("smb", "T1", 1)]
-    assert {r.doc_id: r.dl for r in spark.read.parquet(str(tmp_path / "out/docs")).collect()} == {"CVE-1": 3, "CVE-2": 0, "T1": 1}
