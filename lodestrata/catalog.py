@@ -156,8 +156,45 @@ def _vectors_many(s, d):
 
 def _lsa_many(s, d):
     """Every 50th document's first words as a query."""
-    q = _read(s, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
-    return lsa.search_many(_lsa_engine(s, d).semantic, q, 5)
+    return lsa.search_many(_lsa_engine(s, d).semantic, _first_words(s, d), 5)
+
+
+def _first_words(s, d):
+    """query_id, text: the first words of every 50th document."""
+    return _read(s, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
+
+
+def _rule_semantic(s, d):
+    """A model whose vectors are the table's: documents have those of their numbers, terms those of their codes, around again."""
+    key = "rule_semantic", s.sparkContext.applicationId, d
+    if key not in _cache:
+        v = _read(s, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vec"))
+        terms = index.dictionary(_engine(s, d).index.stats).join(v, F.col("word_code") % v.count() == F.col("v")).select("term", "vec")
+        at = scratch.folder(s)
+        lsa.save(lsa.Lsa(terms, v.select(F.concat(F.lit("CVE-2024-"), F.col("v").cast("string")).alias("doc_id"), "vec"), [1.0], 1.0), at)
+        _cache[key] = lsa.load(s, at)
+    return _cache[key]
+
+
+def _semantic_queries(s, d):
+    """Component by component, the vectors of the queries."""
+    return lsa.query_vectors(_rule_semantic(s, d), _first_words(s, d)).select("query_id", F.posexplode("vec").alias("j", "x")).select("query_id", "j", F.round("x", 6).alias("x"))
+
+
+def _semantic_saved(s, d):
+    m = _rule_semantic(s, d)
+    both = m.terms.select(F.lit("term").alias("kind"), F.col("term").alias("name"), "vec").union(m.docs.select(F.lit("document"), "doc_id", "vec"))
+    return both.select("kind", "name", F.size("vec").alias("n"), F.round(F.get("vec", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+def _semantic(query: str, **how):
+    return lambda s, d: Engine(s, _engine(s, d).index, semantic=_rule_semantic(s, d)).search(query, scorer="lsa", expanded=False, **how)
+
+
+def _lengths_file(s, d):
+    at = scratch.folder(s)
+    files.write_json(_engine(s, d).index.docs, at)
+    return files.read_json(s, at, "doc_id string, source string, dl int")
 
 
 def _html(s, d):
@@ -304,6 +341,7 @@ QUERIES = {
     "corpus_files": _corpus_files,
     "postings_files": _postings_files,
     "technique_map_file": _map_file,
+    "doc_lengths_file": _lengths_file,
     "map_totals": lambda s, d: expand.map_totals(_pairs(s, d)),
     "saved_bm25": lambda s, d: _saved(s, d).search(QUERY, expanded=False),
     "saved_dictionary": lambda s, d: _saved(s, d).index.dictionary(),
@@ -315,6 +353,10 @@ QUERIES = {
     "coherence_windows": _windows,
     "vector_many_top5": _vectors_many,
     "lsa_many_top5": _lsa_many,
+    "semantic_saved": _semantic_saved,
+    "semantic_query_vectors": _semantic_queries,
+    "semantic_top10": _semantic(QUERY),
+    "semantic_then_boolean": _semantic("thtion AND erble", top_n=50),
     "lsa_top10": lambda s, d: _lsa_engine(s, d).search(QUERY, scorer="lsa", expanded=False),
     "lda_topics": lambda s, d: topics.topic_terms(_topics(s, d)),
     "lda_doc_topics": lambda s, d: _topics(s, d).doc_topics,
@@ -329,6 +371,7 @@ _CORPUS = "select 'CVE-2024-' || doc_id as doc_id, 'nvd' as source, text from do
 _LATER = f"select 'CVE-2024-' || doc_id as doc_id, 'nvd' as source, case when doc_id % 3 = 1 then {TAGGED} else text end as text from documents where doc_id % 3 = 1 or doc_id % 7 <> 0 union all select 'T' || (1000 + item_id), 'attack', text from benchmark"
 _TECH = "select 'T' || (1000 + item_id) as tid, text[1:40] as name, text[1:40] || ' ' || text || '  Windows ' as full_text from benchmark"
 _TTERMS = analyzer.terms_sql("select 'T' || (1000 + item_id) as doc_id, text[1:40] || ' ' || text[1:500] || '  Windows' as text from benchmark", "query", "doc_id")
+_FIRST8 = "select doc_id, 'query' as source, array_to_string(string_split(text, ' ')[1:8], ' ') as text from documents where doc_id % 50 = 0"
 _TAGGED = f"select doc_id::varchar as doc_id, 'nvd' as source, {TAGGED} as text from documents"
 
 
@@ -356,6 +399,15 @@ def _top(scores: str, n: int = 10) -> str:
     return f"select row_number() over (order by score desc, doc_id)::int as rank, doc_id, source, score from ({scores}) order by score desc, doc_id limit {n}"
 
 
+_MODEL = ("dic as materialized (select term, (row_number() over (order by term) - 1)::int as word_code from stat)", "tv as materialized (select term, embedding as vec from dic join embeddings on vec_id = word_code % (select count(*) from embeddings))",
+          "tj as materialized (select term, unnest(range(len(vec)))::int as j, unnest(vec)::double as x from tv)")
+
+
+def _near(terms: tuple[str, ...]) -> str:
+    q = f"select list(x / (n + 1e-10) order by j) as q from (select *, sqrt(sum(x * x) over ()) as n from (select j, sum(x) as x from tj where term in {terms} group by 1))"
+    return f"select 'CVE-2024-' || vec_id as doc_id, 'nvd' as source, round(list_inner_product(embedding::double[], q), 6) as score from embeddings, ({q})"
+
+
 def _flags(having: str, universe: bool = False) -> str:
     t = lambda w: f"bool_or(term = '{w}')"
     for w in ("thtion", "erbl", "erth", "one", "thing", "eran", "eror"):
@@ -466,6 +518,12 @@ def sql() -> dict[str, str]:
             near as (select distinct x.word as a, y.word as b from top x join top y using (topic_id) where x.word < y.word)
             select '' as a, '' as b, sum(greatest(len(tokens) - 10, 0) + 1)::bigint as n from tc union all select word, word, count(*) from held group by 1
             union all select x.word, y.word, count(*) from held x join near on near.a = x.word join held y on y.word = near.b and y.doc_id = x.doc_id and y.w = x.w group by 1, 2""",
+        "semantic_saved": _with("select 'term' as kind, term as name, len(vec)::int as n, round(vec[1]::double, 6) as first from tv union all select 'document', 'CVE-2024-' || vec_id, len(embedding)::int, round(embedding[1]::double, 6) from embeddings", *_MODEL),
+        "semantic_query_vectors": _with("select query_id, j, round(x / (sqrt(sum(x * x) over (partition by query_id)) + 1e-10), 6) as x from (select doc_id as query_id, j, sum(x) as x from qt join tj using (term) group by 1, 2)", *_MODEL,
+                                        f"qt as materialized ({analyzer.terms_sql(_FIRST8, 'query')})"),
+        "semantic_top10": _with(_top(_near(("thtion", "erbl", "attion"))), *_MODEL),
+        "semantic_then_boolean": _with(_top(f"select doc_id, source, score from ({_top(_near(('thtion', 'erbl')), 50)}) where doc_id in ({_flags('<thtion> and <erbl>')})", 50), *_MODEL),
+        "doc_lengths_file": _with("select * from docs"),
         "vector_many_top5": "select query_id, vec_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from (select q.vec_id as query_id, v.vec_id, round(list_inner_product(v.embedding::double[], q.embedding::double[]), 6) as score from embeddings v, embeddings q where q.vec_id % 50 = 0)) where rank <= 5",
         "vector_top10": "select v.vec_id, round(list_inner_product(v.embedding::double[], q.embedding::double[]), 6) as score from embeddings v, embeddings q where q.vec_id = 0 order by score desc, v.vec_id limit 10",
     }

@@ -56,6 +56,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_json wrote: lengths, topics, or other rows of a schema; a line that does not fit is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def write_technique_map(pairs: DataFrame, path: str) -> None:
     """One JSON object of technique to its sorted advisories, as one line: for export, a map is one row."""
     g = pairs.groupBy("tid").agg(F.array_sort(F.collect_set("cve_id")).alias("cves"))
