@@ -256,8 +256,8 @@ def _generations(s, d):
     """All documents and items as batch 0; in batch 1 each third document comes again, tagged, and of the others each seventh goes."""
     key = "generations", s.sparkContext.applicationId, d
     if key not in _cache:
-        n, c = int(s.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id")
-        g, doc, name = Generations.open(s, scratch.folder(s), n), _read(s, d, "documents"), F.concat(F.lit("CVE-2024-"), c.cast("string")).alias("doc_id")
+        c = F.col("doc_id")
+        g, doc, name = Generations.open(s, scratch.folder(s)), _read(s, d, "documents"), F.concat(F.lit("CVE-2024-"), c.cast("string")).alias("doc_id")
         g.append(corpus(s, d), 0)
         g.append(doc.where(c % 3 == 1).select(name, F.lit("nvd").alias("source"), F.expr(f"{TAGGED} as text")), 1, doc.where(c % 7 == 0).select(name))
         _cache[key] = g

@@ -1,4 +1,4 @@
-"""Command line: build, lsa, build-map, search, boolean, expand, topics with the heat map."""
+"""Command line: build, add, merge, lsa, build-map, search, boolean, expand, topics with the heat map."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import lexicon as L
 from .operators import boolean, expand, lsa, rank, topics
+from .operators.generations import Generations
 from .operators.index import dedup
 from .plans.engine import Engine
 from .sources import files, nvd
@@ -24,6 +25,10 @@ def main(argv: list[str] | None = None) -> None:
     b.add_argument("--skip-ingest", action="store_true", help="take the corpus of the last build")
     b.add_argument("--skip-index", action="store_true", help="write the corpus only")
     b.add_argument("--shard-size", type=int, default=files.SHARD_DOCUMENTS)
+    n = sub.add_parser("add")
+    n.add_argument("--nvd", required=True, help="feeds whose documents are added, or replace those of the same ids")
+    g = sub.add_parser("merge")
+    g.add_argument("--keep", action="store_true", help="keep the merged generations")
     v = sub.add_parser("lsa")
     v.add_argument("--components", type=int, default=300)
     s = sub.add_parser("search")
@@ -48,7 +53,7 @@ def main(argv: list[str] | None = None) -> None:
     m = sub.add_parser("build-map")
     m.add_argument("--attack", required=True)
     m.add_argument("--min-overlap", type=int, default=L.MIN_OVERLAP)
-    for x in (b, s, q, e, t, m, v):
+    for x in (b, n, g, s, q, e, t, m, v):
         x.add_argument("--index", required=True)
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
@@ -61,6 +66,16 @@ def main(argv: list[str] | None = None) -> None:
         if not a.skip_index:
             Engine.build(files.read_corpus(spark, at), nvd.techniques(nvd.read_stix(spark, a.attack)), a.components).save(a.index)
         return
+    if a.do == "add":
+        Engine.add(spark, a.index, nvd.read_nvd(spark, a.nvd).transform(dedup).select("doc_id", "source", "text")).summary().show()
+        return
+    if a.do == "merge":
+        if not files.exists(spark, f"{a.index}/generations"):
+            raise FileNotFoundError(f"no generations in {a.index}")
+        g = Generations.open(spark, f"{a.index}/generations")
+        g.compact(a.keep)
+        g.summary().show()
+        return
     if a.do == "topics":
         corpus = nvd.read_nvd(spark, a.nvd).transform(dedup).select("doc_id", "source", "text")
         tokens = topics.topic_corpus(corpus, a.min_doc_len).persist()

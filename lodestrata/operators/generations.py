@@ -48,17 +48,22 @@ class Generations:
     slices: int
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, buckets: int = 64, slices: int = 16) -> Generations:
-        """The index at an absolute path that all executors share. A new one takes buckets and slices, another keeps its own."""
+    def open(cls, spark: SparkSession, path: str, buckets: int | None = None, slices: int = 16) -> Generations:
+        """The index at a path that all executors share. A new one takes buckets (as many as the session's shuffle
+        partitions, if none are given) and slices, another keeps its own."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        path = fs.makeQualified(at).toString()
         if not files.exists(spark, f"{path}/layout"):
+            buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
             spark.createDataFrame([(buckets, slices)], "buckets int, slices int").coalesce(1).write.json(f"{path}/layout")
         n = spark.read.schema("buckets int, slices int").json(f"{path}/layout").first()
         g = cls(spark, path, n["buckets"], n["slices"])
         for name, (columns, keys, order) in TABLES.items():
             spark.sql(f"create table if not exists {g._table(name)} ({columns}, generation int) using parquet options ('partitionOverwriteMode' 'dynamic') partitioned by (generation) "
                       f"clustered by ({keys}) sorted by ({order}) into {g.buckets} buckets location '{path}/{name}'")
-            if files.exists(spark, f"{path}/{name}"):
-                spark.sql(f"msck repair table {g._table(name)} sync partitions")
+            fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
+            spark.sql(f"msck repair table {g._table(name)} sync partitions")
         return g
 
     def _table(self, name: str) -> str:
@@ -68,6 +73,10 @@ class Generations:
         """Generations that are whole, oldest first."""
         return sorted(int(r[0].split("=")[1]) for r in self.spark.sql(f"show partitions {self._table('docs')}").collect())
 
+    def next_batch(self) -> int:
+        """The number behind those of all batches so far."""
+        return self.committed()[-1] // 2 + 1 if self.committed() else 0
+
     def _rows(self, name: str, below: int | None = None) -> DataFrame:
         some = [g for g in self.committed() if below is None or g < below]
         return self.spark.table(self._table(name)).where(F.col("generation").isin(some))
@@ -114,6 +123,13 @@ class Generations:
         counts.drop()
         dead.drop()
 
+    def take(self, index: Index) -> None:
+        """An index that was built at once, as batch 0 of a new one."""
+        p = index.postings.select("term", "doc_id", "source", "tf")
+        self._write("forward", p, 0)
+        self._write("postings", p.withColumn("slice", self._slice()), 0)
+        self._write("docs", index.docs, 0)
+
     def compact(self, keep: bool = False) -> int | None:
         """Write all generations as one, without rows of what is gone, and drop them unless keep; the new one's number.
 

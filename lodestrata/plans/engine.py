@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import analyzer
+from ..functions.scratch import drop
 from ..operators import blocks, boolean, expand, lsa, rank
+from ..operators.generations import Generations
 from ..operators.index import Index, dedup
 from ..sources import files, nvd
 
@@ -50,7 +52,9 @@ class Engine:
         return cls.build(cls.corpus(spark, nvd_dir, attack_path).persist(), nvd.techniques(nvd.read_stix(spark, attack_path)), components)
 
     def save(self, path: str) -> None:
+        """Write all tables to path, whose generations, if any, are of an earlier build and go. The engine must not read those."""
         self.index.save(f"{path}/index")
+        drop(self.spark, f"{path}/generations")
         if self.keywords is not None:
             self.keywords.write.mode("overwrite").parquet(f"{path}/kw_technique")
             self.pairs.write.mode("overwrite").parquet(f"{path}/technique_cve")
@@ -64,13 +68,27 @@ class Engine:
         if self.blocks is not None:
             self.blocks.release()
 
+    @staticmethod
+    def add(spark: SparkSession, path: str, corpus: DataFrame, removed: DataFrame | None = None) -> Generations:
+        """Add documents (doc_id, source, text; unique ids) to what was saved, replace those of the same ids, and remove
+        others (doc_id). From then on load() takes the index from these generations, and has no blocks; semantic vectors
+        and the technique map are those of the last build."""
+        g = Generations.open(spark, f"{path}/generations")
+        if not g.committed():
+            g.take(Index.load(spark, f"{path}/index"))
+        g.append(corpus, g.next_batch(), removed)
+        return g
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Engine:
         if not files.exists(spark, f"{path}/index"):
             raise FileNotFoundError(f"no index in {path}")
         have = lambda n: spark.read.parquet(f"{path}/{n}") if files.exists(spark, f"{path}/{n}") else None
-        return cls(spark, Index.load(spark, f"{path}/index"), have("kw_technique"), have("technique_cve"), lsa.load(spark, f"{path}/lsa") if files.exists(spark, f"{path}/lsa") else None,
-                   blocks.Blocks.load(spark, f"{path}/blocks") if files.exists(spark, f"{path}/blocks") else None)
+        if files.exists(spark, f"{path}/generations") and (g := Generations.open(spark, f"{path}/generations")).committed():
+            i, b = g.index(), None
+        else:
+            i, b = Index.load(spark, f"{path}/index"), blocks.Blocks.load(spark, f"{path}/blocks") if files.exists(spark, f"{path}/blocks") else None
+        return cls(spark, i, have("kw_technique"), have("technique_cve"), lsa.load(spark, f"{path}/lsa") if files.exists(spark, f"{path}/lsa") else None, b)
 
     def terms(self, query: str, acronyms: bool = False) -> list[str]:
         """Terms of a query, in order, repeats kept; acronyms as in documents only if asked for. No Spark job."""

@@ -35,6 +35,34 @@ def test_build_in_steps(spark, feeds, tmp_path, capsys):
         assert want in capsys.readouterr().out
 
 
+def test_add_and_merge(spark, feeds, tmp_path, capsys):
+    at = str(tmp_path / "ix")
+    build = ["build", "--nvd", str(feeds / "nvd"), "--attack", str(feeds / "bundle.json"), "--index", at]
+    cli.main(build)
+    with pytest.raises(FileNotFoundError, match="no generations"):
+        cli.main(["merge", "--index", at])
+    v = [{"cve": {"id": f"CVE-2024-{k}", "descriptions": [{"lang": "en", "value": text}]}} for k, text in ((0, "kernel smb"), (9, "heap kernel"))]
+    (tmp_path / "later").mkdir()
+    (tmp_path / "later/b.json").write_text(json.dumps({"vulnerabilities": v}))
+
+    def found(query):
+        capsys.readouterr()
+        cli.main(["boolean", query, "--no-rank", "--index", at])
+        return {x for x in capsys.readouterr().out.replace("|", " ").split() if x[:4] == "CVE-" or x[:2] == "T1"}
+
+    assert found("heap OR watch") == {"CVE-2024-0", "CVE-2024-2", "CVE-2024-3", "T1021"}
+    cli.main(["add", "--nvd", str(tmp_path / "later"), "--index", at])
+    left = {"CVE-2024-9", "CVE-2024-2", "CVE-2024-3", "T1021"}
+    assert found("heap OR watch") == left and found("kernel") == {"CVE-2024-0", "CVE-2024-9"}
+    for keep, parts in ((["--keep"], {"0", "2", "3"}), ([], {"3"})):
+        cli.main(["merge", *keep, "--index", at])
+        assert {x.name.split("=")[1] for x in (tmp_path / "ix/generations/docs").glob("generation=*")} == parts and found("heap OR watch") == left
+    cli.main(["build", "--skip-ingest", *build[1:]])
+    assert found("heap OR watch") == {"CVE-2024-0", "CVE-2024-2", "CVE-2024-3", "T1021"}
+    cli.main(["add", "--nvd", str(tmp_path / "later"), "--index", at])
+    assert found("kernel") == {"CVE-2024-0", "CVE-2024-9"}
+
+
 def test_nothing_to_draw(spark):
     pairs, none = spark.createDataFrame([("T1", "C1")], "tid string, cve_id string"), spark.createDataFrame([], "tid string, tactic string")
     tac, d = spark.createDataFrame([("T1", "Impact")], "tid string, tactic string"), spark.createDataFrame([("c1", 0)], "doc_id string, dominant_topic int")
