@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -13,16 +14,19 @@ from pyspark.sql import functions as F
 
 #: Rounds over a document at most, and the mean change of its topics' weights at which they end.
 ROUNDS, SETTLED = 50, 1e-3
-#: Words of a block of sums; words of documents that a task looks at together; steps of a pass at most.
-BLOCK, TOGETHER, STEPS = 4096, 50_000, 64
+#: Words of a block of sums; words of documents that a task takes at once, and of a padded part of those; steps of a pass at most.
+BLOCK, TOGETHER, PADDED, STEPS = 4096, 200_000, 50_000, 64
 _TINY = 1e-100
+#: (x + k) (x + 9 - k) is x (x + 9) + one of these, for k up to 4.
+_FACTORS = (0.0, 8.0, 14.0, 18.0, 20.0)
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
     """Derivative of ln gamma, from the series at x + 10."""
     y = x + 10.0
     z = 1 / (y * y)
-    return np.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132)))) - sum(1 / (x + k) for k in range(10))
+    t = x * (x + 9.0)
+    return np.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132)))) - (2 * x + 9.0) * sum(1 / (t + c) for c in _FACTORS)
 
 
 def trigamma(x: np.ndarray) -> np.ndarray:
@@ -34,7 +38,8 @@ def trigamma(x: np.ndarray) -> np.ndarray:
 def ln_gamma(x: np.ndarray) -> np.ndarray:
     y = x + 10.0
     z = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - sum(np.log(x + k) for k in range(10))
+    t = x * (x + 9.0)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - sum(np.log(t + c) for c in _FACTORS)
 
 
 def expected_logs(x: np.ndarray) -> np.ndarray:
@@ -51,6 +56,11 @@ class Model:
     #: Bound on the log-likelihood of a batch's words, by word, as each step began.
     history: list[float] = field(default_factory=list)
 
+    @cached_property
+    def logs(self) -> np.ndarray:
+        """Expected logarithms of the topics' word shares, which a step needs three times; topic by topic, to keep to the processor's caches."""
+        return np.array([expected_logs(w[None])[0] for w in self.weights]).reshape(self.weights.shape)
+
     @property
     def shares(self) -> np.ndarray:
         return self.weights / self.weights.sum(1, keepdims=True)
@@ -73,32 +83,62 @@ def bags(tokens: DataFrame, words: list[str], batches: int = 1, seed: int = 42)
     return d.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(batches)).cast("int").alias("batch"), "ids", "counts").sortWithinPartitions("batch")
 
 
-def infer(ids: list[np.ndarray], counts: list[np.ndarray], beta: np.ndarray, prior: float) -> np.ndarray:
-    """Topic weights of some documents (a row each), by fixed-point rounds over all of them at once.
+def _padded(ids: list[np.ndarray], counts: list[np.ndarray]):
+    """Documents with words, in parts of much the same length: their places, and codes and counts as matrices, a row each.
 
-    beta: exponentials of expected log word shares, topics by words. A document that has settled is left out
-    of further rounds; one without words keeps the prior.
+    A shorter row ends in code 0 with count 0, which adds nothing.
+    """
+    size = np.array([len(i) for i in ids], int)
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] > 0]
+    lo = 0
+    while lo < len(order):
+        n = size[order[lo:]]
+        # sizes rise, so both conditions hold up to some place
+        fits = (n <= 16 + 1.25 * n[0]) & (n * np.arange(1, len(n) + 1) <= PADDED)
+        rows = order[lo:lo + max(1, int(fits.sum()))]
+        n = size[rows]
+        held = np.arange(n[-1]) < n[:, None]
+        code, count = np.zeros(held.shape, int), np.zeros(held.shape)
+        code[held], count[held] = np.concatenate([ids[k] for k in rows]), np.concatenate([counts[k] for k in rows])
+        yield rows, code, count
+        lo += len(rows)
+
+
+def _settled(words: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
+    """Topic weights of some documents by fixed-point rounds: words is documents by words by topics, n the words' counts.
+
+    A document that has settled is left out of further rounds.
     """
-    out = np.full((len(ids), len(beta)), 1.0)
-    out[[k for k, i in enumerate(ids) if not len(i)]] = prior
-    left = np.array([k for k, i in enumerate(ids) if len(i)], int)
+    out = np.full((len(n), words.shape[2]), 1.0)
+    left = held = np.arange(len(n))
     for _ in range(ROUNDS):
         if not len(left):
             break
-        if _ == 0 or 2 * len(left) <= seen:
-            seen, size = len(left), np.array([len(ids[k]) for k in left])
-            flat, n = np.concatenate([ids[k] for k in left]), np.concatenate([counts[k] for k in left]).astype(float)
-            words, starts, held = beta[:, flat].T, np.cumsum(size) - size, left
+        if 2 * len(left) <= len(held):
+            at = np.searchsorted(held, left)
+            words, n, held = words[at], n[at], left
         theta = np.exp(expected_logs(out[held]))
-        each = np.repeat(theta, size, 0)
-        new = prior + theta * np.add.reduceat((n / ((each * words).sum(1) + _TINY))[:, None] * words, starts, 0)
-        moved = np.isin(held, left)
+        norm = np.matmul(words, theta[:, :, None])[:, :, 0] + _TINY
+        new = prior + theta * np.matmul((n / norm)[:, None, :], words)[:, 0]
+        moved = np.isin(held, left, assume_unique=True)
         change = np.abs(new - out[held]).mean(1)
         out[held[moved]] = new[moved]
         left = held[moved & (change >= SETTLED)]
     return out
 
 
+def infer(ids: list[np.ndarray], counts: list[np.ndarray], beta: np.ndarray, prior: float) -> np.ndarray:
+    """Topic weights of some documents (a row each).
+
+    beta: exponentials of expected log word shares, words by topics. A document without words keeps the prior.
+    """
+    out = np.full((len(ids), beta.shape[1]), prior)
+    for rows, code, n in _padded(ids, counts):
+        out[rows] = _settled(beta[code], n, prior)
+    return out
+
+
 def _groups(b: pa.RecordBatch, first: int):
     """ids and counts of a batch's documents, some TOGETHER words at a time, with the place of the first one."""
     i, c = b.column(first), b.column(first + 1)
@@ -111,55 +151,75 @@ def _groups(b: pa.RecordBatch, first: int):
 
 
 def _summed(t: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(z, np.float64) for z in t.column("z").to_pylist())
-    return pa.table({"block": t.column("block").slice(0, 1), "z": pa.array([total.tobytes()], pa.binary())})
+    """Sums of one block's rows by word; or, of block -1, of the figures about documents."""
+    at, z = (np.concatenate([np.frombuffer(x, k) for x in t.column(c).to_pylist()]) for c, k in (("at", np.int32), ("z", np.float64)))
+    z = z.reshape(len(at), -1)
+    words, place = np.unique(at, return_inverse=True)
+    total = np.zeros((len(words), z.shape[1]))
+    np.add.at(total, place, z)
+    return pa.table({"block": t.column("block").slice(0, 1), "at": pa.array([words.astype(np.int32).tobytes()], pa.binary()), "z": pa.array([total.tobytes()], pa.binary())})
 
 
 def statistics(docs: DataFrame, model: Model) -> tuple[np.ndarray, float, int, int]:
     """Expected counts (topics by words), the documents' part of the bound, and numbers of documents and words.
 
-    A task adds its documents' counts up, in one matrix of topics by words, and gives the blocks of it
-    that it touched; blocks are added up by block, so the driver gets each once.
+    As many tasks as there are cores add their documents' counts up, each in one matrix of words by topics, and give
+    the rows of the words that they had, by block; they are added up by block, so the driver gets each once.
     """
     topics, size = model.weights.shape
-    shared = docs.sparkSession.sparkContext.broadcast(np.exp(expected_logs(model.weights)))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(np.ascontiguousarray(np.exp(model.logs).T))
     prior = model.topic_prior
 
     def run(batches):
-        beta, total, about = shared.value, np.zeros((topics, size)), np.zeros(3)
+        beta, total, seen, about = shared.value, np.zeros((size, topics)), np.zeros(size, bool), np.zeros(3)
         for b in batches:
             for _, ids, counts in _groups(b, 0):
-                gamma = infer(ids, counts, beta, prior)
-                logs = expected_logs(gamma)
-                flat, n = np.concatenate(ids), np.concatenate(counts).astype(float)
-                each = np.repeat(np.exp(logs), [len(i) for i in ids], 0)
-                norm = (each * beta[:, flat].T).sum(1) + _TINY
-                words, at = np.unique(flat, return_inverse=True)
-                for k in range(topics):
-                    total[k, words] += np.bincount(at, each[:, k] * n / norm, len(words))
-                own = ((prior - gamma) * logs + ln_gamma(gamma)).sum() - ln_gamma(gamma.sum(1)).sum() + len(ids) * (ln_gamma(np.array(topics * prior)) - topics * ln_gamma(np.array(prior)))
-                about += (float(n @ np.log(norm) + own), len(ids), n.sum())
+                bare = sum(not len(i) for i in ids)
+                parts = [np.full((bare, topics), prior)]
+                for _, code, n in _padded(ids, counts):
+                    words = beta[code]
+                    gamma = _settled(words, n, prior)
+                    theta = np.exp(expected_logs(gamma))
+                    norm = np.matmul(words, theta[:, :, None])[:, :, 0] + _TINY
+                    own = n > 0
+                    flat, each = code[own], (n / norm)[own][:, None] * np.repeat(theta, own.sum(1), 0)
+                    order = np.argsort(flat, kind="stable")
+                    starts = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0])
+                    found = flat[order[starts]]
+                    total[found] += np.add.reduceat(each[order], starts, 0)
+                    seen[found] = True
+                    about[0] += (n * np.log(norm)).sum()
+                    about[2] += n.sum()
+                    parts.append(gamma)
+                gamma = np.concatenate(parts)
+                about[0] += ((prior - gamma) * expected_logs(gamma) + ln_gamma(gamma)).sum() - ln_gamma(gamma.sum(1)).sum() + len(ids) * (ln_gamma(np.array(topics * prior)) - topics * ln_gamma(np.array(prior)))
+                about[1] += len(ids)
         if about[1]:
-            touched = [k for k in range(0, size, BLOCK) if total[:, k:k + BLOCK].any()]
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *touched], pa.int32()), pa.array([about.tobytes(), *(total[:, k:k + BLOCK].tobytes() for k in touched)], pa.binary())], names=["block", "z"])
-
-    out, about = np.zeros((topics, size)), np.zeros(3)
-    sums = docs.select("ids", "counts").mapInArrow(run, "block int, z binary").groupBy("block").applyInArrow(_summed, "block int, z binary")
-    for r in sums.toLocalIterator():
+            words = np.flatnonzero(seen)
+            cuts = np.searchsorted(words, np.arange(0, size + BLOCK, BLOCK))
+            rows = [(k, words[x:y]) for k, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *(k for k, _ in rows)], pa.int32()), pa.array([np.zeros(1, np.int32).tobytes(), *((w - k * BLOCK).astype(np.int32).tobytes() for k, w in rows)], pa.binary()),
+                                              pa.array([about.tobytes(), *(total[w].tobytes() for _, w in rows)], pa.binary())], names=["block", "at", "z"])
+
+    kinds = "block int, at binary, z binary"
+    out, about = np.zeros((size, topics)), np.zeros(3)
+    sums = docs.select("ids", "counts").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(run, kinds).groupBy("block").applyInArrow(_summed, kinds)
+    for r in sums.collect():
         z = np.frombuffer(r["z"], np.float64)
         if r["block"] < 0:
             about = z
         else:
-            out[:, r["block"]:r["block"] + BLOCK] = z.reshape(topics, -1)
+            out[r["block"] * BLOCK + np.frombuffer(r["at"], np.int32)] = z.reshape(-1, topics)
     out *= shared.value
     shared.destroy()
-    return out, float(about[0]), int(about[1]), int(about[2])
+    return np.ascontiguousarray(out.T), float(about[0]), int(about[1]), int(about[2])
 
 
 def topics_bound(model: Model) -> float:
     """The topics' part of the bound."""
     w, e = model.weights, model.word_prior
-    return float(((e - w) * expected_logs(w) + ln_gamma(w)).sum() - len(w) * ln_gamma(e).sum() + len(w) * ln_gamma(e.sum()) - ln_gamma(w.sum(1)).sum())
+    return float(sum(((e - x) * y + ln_gamma(x)).sum() for x, y in zip(w, model.logs)) - len(w) * ln_gamma(e).sum() + len(w) * ln_gamma(e.sum()) - ln_gamma(w.sum(1)).sum())
 
 
 def bound(docs: DataFrame, model: Model) -> float:
@@ -167,14 +227,14 @@ def bound(docs: DataFrame, model: Model) -> float:
     return statistics(docs, model)[1] + topics_bound(model)
 
 
-def newton_step(prior: np.ndarray, weights: np.ndarray, rate: float) -> np.ndarray:
+def newton_step(prior: np.ndarray, weights: np.ndarray, rate: float, logs: np.ndarray | None = None) -> np.ndarray:
     """A share of a Newton step of the word prior towards the likeliest one for the topics (Minka 2000).
 
     The Hessian is diagonal but for a constant, so the step takes linear time. A step that would leave the
-    positive numbers is not made.
+    positive numbers is not made. logs: expected_logs(weights), if known.
     """
     n = len(weights)
-    logs = expected_logs(weights).mean(0)
+    logs = (expected_logs(weights) if logs is None else logs).mean(0)
     slope = n * (digamma(prior.sum()) - digamma(prior) + logs)
     curve, shared = -n * trigamma(prior), n * trigamma(prior.sum())
     step = (slope - (slope / curve).sum() / (1 / shared + (1 / curve).sum())) / curve
@@ -194,7 +254,10 @@ def step(model: Model, found: tuple[np.ndarray, float, int, int], n_docs: int, k
     weights = (1 - rate) * model.weights + rate * (model.word_prior + n_docs / docs * counts)
     # the batch's share of the topics' part
     history = [*model.history, (part + docs / n_docs * topics_bound(model)) / max(1, words)]
-    return Model(weights, model.topic_prior, newton_step(model.word_prior, weights, rate) if learn else model.word_prior, history)
+    new = Model(weights, model.topic_prior, model.word_prior, history)
+    if learn:
+        new.word_prior = newton_step(model.word_prior, weights, rate, new.logs)
+    return new
 
 
 def fit(docs: DataFrame, n_words: int, n_topics: int = 20, passes: int = 5, batches: int = 1, seed: int = 42, learn: bool = True) -> Model:
@@ -213,7 +276,7 @@ def fit(docs: DataFrame, n_words: int, n_topics: int = 20, passes: int = 5, batc
 
 def document_topics(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, p: shares of the topics in each document of docs (see bags)."""
-    shared = docs.sparkSession.sparkContext.broadcast((np.exp(expected_logs(model.weights)), model.topic_prior))
+    shared = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(np.exp(model.logs).T), model.topic_prior))
 
     def run(batches):
         for b in batches:

@@ -83,6 +83,23 @@ def test_bound_rises_and_topics_are_found(spark):
     assert len({own[str(k)] for k in range(0, 240, 3)}) == 1 and len(set(own[str(k)] for k in range(3))) == 3 and own["empty"] == 0
 
 
+def test_a_step_takes_as_many_tasks_as_cores(spark):
+    """Each task sends a matrix's rows, so their number must not grow with the partitions; rows of words that no document has stay away."""
+    rng = random.Random(5)
+    rows = [(sorted(rng.sample(range(9_000), 3)), [1, 2, 3]) for _ in range(100)] + [([], [])]
+    docs, m = spark.createDataFrame(rows, "ids array<int>, counts array<int>").repartition(50), lda.start(4, 9_000, 1)
+    sc = spark.sparkContext
+    sc.setJobGroup("one step", "")
+    counts, _, n, words = lda.statistics(docs, m)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = sc.statusTracker().getJobIdsForGroup("one step")
+    sizes = [sc.statusTracker().getStageInfo(k).numTasks for j in jobs for k in sc.statusTracker().getJobInfo(j).stageIds if sc.statusTracker().getStageInfo(k)]
+    # the other stages of a step deal out the rows and add them up
+    assert 50 not in sizes and jobs
+    assert (n, words) == (101, 600) and abs(counts.sum() - 600) < 1e-6 and set(np.flatnonzero(counts.any(0))) == {i for ids, _ in rows for i in ids}
+    assert [len(r) for r, _, _ in lda._padded([np.arange(k) for k in (0, 3, 400, 3, 0)], [np.ones(k) for k in (0, 3, 400, 3, 0)])] == [2, 1]
+
+
 def test_learned_prior_raises_the_likelihood_of_topics(spark):
     rng = np.random.default_rng(1)
     weights = rng.gamma(5.0, 1.0, (20, 40)) * np.linspace(0.2, 8, 40)
