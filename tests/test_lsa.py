@@ -59,6 +59,21 @@ def test_a_task_holds_one_block(spark, monkeypatch):
     assert len(seen) == 2 and all(size <= 5_000 and blocks > 3 and most < blocks and row * 15 * 8 < 5_000 for size, blocks, most, row in seen)
 
 
+def test_blocks_do_not_grow_with_partitions(spark, monkeypatch):
+    """Each block takes all vectors of the shorter side, so blocks are as many as memory asks for, or cores where little is moved."""
+    seen, made_by = [], lsa._products
+    monkeypatch.setattr(lsa, "_products", lambda cells, dense, rows, width, blocks, back: seen.append(blocks) or made_by(cells, dense, rows, width, blocks, back))
+    ix, was = made(spark, 60, 200, 9), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        lsa.build(ix, 5, iterations=1)
+        monkeypatch.setattr(lsa, "MOVED_BYTES", 2 * 8 * 15 * 60)
+        lsa.build(ix, 5, iterations=1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert max(seen[:2]) <= spark.sparkContext.defaultParallelism < 40 and seen[2:] == [2, 2]
+
+
 def test_many_queries_equal_single_ones(spark):
     words = [w for a in "bdfgk" for b in "aou" for c in "bdgkmn" if analyzer.analyze(w := f"{a}{b}{c}zork", "query") == [w]]
     assert len(words) >= 80
