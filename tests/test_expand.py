@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestrata.operators import expand
@@ -44,3 +46,16 @@ def test_both_ways_give_one_map(spark, monkeypatch):
     held = rows()
     monkeypatch.setattr(expand, "BROADCAST_TERMS", 10)
     assert held == rows() and held
+
+
+def test_matches_that_a_task_holds_are_bounded(monkeypatch):
+    """A batch of sets whose terms all techniques have is counted in parts: rows alone do not tell what is held."""
+    starts = np.arange(0, 51 * 40, 40)  # each of 50 terms is 40 techniques'
+    b = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(300)]), pa.array([list(range(k % 51)) for k in range(300)], pa.list_(pa.int32()))], names=["a", "codes"])
+    monkeypatch.setattr(expand, "MATCHES", 5_000)
+    got = list(expand._parts(b.slice(7), starts, 40))
+    assert [lo for lo, _ in got] == [0, *(hi for _, hi in got[:-1])] and got[-1][1] == 293
+    sizes = [sum((7 + k) % 51 * 40 for k in range(lo, hi)) for lo, hi in got]
+    assert max(sizes) <= 5_000 and min(sizes[:-1]) > 2_500
+    monkeypatch.setattr(expand, "MATCHES", 1)
+    assert all(sum((7 + k) % 51 for k in range(lo, hi)) == 0 or hi == lo + 1 for lo, hi in expand._parts(b.slice(7), starts, 40))
