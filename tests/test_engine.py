@@ -260,6 +260,16 @@ def test_text_layouts(spark, micro, tmp_path):
     assert sorted(map(tuple, files.read_technique_map(spark, str(tmp_path / "m.json")).collect())) == [("T1", "C1"), ("T1", "C2")]
 
 
+def test_a_map_is_not_one_row(spark, tmp_path):
+    """Techniques are written and read apart, so no task has the whole map; one without pairs is an empty map."""
+    p = spark.createDataFrame([(f"T{k % 9}", f"C{k}") for k in range(90)], "tid string, cve_id string")
+    files.write_technique_map(p, str(tmp_path / "m"))
+    assert spark.read.text(str(tmp_path / "m")).count() == len([x for x in (tmp_path / "m").glob("part-*") if x.stat().st_size]) == 9
+    assert sorted(map(tuple, files.read_technique_map(spark, str(tmp_path / "m")).collect())) == sorted(map(tuple, p.collect()))
+    files.write_technique_map(p.limit(0), str(tmp_path / "n"))
+    assert files.read_technique_map(spark, str(tmp_path / "n")).count() == 0
+
+
 def test_map_file_and_broken_feeds(spark, feeds, tmp_path):
     p = spark.createDataFrame([("T1", "C2"), ("T1", "C1"), ("T2", "C1"), ("T1", "C1")], "tid string, cve_id string")
     files.write_technique_map(p, str(tmp_path / "m"))
