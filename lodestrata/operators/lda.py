@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rounds over a document at most, and the mean change of its topics' weights at which they end.
 ROUNDS, SETTLED = 50, 1e-3
 #: Words of a block of sums; words of documents that a task takes at once, and of a padded part of those; steps of a pass at most.
-BLOCK, TOGETHER, PADDED, STEPS = 4096, 200_000, 50_000, 64
+BLOCK, TOGETHER, PADDED, STEPS = 4096, 50_000, 50_000, 64
 _TINY = 1e-100
 #: (x + k) (x + 9 - k) is x (x + 9) + one of these, for k up to 4.
 _FACTORS = (0.0, 8.0, 14.0, 18.0, 20.0)
@@ -105,26 +105,33 @@ def _padded(ids: list[np.ndarray], counts: list[np.ndarray]):
         lo += len(rows)
 
 
-def _settled(words: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
-    """Topic weights of some documents by fixed-point rounds: words is documents by words by topics, n the words' counts.
+def _settled(parts: list[tuple[np.ndarray, np.ndarray]], prior: float) -> np.ndarray:
+    """Topic weights of some documents, a row each, by fixed-point rounds. parts: words (documents by words by topics) and the words' counts.
 
-    A document that has settled is left out of further rounds.
+    What a round does by document it does for all parts at once, as calls on a few documents are mostly overhead; only
+    products with words go part by part. A document that has settled keeps its weights, and is left out of further rounds.
     """
-    out = np.full((len(n), words.shape[2]), 1.0)
-    left = held = np.arange(len(n))
+    out = gamma = np.full((sum(len(n) for _, n in parts), parts[0][0].shape[2] if parts else 1), 1.0)
+    place, left = np.arange(len(out)), np.ones(len(out), bool)
     for _ in range(ROUNDS):
-        if not len(left):
+        if not len(place):
             break
-        if 2 * len(left) <= len(held):
-            at = np.searchsorted(held, left)
-            words, n, held = words[at], n[at], left
-        theta = np.exp(expected_logs(out[held]))
-        norm = np.matmul(words, theta[:, :, None])[:, :, 0] + _TINY
-        new = prior + theta * np.matmul((n / norm)[:, None, :], words)[:, 0]
-        moved = np.isin(held, left, assume_unique=True)
-        change = np.abs(new - out[held]).mean(1)
-        out[held[moved]] = new[moved]
-        left = held[moved & (change >= SETTLED)]
+        theta = np.exp(expected_logs(gamma))
+        new, lo = np.empty_like(theta), 0
+        for words, n in parts:
+            norm = np.matmul(words, theta[lo:lo + len(n), :, None])[:, :, 0] + _TINY
+            np.matmul((n / norm)[:, None, :], words, out=new[lo:lo + len(n), None, :])
+            lo += len(n)
+        new = prior + theta * new
+        change = np.abs(new - gamma).mean(1)
+        gamma = np.where(left[:, None], new, gamma)
+        left = left & (change >= SETTLED)
+        if 2 * left.sum() <= len(left):
+            out[place] = gamma
+            cuts = np.split(left, np.cumsum([len(n) for _, n in parts])[:-1])
+            parts = [(words[x], n[x]) for (words, n), x in zip(parts, cuts) if x.any()]
+            place, gamma, left = place[left], gamma[left], left[left]
+    out[place] = gamma
     return out
 
 
@@ -134,8 +141,8 @@ def infer(ids: list[np.ndarray], counts: list[np.ndarray], beta: np.ndarray, pri
     beta: exponentials of expected log word shares, words by topics. A document without words keeps the prior.
     """
     out = np.full((len(ids), beta.shape[1]), prior)
-    for rows, code, n in _padded(ids, counts):
-        out[rows] = _settled(beta[code], n, prior)
+    if parts := list(_padded(ids, counts)):
+        out[np.concatenate([rows for rows, _, _ in parts])] = _settled([(beta[code], n) for _, code, n in parts], prior)
     return out
 
 
@@ -152,11 +159,11 @@ def _groups(b: pa.RecordBatch, first: int):
 
 def _summed(t: pa.Table) -> pa.Table:
     """Sums of one block's rows by word; or, of block -1, of the figures about documents."""
-    at, z = (np.concatenate([np.frombuffer(x, k) for x in t.column(c).to_pylist()]) for c, k in (("at", np.int32), ("z", np.float64)))
-    z = z.reshape(len(at), -1)
-    words, place = np.unique(at, return_inverse=True)
-    total = np.zeros((len(words), z.shape[1]))
-    np.add.at(total, place, z)
+    at, z = ([np.frombuffer(x, k) for x in t.column(c).to_pylist()] for c, k in (("at", np.int32), ("z", np.float64)))
+    words = np.unique(np.concatenate(at))
+    total = np.zeros((len(words), len(z[0]) // len(at[0])))
+    for x, y in zip(at, z):  # a row has a word once
+        total[np.searchsorted(words, x)] += y.reshape(len(x), -1)
     return pa.table({"block": t.column("block").slice(0, 1), "at": pa.array([words.astype(np.int32).tobytes()], pa.binary()), "z": pa.array([total.tobytes()], pa.binary())})
 
 
@@ -176,11 +183,12 @@ def statistics(docs: DataFrame, model: Model) -> tuple[np.ndarray, float, int, i
         for b in batches:
             for _, ids, counts in _groups(b, 0):
                 bare = sum(not len(i) for i in ids)
-                parts = [np.full((bare, topics), prior)]
-                for _, code, n in _padded(ids, counts):
-                    words = beta[code]
-                    gamma = _settled(words, n, prior)
-                    theta = np.exp(expected_logs(gamma))
+                parts = [(code, beta[code], n) for _, code, n in _padded(ids, counts)]
+                settled, lo = _settled([(words, n) for _, words, n in parts], prior) if parts else np.zeros((0, topics)), 0
+                weight = np.exp(expected_logs(settled))
+                for code, words, n in parts:
+                    theta = weight[lo:lo + len(n)]
+                    lo += len(n)
                     norm = np.matmul(words, theta[:, :, None])[:, :, 0] + _TINY
                     own = n > 0
                     flat, each = code[own], (n / norm)[own][:, None] * np.repeat(theta, own.sum(1), 0)
@@ -191,8 +199,7 @@ def statistics(docs: DataFrame, model: Model) -> tuple[np.ndarray, float, int, i
                     seen[found] = True
                     about[0] += (n * np.log(norm)).sum()
                     about[2] += n.sum()
-                    parts.append(gamma)
-                gamma = np.concatenate(parts)
+                gamma = np.concatenate([np.full((bare, topics), prior), settled])
                 about[0] += ((prior - gamma) * expected_logs(gamma) + ln_gamma(gamma)).sum() - ln_gamma(gamma.sum(1)).sum() + len(ids) * (ln_gamma(np.array(topics * prior)) - topics * ln_gamma(np.array(prior)))
                 about[1] += len(ids)
         if about[1]:
